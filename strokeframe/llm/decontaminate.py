@@ -1,17 +1,19 @@
 """Benchmark decontamination by a broadcast hash set of test n-grams, in DataFrame functions only.
 
-The benchmark's windows of consecutive words are hashed; the set's size is checked before it is
-broadcast. Every document's windows are hashed once inside a projection, probed against the set in a
-generated loop, and each hit is verified on the words themselves.
+The benchmark's windows of consecutive words are keyed by a hash of three of their words; the set's size
+is checked before it is broadcast. Every document's windows are keyed once, in one scan, and probed
+against the set, and each hit is verified on all the window's words. Only hits are shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows of the benchmark up to which their hashes are broadcast; beyond it the join shuffles.
+#: Windows of the benchmark that are broadcast at once.
 BROADCAST_WINDOWS = 2_000_000
 
 
@@ -24,20 +26,20 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lower, SPACE), lambda w: w != "")
 
 
-def word_count(text: Column) -> Column:
-    """The number of ``words_of`` as a bigint."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("bigint")
+def window_key(words: Column, start: Column, n: int) -> Column:
+    """Hash of the first, middle and last word of the window of ``n`` words at ``start`` (from 0)."""
+    return F.xxhash64(F.get(words, start), F.get(words, start + n // 2), F.get(words, start + (n - 1)))
 
 
-def _window_hashes(words: Column, lengths: list[int]) -> Column:
-    """Array of (n, pos, hash) of all windows of the given lengths."""
+def _window_keys(words: Column, lengths: list[int]) -> Column:
+    """Array of (n, pos, key) of all windows of the given lengths; pos counts from 1."""
 
     def of(n: int) -> Column:
-        hashes = F.transform(
+        keys = F.transform(
             F.sequence(F.lit(1), F.size(words) - n + 1),
-            lambda i: F.struct(F.lit(n).alias("n"), i.alias("pos"), F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(n)]).alias("hash")),
+            lambda i: F.struct(F.lit(n).alias("n"), i.alias("pos"), window_key(words, i - 1, n).alias("key")),
         )
-        return F.when(F.size(words) >= n, hashes).otherwise(F.array().cast("array<struct<n:int,pos:int,hash:bigint>>"))
+        return F.when(F.size(words) >= n, keys).otherwise(F.array().cast("array<struct<n:int,pos:int,key:bigint>>"))
 
     return F.concat(*[of(n) for n in lengths])
 
@@ -51,52 +53,55 @@ def benchmark_windows(benchmark: DataFrame, window: int = 13, item_id: str = "it
     ).distinct()
 
 
+def _scan(words: DataFrame, bench: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, n_words, pos, len, item_id): the verified hits, and a row without item for every document.
+
+    The arrays are made in a projection, once a document; the loop over them, the probe of the broadcast set
+    and the check of the words are generated code that copies no words. explode_outer, as explode would
+    evaluate the arrays in a filter as well.
+    """
+    probes = words.withColumn("windows", _window_keys(F.col("words"), lengths)).select(
+        "doc_id", "words", F.explode_outer("windows").alias("w")
+    ).select("doc_id", "words", F.col("w.n").alias("n"), F.col("w.pos").alias("pos"), F.col("w.key").alias("key"))
+    same = (probes["key"] == bench["key"]) & (probes["n"] == bench["n"]) & (F.slice(probes["words"], probes["pos"], probes["n"]) == bench["bench_words"])
+    return probes.join(F.broadcast(bench), same, "left").where(
+        F.col("item_id").isNotNull() | probes["pos"].isNull() | (probes["pos"] == 1)
+    ).select("doc_id", F.size("words").cast("bigint").alias("n_words"), "pos", probes["n"].alias("len"), "item_id")
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, hit_spans, items) of every row of ``docs``.
+    """(doc_id, n_words, n_hit, hit_spans, items) of every document.
 
     n_hit counts words inside any verified window; hit_spans has the merged [from, to] word ranges, from 1;
     items are the item_ids with a window in the text, as strings in order. Null and empty texts, and texts
-    without words, have no words and no hits. Rows of equal doc_id are told apart by nothing: ids must be unique.
+    without words, have no words and no hits; null item_ids are left out. Rows that share a doc_id (or have
+    none) count as one document: the most words, and the union of their hits.
     """
-    bench = benchmark_windows(benchmark, window)
+    bench = benchmark_windows(benchmark, window).where(F.col("item_id").isNotNull())
     # lengths below the window come only from short items: at most ``window`` distinct integers
     lengths = sorted(r[0] for r in bench.select("n").distinct().collect()) or [window]
-    total = bench.count()
-    bench = bench.select("item_id", "n", F.col("words").alias("bench_words"))
-    hashed = F.coalesce(*[F.when(F.col("n") == n, F.xxhash64(*[F.get("bench_words", F.lit(k)) for k in range(n)])) for n in lengths])
-    bench = bench.withColumn("hash", hashed)
-    bench = F.broadcast(bench) if total <= BROADCAST_WINDOWS else bench
+    key = F.coalesce(*[F.when(F.col("n") == n, window_key(F.col("words"), F.lit(0), n)) for n in lengths])
+    bench = bench.select("item_id", "n", F.col("words").alias("bench_words"), key.alias("key"))
     words = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("words"))
-    # the arrays are made in a projection, once a document; the loop over them and the probe are generated
-    # code that copies no words. explode_outer, as explode would evaluate the arrays in a filter as well.
-    probes = words.withColumn("windows", _window_hashes(F.col("words"), lengths)).select(
-        "doc_id", "words", F.explode_outer("windows").alias("at")
-    ).select("doc_id", "words", F.col("at.n").alias("n"), F.col("at.pos").alias("pos"), F.col("at.hash").alias("hash"))
-    hits = (
-        probes.join(bench, ["hash", "n"])
-        .where(F.slice("words", F.col("pos"), F.col("n")) == F.col("bench_words"))
-        .select("doc_id", "pos", F.col("n").alias("len"), "item_id")
-    )
-    # the longest window from each place, then merged ranges: bounded by the document's own words
-    spans = F.array_sort(F.collect_set(F.struct(F.col("pos"), (F.col("pos") + F.col("len") - 1).alias("end"))))
-    by_doc = hits.groupBy("doc_id").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    merged = F.aggregate(
-        "spans", F.array().cast("array<struct<pos:int,end:int>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["pos"] <= F.try_element_at(acc, F.lit(-1))["end"] + 1),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.try_element_at(acc, F.lit(-1))["pos"].alias("pos"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(s))),
+    # a set beyond the bound is broadcast in slices, each in a scan of its own
+    slices = -(-bench.count() // BROADCAST_WINDOWS) or 1
+    scans = [_scan(words, bench.where(F.pmod("key", F.lit(slices)) == i) if slices > 1 else bench, lengths) for i in range(slices)]
+    hits = reduce(DataFrame.unionByName, scans)
+    span = F.when(F.col("item_id").isNotNull(), F.struct(F.col("pos"), (F.col("pos") + F.col("len") - 1).alias("end")))
+    by_doc = hits.groupBy("doc_id").agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(span)).alias("spans"),
+        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
-    by_doc = by_doc.select("doc_id", merged.alias("hit_spans"), "items")
-    empty = F.array().cast("array<struct<pos:int,end:int>>")
-    counted = docs.select(F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("n_words"))
-    joined = counted.join(by_doc, "doc_id", "left")
-    spans = F.coalesce("hit_spans", empty)
-    n_hit = F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["pos"] + 1)
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), spans.alias("hit_spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+    def merge(done: Column, span: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        grown = F.struct(last["pos"].alias("pos"), F.greatest(last["end"], span["end"]).alias("end"))
+        joins = (F.size(done) > 0) & (span["pos"] <= last["end"] + 1)
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(span)))
+
+    merged = F.aggregate("spans", F.array().cast("array<struct<pos:int,end:int>>"), merge)
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["pos"] + 1)
+    return by_doc.select("doc_id", "n_words", merged.alias("hit_spans"), "items").select("doc_id", "n_words", n_hit.alias("n_hit"), "hit_spans", "items")
 
 
 def contaminated(n_words: Column, n_hit: Column, share: int = 20) -> Column:

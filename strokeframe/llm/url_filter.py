@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = 63  # bits used of a bigint, so that no literal is negative
-PROBES = 2
-BITS_PER_KEY = 4
+PROBES = 3
+BITS_PER_KEY = 8
+LEAST_BITS = 256
 
 
 def host_of(url: Column) -> Column:
@@ -31,17 +32,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, path_lengths: Sequence[int]) -> Column:
-    """Array of (suffix of the host by labels) + (prefix of the path of a length that some rule has), longest first."""
+def candidate_keys(host: Column, path: Column, label_counts: Sequence[int], path_lengths: Sequence[int]) -> Column:
+    """Array of (n, key), longest first: a host suffix of so many labels and a path prefix of such a length, as some rule has."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))),
-    )
-    # a rule's host has no leading dot, and an empty label list gives one empty suffix
-    prefixes = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in path_lengths]))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    return F.reverse(F.array_sort(F.transform(F.array_distinct(keys), lambda k: F.struct(F.length(k).alias("n"), k.alias("key")))))
+    suffixes = [F.when(F.size(labels) >= n, F.concat_ws(".", F.slice(labels, F.size(labels) - n + 1, n))) for n in label_counts]
+    prefixes = [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in path_lengths]
+    keys = F.array_distinct(F.array_compact(F.array(*[F.concat(s, p) for s in suffixes for p in prefixes])))
+    return F.reverse(F.array_sort(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("key")))))
 
 
 def _positions(key: Column, bits: int, level: int) -> list[Column]:
@@ -89,7 +86,7 @@ class Cascade:
         encode, other = inside, outside
         n = encode.count()
         while n:
-            bits = max(64, bits_per_key * n)
+            bits = max(LEAST_BITS, bits_per_key * n)
             if bits > max_bits:
                 raise ValueError(f"a level needs {bits} bits; max_bits is {max_bits}")
             level = len(levels)
@@ -120,13 +117,15 @@ def judge_urls(
     A null url, or one without ``://``, has an empty host and path. Columns of these names are replaced.
     Two cascades are built over all candidate keys of the table: of all rules, and of those that block.
     """
-    keyed = rules.select(F.concat("host", "path").alias("key"), F.length("path").alias("n"), "verdict")
-    lengths = sorted(r[0] for r in keyed.select("n").distinct().collect())
+    keyed = rules.select(F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("n"), "verdict")
+    # a rule list has few distinct label counts and path lengths, whatever its length
+    label_counts, lengths = (sorted(r[0] for r in keyed.select(c).distinct().collect()) for c in ("labels", "n"))
     parsed = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    candidates = candidate_keys(F.col("host"), F.col("path"), lengths)
-    universe = parsed.select(F.explode(candidates).alias("c")).select(F.col("c.key").alias("key")).distinct()
+    candidates = candidate_keys(F.col("host"), F.col("path"), label_counts, lengths)
+    universe = parsed.select(F.explode_outer(candidates).alias("c")).select(F.col("c.key").alias("key")).distinct().persist()
     listed = Cascade.build(keyed.select("key"), universe, bits_per_key)
     blocked = Cascade.build(keyed.where("verdict = 'block'").select("key"), keyed.select("key"), bits_per_key)
+    universe.unpersist()
     fits = F.filter(candidates, lambda c: listed.contains(c["key"]))
     rule = F.try_element_at(fits, F.lit(1))["key"]
     verdict = F.when(rule.isNull(), F.lit(default)).when(blocked.contains(F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
