@@ -27,21 +27,24 @@ def words_of(text: Column) -> Column:
 
 
 def window_key(words: Column, start: Column, n: int) -> Column:
-    """Hash of the first, middle and last word of the window of ``n`` words at ``start`` (from 0)."""
-    return F.xxhash64(F.get(words, start), F.get(words, start + n // 2), F.get(words, start + (n - 1)))
+    """Hash of the length and the first, middle and last word of the window of ``n`` words at ``start`` (from 0)."""
+    return F.xxhash64(F.get(words, start), F.get(words, start + n // 2), F.get(words, start + (n - 1)), F.lit(n))
+
+
+def _places(words: Column, n: int) -> Column:
+    """The number of windows of ``n`` words."""
+    return F.greatest(F.size(words) - (n - 1), F.lit(0))
 
 
 def _window_keys(words: Column, lengths: list[int]) -> Column:
-    """Array of (n, pos, key) of all windows of the given lengths; pos counts from 1."""
+    """The keys of all windows, length by length, each in the order of the text."""
 
     def of(n: int) -> Column:
-        keys = F.transform(
-            F.sequence(F.lit(1), F.size(words) - n + 1),
-            lambda i: F.struct(F.lit(n).alias("n"), i.alias("pos"), window_key(words, i - 1, n).alias("key")),
-        )
-        return F.when(F.size(words) >= n, keys).otherwise(F.array().cast("array<struct<n:int,pos:int,key:bigint>>"))
+        keys = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: window_key(words, i, n))
+        return F.when(F.size(words) >= n, keys).otherwise(F.array().cast("array<bigint>"))
 
-    return F.concat(*[of(n) for n in lengths])
+    keys = [of(n) for n in lengths]
+    return keys[0] if len(keys) == 1 else F.concat(*keys)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = 13, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -60,13 +63,19 @@ def _scan(words: DataFrame, bench: DataFrame, lengths: list[int]) -> DataFrame:
     and the check of the words are generated code that copies no words. explode_outer, as explode would
     evaluate the arrays in a filter as well.
     """
-    probes = words.withColumn("windows", _window_keys(F.col("words"), lengths)).select(
-        "doc_id", "words", F.explode_outer("windows").alias("w")
-    ).select("doc_id", "words", F.col("w.n").alias("n"), F.col("w.pos").alias("pos"), F.col("w.key").alias("key"))
-    same = (probes["key"] == bench["key"]) & (probes["n"] == bench["n"]) & (F.slice(probes["words"], probes["pos"], probes["n"]) == bench["bench_words"])
-    return probes.join(F.broadcast(bench), same, "left").where(
-        F.col("item_id").isNotNull() | probes["pos"].isNull() | (probes["pos"] == 1)
-    ).select("doc_id", F.size("words").cast("bigint").alias("n_words"), "pos", probes["n"].alias("len"), "item_id")
+    probes = words.withColumn("keys", _window_keys(F.col("words"), lengths)).select(
+        "doc_id", "words", F.posexplode_outer("keys").alias("place", "key")
+    )
+    before, skipped = F.lit(0), []
+    for n in lengths:
+        skipped.append(F.when(bench["n"] == n, before))
+        before = before + _places(probes["words"], n)
+    pos = probes["place"] + 1 - F.coalesce(*skipped)
+    same = (probes["key"] == bench["key"]) & (F.slice(probes["words"], pos, bench["n"]) == bench["bench_words"])
+    first = probes["place"].isNull() | (probes["place"] == 0)
+    return probes.join(F.broadcast(bench), same, "left").where(F.col("item_id").isNotNull() | first).select(
+        "doc_id", F.size("words").cast("bigint").alias("n_words"), pos.alias("pos"), bench["n"].alias("len"), "item_id"
+    )
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
