@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strokeframe.tables import read_table
 
-from . import decontaminate, sharding, url_filter
+from . import decontaminate, near_dup, sharding, url_filter
 
 #: The rules that op3 applies: host, path, verdict.
 URL_RULES = [
@@ -51,11 +51,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slotted.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: shingles of 4 words, similarity 0.8 or more."""
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), 4, 80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_url_filter": op3_url_filter,
         "op6_decontamination": op6_decontamination,
         "op8_sharding": op8_sharding,
+        "op9_near_dup": op9_near_dup,
     }
 
 
