@@ -15,6 +15,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All ASCII but digits and letters.
+_PUNCTUATION = np.ones(256, bool)
+_PUNCTUATION[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,10 +83,11 @@ def range_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 class Words:
     """The words of a batch of texts: hash, byte range, and for each text the range of its words."""
 
-    def __init__(self, column: pa.Array, lower: bool = True):
-        """Words are runs of bytes other than 0x20 and 0x09-0x0D; with ``lower`` A-Z count as a-z."""
+    def __init__(self, column: pa.Array, lower: bool = True, punctuation: bool = False):
+        """Words are runs of bytes other than 0x20 and 0x09-0x0D, with ``punctuation`` of digits, letters and bytes
+        beyond ASCII only; with ``lower`` A-Z count as a-z."""
         raw, off = text_bytes(column)
-        inside = ~_SPACE[raw]
+        inside = ~(_PUNCTUATION if punctuation else _SPACE)[raw]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         last = inside.copy()
@@ -128,18 +132,21 @@ def _ranks(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def byte_grams(raw: np.ndarray, sizes: tuple[int, ...], offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hash, start) of all byte n-grams that stay inside a text, for each size."""
-    x = raw.astype(np.uint64)
-    for n in sizes:
-        if len(raw) < n:
+def gram_counts(raw: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], bits: int) -> np.ndarray:
+    """float32 array (texts, 2^bits): counts of the hashed byte n-grams (n up to 4) inside each text."""
+    n, width = len(offsets) - 1, (1 << bits) + 1
+    out = np.zeros(n * width, np.float32)
+    x = raw.astype(np.uint32)
+    base = np.repeat(np.arange(n, dtype=np.int64) * width, np.diff(offsets))
+    for size in sizes:
+        if len(raw) < size:
             continue
-        h = np.zeros(len(raw) - n + 1, np.uint64)
-        for k in range(n):
-            h = (h << np.uint64(8)) | x[k : len(raw) - n + 1 + k]
-        inside = np.ones(len(h), bool)
-        for k in range(1, n):  # a start that has a text's end in reach does not count
+        h = np.full(len(raw) - size + 1, size, np.uint32)
+        for k in range(size):
+            h = h * np.uint32(0x01000193) ^ x[k : len(raw) - size + 1 + k]
+        bucket = ((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.int64)
+        for k in range(1, size):  # grams across the end of a text go into the last column
             cut = offsets[1:-1] - k
-            inside[cut[(cut >= 0) & (cut < len(h))]] = False
-        at = np.flatnonzero(inside)
-        yield mix(h[at] + np.uint64(n << 58)), at
+            bucket[cut[(cut >= 0) & (cut < len(h))]] = width - 1
+        out += np.bincount(base[: len(h)] + bucket, minlength=n * width).astype(np.float32)
+    return out.reshape(n, width)[:, :-1]

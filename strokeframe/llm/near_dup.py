@@ -45,7 +45,7 @@ def sketch(elements: np.ndarray, bounds: np.ndarray, t: int = COORDINATES) -> np
         sizes = np.diff(bounds)[live]
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1]) + np.repeat(bounds[live] - ends + sizes, sizes)
-        h = mix(elements[at] + np.uint64(r + 1) * _ROUND)
+        h = mix(elements[at] + np.uint64((r + 1) * int(_ROUND) & (1 << 64) - 1))
         bin_of = (h >> np.uint64(32)) % np.uint64(t) if r < t else np.full(len(h), r - t, np.uint64)
         value = (np.uint64(r) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
         np.minimum.at(best, (np.repeat(live, sizes) * t + bin_of.astype(np.int64)), value)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strokeframe.tables import read_table
 
-from . import decontaminate, near_dup, sharding, url_filter
+from . import decontaminate, lang_id, near_dup, quality, sharding, toxicity, url_filter
+from .training import labelled_texts, remainder
 
 #: The rules that op3 applies: host, path, verdict.
 URL_RULES = [
@@ -22,6 +23,40 @@ URL_RULES = [
 SHARDS = 16
 
 
+#: Labelled rows of each label, and documents of each language, that a model is fitted on at most (about).
+QUALITY_ROWS, TOXIC_ROWS, LANG_ROWS = 2000, 2500, 1200
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by nearest-neighbour voting."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality.fit(labelled_texts(docs, labels, "quality", 4, 2, QUALITY_ROWS))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs.select("doc_id", "text", "lang").where(remainder(F.col("doc_id"), 4) != 2), "lang", LANG_ROWS)
+    found = lang_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; the language that sets the threshold is predicted from the text."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    languages = lang_id.fit(docs.select("doc_id", "text", "lang").where(remainder(F.col("doc_id"), 3) != 1), "lang", LANG_ROWS)
+    model = toxicity.fit(labelled_texts(docs, labels, "toxic", 3, 1, TOXIC_ROWS), languages)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "lang_pred",
+    )
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the rules."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
@@ -58,10 +93,13 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": op2_quality,
         "op3_url_filter": op3_url_filter,
+        "op5_lang_id": op5_lang_id,
         "op6_decontamination": op6_decontamination,
         "op8_sharding": op8_sharding,
         "op9_near_dup": op9_near_dup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
