@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is a block of its own.
 BLOCK = 4 << 20
+#: Bytes that are hashed at once.
+HASHED = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -58,24 +60,33 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK) ->
                 yield batch.slice(i, j - i)
 
 
-def prefix_hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of a polynomial hash modulo 2^64 and the powers that bring a range to a common origin."""
-    powers = np.cumprod(np.full(len(raw) + 1, _ODD), dtype=np.uint64)  # wraps
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(mix(raw.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-    return sums, powers[::-1]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the hash's base and of its inverse modulo 2^64."""
+    base, inverse = np.full(n + 1, _ODD), np.full(n + 1, np.uint64(pow(int(_ODD), -1, 1 << 64)))
+    base[0] = inverse[0] = 1
+    return np.cumprod(base, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
+
+
+_BASE, _INVERSE = _powers(HASHED)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def range_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte range (uint64), worked out in blocks; ranges are in order and do not overlap."""
+    """Hash of each byte range (uint64), that depends on its bytes alone; ranges are in order and do not overlap.
+
+    A polynomial modulo 2^64 by prefix sums, worked out in blocks of about HASHED bytes.
+    """
     out = np.zeros(len(starts), np.uint64)
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
-        base = starts[i]
-        sums, powers = prefix_hash(raw[base : ends[j - 1]])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((sums[e] - sums[s]) * powers[s] + (e - s).astype(np.uint64))
+        first = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, first + HASHED, "right")))
+        n = int(ends[j - 1] - first)
+        base, inverse = (_BASE, _INVERSE) if n <= HASHED else _powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[raw[first : first + n]] * base[:n], out=sums[1:])
+        s, e = starts[i:j] - first, ends[i:j] - first
+        out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
         i = j
     return out
 

@@ -2,7 +2,8 @@
 
 A word's embedding is the sum of a hashed row for the word and one for its first bytes; filters of several
 widths slide over the words, each keeps its maximum (Kim 2014), and a logistic layer reads the maxima.
-Trained by Adagrad in numpy. Probabilities are calibrated, and the threshold is set, by language as
+Only buckets that enough training texts share have a row, so that no text is learned by its rare words;
+the others are zero. Trained by Adagrad in numpy. Probabilities are calibrated, and the threshold is set, by language as
 predicted from the text; scores are rescaled so that every language's threshold is 0.7.
 """
 
@@ -18,30 +19,50 @@ from pyspark.sql import DataFrame
 from . import lang_id
 from .flat import Words, range_hash, slices
 
-WORD_BITS, STEM_BITS, STEM, DIM = 17, 14, 4, 8
+#: Hash buckets of words and of stems (the first STEM bytes), and the training texts that a trained bucket is in.
+BITS, STEM, SHARED_BY, DIM = 24, 4, 8, 8
 WIDTHS, FILTERS = (1, 2, 3), 6
 THRESHOLD = 0.7
 
 
 def word_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word rows, stem rows, bounds): the embedding rows of the words of each text."""
+    """(word buckets, stem buckets, bounds) of the words of each text."""
     w = Words(column, punctuation=True)
     stems = range_hash(w.raw, w.starts, np.minimum(w.ends, w.starts + STEM))
-    return (w.hashes >> np.uint64(64 - WORD_BITS)).astype(np.int32), (stems >> np.uint64(64 - STEM_BITS)).astype(np.int32), w.bounds
+    shift = np.uint64(64 - BITS)
+    return (w.hashes >> shift).astype(np.int32), (stems >> shift).astype(np.int32), w.bounds
+
+
+def shared_buckets(texts: list[np.ndarray], least: int) -> np.ndarray:
+    """The buckets that are in ``least`` texts or more, in order."""
+    found, counts = np.unique(np.concatenate([np.unique(x) for x in texts] or [np.zeros(0, np.int32)]), return_counts=True)
+    return found[counts >= least]
 
 
 class Net:
-    """Embeddings, filters and the logistic layer; the last row of each embedding table is zero padding."""
+    """Embeddings, filters and the logistic layer; the last row of each embedding table is zero."""
 
-    def __init__(self, seed: int = 11):
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], least: int = SHARED_BY, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.word = rng.normal(0, 0.05, ((1 << WORD_BITS) + 1, DIM)).astype(np.float32)
-        self.stem = rng.normal(0, 0.05, ((1 << STEM_BITS) + 1, DIM)).astype(np.float32)
+        self.word_keys, self.stem_keys = (shared_buckets([d[k] for d in docs], least) for k in (0, 1))
+        self.word = rng.normal(0, 0.05, (len(self.word_keys) + 1, DIM)).astype(np.float32)
+        self.stem = rng.normal(0, 0.05, (len(self.stem_keys) + 1, DIM)).astype(np.float32)
         self.word[-1] = self.stem[-1] = 0
         self.kernels = [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.kernel_bias = np.zeros((len(WIDTHS), FILTERS), np.float32)
         self.out, self.bias = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), np.float32(0)
 
+    @staticmethod
+    def _rows(keys: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(buckets), np.int64)
+        at = np.searchsorted(keys, buckets)
+        return np.where(keys[np.minimum(at, len(keys) - 1)] == buckets, at, len(keys))
+
+    def rows(self, words: np.ndarray, stems: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the embedding tables; the last one for buckets without one."""
+        return self._rows(self.word_keys, words), self._rows(self.stem_keys, stems)
+
     def _maps(self, e: np.ndarray) -> list[np.ndarray]:
         """For each width the filters' values at every place but the padding at the end."""
         n = len(e) - max(WIDTHS) + 1
@@ -57,9 +78,9 @@ class Net:
         counts, pad = np.diff(bounds), max(WIDTHS) - 1
         spans = np.maximum(counts, 1) + pad
         starts = np.cumsum(spans) - spans
-        w, s = np.full(spans.sum(), 1 << WORD_BITS, np.int32), np.full(spans.sum(), 1 << STEM_BITS, np.int32)
+        w, s = np.full(spans.sum(), len(self.word_keys)), np.full(spans.sum(), len(self.stem_keys))
         at = np.arange(len(words)) + np.repeat(starts - bounds[:-1], counts)
-        w[at], s[at] = words, stems
+        w[at], s[at] = self.rows(words, stems)
         e = self.word[w] + self.stem[s]
         # a text's own places: the padding after it is left out of the maximum
         live = np.stack([starts, starts + spans - pad], axis=1).reshape(-1)
@@ -75,6 +96,7 @@ class Net:
         kernel_state = [np.full(k.shape, 1e-3, np.float32) for k in self.kernels]
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
         order = np.arange(len(docs))
+        docs = [self.rows(*d) for d in docs]
         for _ in range(epochs):
             rng.shuffle(order)
             for i in order:
@@ -101,6 +123,7 @@ class Net:
                             r, back_of = np.unique(rows[place[inside]], return_inverse=True)
                             total = np.zeros((len(r), DIM), np.float32)
                             np.add.at(total, back_of, grad[inside])
+                            total[r == len(getattr(self, name)) - 1] = 0  # the zero row stays
                             self._step(name, state, r, total, rate)
 
     def _step(self, name: str, state: dict[str, np.ndarray], at, grad: np.ndarray, rate: float) -> None:
@@ -157,7 +180,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((low + high) / 2, 0.02, 0.98))
 
 
-def fit(sample: DataFrame, languages: lang_id.LangModel, epochs: int = 4, rate: float = 0.05) -> ToxicModel:
+def fit(sample: DataFrame, languages: lang_id.LangModel, epochs: int = 2, rate: float = 0.05) -> ToxicModel:
     """sample: a bounded set of (doc_id, text, label); a fifth of it calibrates what the rest has trained."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,12 +197,13 @@ def fit(sample: DataFrame, languages: lang_id.LangModel, epochs: int = 4, rate:
     rows = sample.select("doc_id", "text", "label").mapInArrow(run, schema).toArrow().sort_by("doc_id").to_pylist()
     docs = [(np.frombuffer(r["words"], np.int32), np.frombuffer(r["stems"], np.int32)) for r in rows]
     y = np.array([r["label"] for r in rows], np.float64)
-    net = Net()
     if len(set(y)) < 2:
+        net = Net([])
         net.out[:] = 0
         return ToxicModel(net, 1.0, 5.0 if len(y) and y[0] else -5.0, languages, {"": 0.5})
     apart = np.arange(len(rows)) % 5 == 0
     fit_at = np.flatnonzero(~apart)
+    net = Net([docs[i] for i in fit_at], min(SHARED_BY, 1 + len(fit_at) // 50))
     net.fit([docs[i] for i in fit_at], y[fit_at], epochs, rate)
     hold = np.flatnonzero(apart) if len(set(y[apart])) == 2 else np.arange(len(rows))
     bounds = np.concatenate([[0], np.cumsum([len(docs[i][0]) for i in hold])])
