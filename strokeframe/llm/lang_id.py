@@ -67,7 +67,7 @@ def _examples(sample: DataFrame, label: str) -> list[dict]:
     return done.toArrow().sort_by([("doc_id", "ascending"), ("at", "ascending")]).to_pylist()
 
 
-def train(rows: list[dict], epochs: int = 12, rate: float = 1.0, reject_rate: float = 0.001, seed: int = 7) -> LangModel:
+def train(rows: list[dict], epochs: int = 5, rate: float = 1.0, reject_rate: float = 0.001, seed: int = 7) -> LangModel:
     """Fits the model to examples of (doc_id, label, at, share); a fifth of the documents calibrates it."""
     langs = sorted({r["label"] for r in rows})
     if not langs:
