@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strokeframe.tables import read_table
 
-from . import decontaminate, lang_id, near_dup, quality, sharding, toxicity, url_filter
+from . import decontaminate, fingerprint, lang_id, near_dup, quality, sharding, toxicity, url_filter
 from .training import labelled_texts, remainder
 
 #: The rules that op3 applies: host, path, verdict.
@@ -37,6 +37,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and how alike they and the next document's are."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = fingerprint.rarity_ranks(docs)
+    return fingerprint.compare_with_edits(docs, ranks, sharding.id_ranges(docs, "doc_id", 128))
+
+
 def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language."""
     docs = read_table(spark, sf_dir, "documents")
@@ -95,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": op2_quality,
         "op3_url_filter": op3_url_filter,
+        "op4_fingerprint": op4_fingerprint,
         "op5_lang_id": op5_lang_id,
         "op6_decontamination": op6_decontamination,
         "op8_sharding": op8_sharding,
