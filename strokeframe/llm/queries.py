@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strokeframe.tables import read_table
 
-from . import decontaminate, fingerprint, lang_id, near_dup, quality, sharding, toxicity, url_filter
+from . import decontaminate, fingerprint, lang_id, lm, near_dup, quality, sharding, toxicity, url_filter
 from .training import labelled_texts, remainder
 
 #: The rules that op3 applies: host, path, verdict.
@@ -82,6 +82,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 5) == 1
+    model, words = lm.fit(docs.where(~held_out).select("text"))
+    scored = lm.score(docs, model, words)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards by jump consistent hashing of their doc_id (the law ``key``)."""
     text = F.coalesce("text", F.lit(""))
@@ -105,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_fingerprint": op4_fingerprint,
         "op5_lang_id": op5_lang_id,
         "op6_decontamination": op6_decontamination,
+        "op7_lm": op7_lm,
         "op8_sharding": op8_sharding,
         "op9_near_dup": op9_near_dup,
         "op10_toxicity": op10_toxicity,
