@@ -138,3 +138,15 @@ def identify(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame
 
     out = schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return docs.select(*names, has_letter(F.col(text)).alias("_lettered")).mapInArrow(run, out)
+
+
+def accepted(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is not rejected (they have a letter, and a probability that is high
+    enough), with their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text, BLOCK):
+            yield b.filter(pa.array(shared.value.probabilities(b.column(text)).max(axis=1) >= shared.value.reject_below))
+
+    return docs.where(has_letter(F.col(text))).mapInArrow(run, docs.schema)

@@ -128,3 +128,14 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(m.votes(b.column(text)).astype(np.float64))], [*names, "score"])
 
     return docs.select(*names).mapInArrow(run, docs.select(*names).schema.add("score", "double"))
+
+
+def accepted(docs: DataFrame, model: QualityModel, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of ``least`` or more, with their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text, BLOCK):
+            yield b.filter(pa.array(shared.value.votes(b.column(text)) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

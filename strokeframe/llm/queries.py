@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strokeframe.tables import read_table
 
-from . import decontaminate, fingerprint, lang_id, lm, near_dup, quality, sharding, toxicity, url_filter
+from . import decontaminate, fingerprint, lang_id, lm, near_dup, quality, sentencepiece_codec, sharding, toxicity, url_filter
 from .training import labelled_texts, remainder
 
 #: The rules that op3 applies: host, path, verdict.
@@ -27,6 +27,12 @@ SHARDS = 16
 QUALITY_ROWS, TOXIC_ROWS, LANG_ROWS = 2000, 2500, 1200
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the public BPE model and decoded again."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.round_trip(docs, sentencepiece_codec.read_model(spark))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality by nearest-neighbour voting."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
@@ -109,6 +115,7 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_quality": op2_quality,
         "op3_url_filter": op3_url_filter,
         "op4_fingerprint": op4_fingerprint,
