@@ -8,9 +8,9 @@ agreeing coordinates is concentrated about its mean.
 
 Equal sets are one class. Classes that agree on a band are candidates; a candidate pair with sketches
 too far apart is discarded (at the threshold the chance is below 10^-7), the others are verified on the
-full sets. A band shared by many classes is not expanded into pairs: its members are compared with a few
-leaders, and only members that are not yet in their leaders' component, with more leaders, until every
-pair of a band is compared or connected.
+full sets. A band shared by many classes is not expanded into pairs: its members are compared with the
+band's hub, and only those that are not in the hub's component with one another and with the rest, in
+blocks of bounded size that return no more links than they join components.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .store import written
 COORDINATES, ROWS = 128, 4
 #: Agreeing coordinates of COORDINATES below which a pair is discarded: 5.7 standard deviations below 0.8.
 SLACK = 0.2
-#: Sets of one verification group.
+#: Sets of one side of a verification group.
 GROUP = 256
 _ROUND = np.uint64(0xD1342543DE82EF95)
 
@@ -166,53 +166,106 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _check_block(least: int, words: int, percent: int):
+    """A function of one pair of blocks (rep, component, left, right, low, text) that gives the links between
+    different components: every left row is compared with every right row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sets, sizes = sets_of(table.column("text"), words)
+        low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        reps, component = (np.asarray(table.column(c)) for c in ("rep", "component"))
+        left, right = (np.asarray(table.column(c)) for c in ("left", "right"))
+        at = np.flatnonzero(right)
+        joined = {c: c for c in set(component.tolist())}  # components linked so far need no further link
+
+        def root(c: int) -> int:
+            while joined[c] != c:
+                joined[c] = c = joined[joined[c]]
+            return c
+
+        found = []
+        for i in np.flatnonzero(left):
+            agree = (low[at] == low[i]).sum(axis=1)
+            fits = (agree >= least) & (component[at] != component[i]) & (100 * np.minimum(sizes[at], sizes[i]) >= percent * np.maximum(sizes[at], sizes[i]))
+            near = at[fits]
+            for j in near[np.argsort(-agree[fits], kind="stable")]:
+                x, y = root(int(component[i])), root(int(component[j]))
+                if x != y:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                        joined[max(x, y)] = min(x, y)
+                        found.append((int(reps[i]), int(reps[j])))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return run
+
+
+def _with_component(df: DataFrame, name: str, component: DataFrame | None, out: str) -> DataFrame:
+    """``df`` with the component ``out`` of its column ``name``; what has none is its own."""
+    if component is None:
+        return df.withColumn(out, F.col(name))
+    return df.join(component.toDF(name, "_c"), name, "left").withColumn(out, F.coalesce("_c", name)).drop("_c")
+
+
 def _links(classes: DataFrame, docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame | None:
-    """(rep, component) of the classes (rep, n_shingles, low, bands) that are linked with another; None if there are none."""
+    """(rep, component) of the classes (rep, n_shingles, low, bands) that are linked with another; None if there are none.
+
+    First every class is compared with the hub of each of its bands: the class with the most companions. Two
+    classes that share a band are then both known to its hub. Among the classes of a hub, only those outside
+    its component may still have links that matter; they are compared with the rest in blocks, and a block
+    gives no more links than it joins components.
+    """
     bands = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("band")
-    rows = written(bands.join(shared, "band", "left_semi"), "bands")
-    least = int((percent / 100 - SLACK) * COORDINATES)
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    rows = written(bands.join(shared, "band"), "bands")
+    companions = rows.groupBy("rep").agg(F.sum("k").alias("degree"))
+    ranked = rows.join(companions, "rep")
+    hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("order"), "n")).alias("h"))
+    hubs = hubs.select("band", (-F.col("h.order")).alias("hub"), F.col("h.n").alias("hub_n"))
+    known = written(rows.join(hubs, "band").where("rep <> hub").select("hub", "rep", "hub_n", "n").distinct(), "known")
+    if known.isEmpty():
+        return None
+    alive = known.select("rep").union(known.select("hub")).distinct()
     texts = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.col(text).alias("text"))
-    kept = classes.select("rep", "low")
-    component: DataFrame | None = None
-    tried: DataFrame | None = None
-    leaders = 1
-    while True:
-        placed = rows.withColumn("component", F.col("rep"))
-        if component is not None:
-            placed = rows.join(component, "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        # a band whose members are all connected has nothing left to compare
-        split = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("band")
-        live = written(placed.join(split, "band", "left_semi"), "live")
-        if live.isEmpty():
-            return component
-        heads = live.groupBy("band", F.pmod(F.xxhash64("rep"), F.lit(leaders)).alias("salt")).agg(F.min(F.struct("rep", "component", "n")).alias("h"))
-        heads = heads.select("band", F.col("h.rep").alias("head"), F.col("h.component").alias("hc"), F.col("h.n").alias("hn"))
-        fits = (F.col("component") != F.col("hc")) & (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn"))
-        pairs = live.join(heads, "band").where(fits).select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        # only what is still live is needed from now on
-        alive = live.select("rep").distinct()
-        kept, texts = written(kept.join(alive, "rep", "left_semi"), "low"), written(texts.join(alive, "rep", "left_semi"), "texts")
-        close = pairs.join(kept.toDF("a", "low_a"), "a").join(kept.toDF("b", "low_b"), "b").select("a", "b", "low_a", "low_b")
-        found = written(_verify(_screen(close, least), texts, words, percent), "found")
-        if not found.isEmpty():
-            mine = found if component is None else (
-                found.join(component.toDF("a", "ca"), "a", "left").join(component.toDF("b", "cb"), "b", "left")
-                .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            )
-            merged = connected(mine)
-            if component is None:
-                component = merged.toDF("rep", "component")
-            else:
-                old = component.join(merged.toDF("component", "root"), "component", "left").select("rep", F.coalesce("root", "component").alias("component"))
-                new = merged.toDF("rep", "component").join(component, "rep", "left_anti")
-                component = old.unionByName(new)
-            component = written(component, "components")
-        rows = live.select("band", "rep", "n").join(heads.select("band", F.col("head").alias("rep")), ["band", "rep"], "left_anti")
-        leaders *= 4
+    texts = written(texts.join(alive, "rep", "left_semi"), "texts")
+    low = classes.select("rep", "low")
+    least = int((percent / 100 - SLACK) * COORDINATES)
+
+    pairs = known.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    close = pairs.join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b").select("a", "b", "low_a", "low_b")
+    first = written(_verify(_screen(close, least), texts, words, percent), "found")
+    component = None if first.isEmpty() else written(connected(first).toDF("rep", "component"), "components")
+
+    members = _with_component(_with_component(known.select("hub", "rep"), "rep", component, "component"), "hub", component, "home")
+    members = members.withColumn("outside", F.col("component") != F.col("home"))
+    sizes = members.groupBy("hub").agg(F.count_if("outside").alias("r"), F.count_if(~F.col("outside")).alias("m")).where("r > 0 AND r + m > 1")
+    r, m = (F.ceil(F.col(c) / GROUP).cast("int") for c in ("r", "m"))
+    placed = members.join(sizes, "hub").select("hub", "rep", "component", "outside", r.alias("r"), m.alias("m"))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("outside"), F.col("r")).otherwise(F.col("m"))).cast("int")
+    placed = placed.withColumn("own", own)
+    none = F.array().cast("array<int>")
+
+    def upto(n: str):
+        return F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(none)
+
+    def side(i, j, kind, left, right):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"), left.alias("left"), right.alias("right"))
+
+    # those outside: their blocks with one another (i <= j), and each with each block of the component's members
+    me = F.col("own")
+    among = F.transform(upto("r"), lambda o: side(F.least(me, o), F.greatest(me, o), "outside", me <= o, me >= o))
+    across = F.transform(upto("m"), lambda o: side(me, o, "inside", F.lit(True), F.lit(False)))
+    inside = F.transform(upto("r"), lambda o: side(o, me, "inside", F.lit(False), F.lit(True)))
+    dealt = placed.withColumn("places", F.when(F.col("outside"), F.concat(among, across)).otherwise(inside))
+    dealt = dealt.select("hub", "rep", "component", F.explode_outer("places").alias("p")).select("hub", "rep", "component", "p.*").where("i IS NOT NULL")
+    blocks = dealt.join(low, "rep").join(texts, "rep")
+    key = ["hub", "kind", "i", "j"]
+    second = written(blocks.groupBy(*key).applyInArrow(_check_block(least, words, percent), "a bigint, b bigint"), "found")
+    if second.isEmpty():
+        return component
+    # a component's least rep stands for it, so the links of both rounds make the final components
+    return written(connected(first.unionByName(second)).toDF("rep", "component"), "components")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

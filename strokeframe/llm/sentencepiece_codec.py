@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import written
 
@@ -360,7 +361,7 @@ def encode(docs: DataFrame, model: bytes, keep: list[str], text: str = "text", c
             yield pa.record_batch({"_row": b.column("_row"), "_chunk": b.column("_chunk"), "ids": _lists(ids)})
 
     out = "_row bigint, _chunk int, ids array<int>"
-    short = picked.where(F.length("_text") < chunk).mapInArrow(whole, kept.add("ids", "array<int>"))
+    short = picked.where(F.length("_text") < chunk).mapInArrow(whole, kept.add("ids", T.ArrayType(T.IntegerType())))
     # the giants' rows get numbers that are written down with their chunks
     giants = written(picked.where(F.length("_text") >= chunk).withColumn("_row", F.monotonically_increasing_id()), "giants")
     views = written(giants.select("_row", "_text").mapInArrow(cut, "_row bigint, _chunk int, _chunks int, _lo int, _hi int, _view string"), "chunks")
@@ -391,7 +392,7 @@ def decode(encoded: DataFrame, model: bytes, keep: list[str], ids: str = "ids")
             columns = [*[b.column(c) for c in keep], pa.array(texts, pa.string()), pa.array(np.diff(at).astype(np.int64)), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "text", "n_tokens", "ids_sha256"])
 
-    schema = encoded.select(*keep).schema.add("text", "string").add("n_tokens", "bigint").add("ids_sha256", "string")
+    schema = encoded.select(*keep).schema.add("text", "string").add("n_tokens", "long").add("ids_sha256", "string")
     ready = encoded.select(*keep, F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
     return ready.mapInArrow(run, schema)
 
