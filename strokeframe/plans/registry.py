@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_queries
+from . import line_queries, raster_queries
 
-MODULES = [line_queries]
+MODULES = [line_queries, raster_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
