@@ -396,3 +396,16 @@ def merge_line_segments(spark, sf):
 @register("shift_contours")
 def shift_contours(spark, sf):
     return geo.shift_contours(segments(spark, sf), WIDTH, HEIGHT, 20, 42)
+
+
+@register(
+    "svg_import",
+    """SELECT CAST(drawing_id AS VARCHAR) || '.svg' AS filename, dense_rank() OVER (PARTITION BY drawing_id ORDER BY contour_id) - 1 AS contour_id, seg_id, x1, y1, x2, y2,
+CAST(640 AS BIGINT) AS width, CAST(480 AS BIGINT) AS height, CAST(NULL AS VARCHAR) AS error FROM seg""",
+)
+def svg_import(spark, sf):
+    """The drawings written as SVG text and read again."""
+    from strokeframe.sources.svg import parse_files, svg_text
+
+    drawn = svg_text(segments(spark, sf), WIDTH, HEIGHT)
+    return parse_files(drawn.select(F.concat(F.col("drawing_id").cast("string"), F.lit(".svg")).alias("path"), F.col("value").cast("binary").alias("content")))
