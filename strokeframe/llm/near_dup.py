@@ -228,7 +228,8 @@ def _links(classes: DataFrame, docs: DataFrame, words: int, percent: int, doc_id
         return None
     alive = known.select("rep").union(known.select("hub")).distinct()
     texts = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.col(text).alias("text"))
-    texts = written(texts.join(alive, "rep", "left_semi"), "texts")
+    # the same plan at every size: the documents are shuffled once, and what is alive is written
+    texts = written(texts.join(alive.hint("merge"), "rep", "left_semi"), "texts")
     low = classes.select("rep", "low")
     least = int((percent / 100 - SLACK) * COORDINATES)
 
