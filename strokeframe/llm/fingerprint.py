@@ -31,8 +31,10 @@ RESULT = pa.schema([
     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
 ])
 
-_NLOGN = np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))])
-_GAIN = np.diff(_NLOGN).astype(np.float32)  # of n log n when a count n goes to n + 1
+#: n log2 n in 2^-16ths: whole numbers, so that a window's sum does not depend on where the sliding began.
+_NLOGN = np.concatenate([[0], np.rint(np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1)) * 65536)]).astype(np.int32)
+_GAIN = np.diff(_NLOGN)  # of n log n when a count n goes to n + 1
+_FULL = int(_NLOGN[WINDOW])
 
 
 def _entropies(raw: np.ndarray) -> np.ndarray:
@@ -49,11 +51,11 @@ def _entropies(raw: np.ndarray) -> np.ndarray:
     # the byte that leaves and the one that comes do not see each other unless they are equal, and then nothing changes
     equal = raw[WINDOW:] == raw[: n - 1]
     change[equal] = 0
-    sums = np.empty(n, np.float32)
+    sums = np.empty(n, np.int32)
     sums[0] = _NLOGN[first].sum()
     np.cumsum(change, out=sums[1:])
     sums[1:] += sums[0]
-    return np.clip(STEPS * (1 - sums / (WINDOW * np.log2(WINDOW))), 0, STEPS).astype(np.int16)
+    return ((_FULL - sums).astype(np.float64) * (STEPS / _FULL)).astype(np.int16)
 
 
 def entropy_steps(raw: np.ndarray) -> np.ndarray:

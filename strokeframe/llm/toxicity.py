@@ -180,8 +180,9 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((low + high) / 2, 0.02, 0.98))
 
 
-def fit(sample: DataFrame, languages: lang_id.LangModel, epochs: int = 2, rate: float = 0.05) -> ToxicModel:
-    """sample: a bounded set of (doc_id, text, label); a fifth of it calibrates what the rest has trained."""
+def fit(sample: DataFrame, languages: lang_id.LangModel, updates: int = 8000, rate: float = 0.05) -> ToxicModel:
+    """sample: a bounded set of (doc_id, text, label); a fifth of it calibrates what the rest has trained (all of
+    it, if that fifth has fewer than 20 rows of a label). Trains for about ``updates`` steps, 2 to 12 epochs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -202,10 +203,12 @@ def fit(sample: DataFrame, languages: lang_id.LangModel, epochs: int = 2, rate:
         net.out[:] = 0
         return ToxicModel(net, 1.0, 5.0 if len(y) and y[0] else -5.0, languages, {"": 0.5})
     apart = np.arange(len(rows)) % 5 == 0
+    if min((y[apart] == 1).sum(), (y[apart] == 0).sum()) < 20:
+        apart[:] = False
     fit_at = np.flatnonzero(~apart)
     net = Net([docs[i] for i in fit_at], min(SHARED_BY, 1 + len(fit_at) // 50))
-    net.fit([docs[i] for i in fit_at], y[fit_at], epochs, rate)
-    hold = np.flatnonzero(apart) if len(set(y[apart])) == 2 else np.arange(len(rows))
+    net.fit([docs[i] for i in fit_at], y[fit_at], int(np.clip(updates // len(fit_at), 2, 12)), rate)
+    hold = np.flatnonzero(apart) if apart.any() else np.arange(len(rows))
     bounds = np.concatenate([[0], np.cumsum([len(docs[i][0]) for i in hold])])
     z = net.logits(np.concatenate([docs[i][0] for i in hold]), np.concatenate([docs[i][1] for i in hold]), bounds)
     slope, intercept = platt(z, y[hold])
