@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from .store import written
 
 SPACE = "▁"
 #: Code points of a chunk, and units that a worker's cache holds.
-CHUNK, CACHED = 16384, 600_000
+CHUNK, CACHED = 16384, 450_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 START = 0  # the state at a text's start
 
@@ -109,14 +110,13 @@ class Vocabulary:
 
     def tokens_at(self, s: str, i: int) -> list[tuple[int, int]]:
         """(end, id) of every token that matches at s[i:]."""
-        found, ids = [], self.ids
-        for j in range(i + 1, min(len(s), i + self.longest) + 1):
-            t = ids.get(s[i:j])
-            if t is None:
-                break
+        found, ids, j = [], self.ids.get, i + 1
+        end = min(len(s), i + self.longest)
+        while j <= end and (t := ids(s[i:j])) is not None:
             if t >= 0:
                 found.append((j, t))
-        return found if ids.get(s[i], -1) >= 0 else [(i + 1, self.size + ord(s[i])), *found]
+            j += 1
+        return found if found and found[0][0] == i + 1 else [(i + 1, self.size + ord(s[i])), *found]
 
     def paths(self, s: str, start: int, before: int | None, stop: int) -> dict[int, tuple[int, int]]:
         """end -> (start, id) of the last token of the path from ``start``, after token ``before``, to each end
@@ -148,6 +148,36 @@ class Vocabulary:
                             last[j] = (i, t)
         return last
 
+    def whole_path(self, s: str) -> list[int]:
+        """The ids of the path through all of ``s``, which starts and ends at safe cuts: longest tokens first,
+        going back where none may follow. A prefix has only one path, so wrong turns end soon."""
+        n, pairs = len(s), self.pairs.get
+        path: list[int] = []
+        open_, dead = [self.tokens_at(s, 0)], set()
+        while True:
+            here = open_[-1]
+            while here:
+                j, t = here.pop()
+                if path:
+                    prev = path[-1]
+                    known = pairs(prev << 32 | t)
+                    if known is None:
+                        known = self._follows(prev, t)
+                    if not known or (j, t) in dead:
+                        continue
+                path.append(t)
+                if j == n:
+                    return path
+                open_.append(self.tokens_at(s, j))
+                here = open_[-1]
+            # nothing may follow the last token
+            open_.pop()
+            dead.add((sum(map(self.width, path)), path.pop()))
+
+    def width(self, t: int) -> int:
+        """Code points of a token."""
+        return len(self.text[t]) if t < self.size else 1
+
     @staticmethod
     def trace(last: dict[int, tuple[int, int]], start: int, end: int) -> list[int]:
         """The ids of the path from ``start`` to ``end``."""
@@ -159,10 +189,10 @@ class Vocabulary:
 
     def packed(self, tokens: list[int]) -> bytes:
         """int32 ids; a code point without a piece becomes the ids of its bytes."""
-        ids: list[int] = []
-        for t in tokens:
-            ids.extend([t] if t < self.size else [self.byte_ids[b] for b in chr(t - self.size).encode("utf-8", "surrogatepass")])
-        return np.array(ids, "<i4").tobytes()
+        if tokens and max(tokens) >= self.size:
+            known = [[t] if t < self.size else [self.byte_ids[b] for b in chr(t - self.size).encode("utf-8", "surrogatepass")] for t in tokens]
+            tokens = [i for ids in known for i in ids]
+        return struct.pack(f"<{len(tokens)}i", *tokens)
 
 
 class Units(dict):
@@ -175,7 +205,7 @@ class Units(dict):
         v = self.vocabulary
         if len(self) >= CACHED:
             self.clear()
-        found = v.packed(v.trace(v.paths(unit, 0, None, len(unit)), 0, len(unit)))
+        found = v.packed(v.whole_path(unit))
         if len(unit) <= 64:
             self[unit] = found
         return found
