@@ -129,12 +129,13 @@ def edge_descriptor(hist: DataFrame, cells: int = 4, bins: int = 8) -> DataFrame
     return by.select("raster_id", flat.alias("v")).select("raster_id", F.when(norm > 0, F.transform("v", lambda x: x / norm)).otherwise(F.col("v")).alias("vec"))
 
 
-def lines_to_pixels(seg: DataFrame) -> DataFrame:
-    """(drawing_id, y, x): pixels of one-pixel lines between the truncated ends, a step a pixel along the longer axis."""
+def lines_to_pixels(seg: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(drawing_id, y, x, and the columns ``keep``): distinct pixels of one-pixel lines between the truncated ends, a
+    step a pixel along the longer axis."""
     x1, y1, x2, y2 = (F.col(c).cast("int") for c in ("x1", "y1", "x2", "y2"))
     n = F.greatest(F.abs(x2 - x1), F.abs(y2 - y1))
     at = lambda a, b: F.floor(a + (b - a) * F.col("k") / F.greatest(n, F.lit(1)) + 0.5).cast("int")
-    return seg.withColumn("k", F.explode(F.sequence(F.lit(0), n))).select("drawing_id", at(y1, y2).alias("y"), at(x1, x2).alias("x")).distinct()
+    return seg.withColumn("k", F.explode(F.sequence(F.lit(0), n))).select("drawing_id", at(y1, y2).alias("y"), at(x1, x2).alias("x"), *(keep or [])).distinct()
 
 
 def components(pix: DataFrame, h: int, w: int) -> DataFrame:

@@ -91,3 +91,26 @@ def wide_table(hist: DataFrame, short: str, bins: list, value: str = "norm_value
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     """Distinct values, or tuples, with their counts."""
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def linear_scores(hist: DataFrame, coefficients: list[float], intercept: float = 0.0) -> DataFrame:
+    """(drawing_id, contour_id, score): a linear model of each contour's normalised histogram."""
+    weight = F.element_at(F.array(*[F.lit(float(c)) for c in coefficients]), F.col("bin") + 1)
+    return hist.where("contour_id IS NOT NULL").groupBy(*CONTOUR).agg((F.sum(F.col("norm_value") * weight) + intercept).alias("score"))
+
+
+def strength_summary(pix: DataFrame, h: int, w: int) -> DataFrame:
+    """(raster_id, share, top, mean): share of pixels above 0, the largest strength, and the mean of those above 0."""
+    on = pix.where("strength > 0").groupBy("raster_id")
+    return on.agg((F.count(F.lit(1)) / float(h * w)).alias("share"), F.max("strength").alias("top"), F.avg("strength").alias("mean"))
+
+
+def property_ranges(seg: DataFrame, columns: list[str]) -> DataFrame:
+    """(property, low, high) over all segments; NaN and null are ignored."""
+    sane = seg.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))])).alias("property", "v")).where("v IS NOT NULL AND NOT isnan(v)")
+    return sane.groupBy("property").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def density(pixels: DataFrame, value: str, order: str) -> DataFrame:
+    """(drawing_id, y, x, value): of all that is painted on a pixel, what comes last in ``order``."""
+    return pixels.groupBy("drawing_id", "y", "x").agg(F.max_by(value, order).alias("value"))

@@ -409,3 +409,55 @@ def svg_import(spark, sf):
 
     drawn = svg_text(segments(spark, sf), WIDTH, HEIGHT)
     return parse_files(drawn.select(F.concat(F.col("drawing_id").cast("string"), F.lit(".svg")).alias("path"), F.col("value").cast("binary").alias("content")))
+
+
+@register(
+    "hist_mat_property",
+    """, sc AS (SELECT l_orderkey // 75 AS drawing_id, (l_partkey % 101) / 100.0 AS v FROM lineitem)
+SELECT drawing_id, CAST(least(floor(v * 8), 7) AS INTEGER) AS bin, count(*) AS n FROM sc GROUP BY ALL""",
+)
+def hist_mat_property(spark, sf):
+    from strokeframe.tables import read_table
+
+    scores = read_table(spark, sf, "lineitem").select(F.expr("l_orderkey div 75").alias("drawing_id"), (F.col("l_partkey") % 101 / 100.0).alias("v"))
+    return stats.score_stats(scores, "v")
+
+
+@register(
+    "split_linear_model",
+    f""", h AS (SELECT drawing_id, contour_id, CAST({_HV_BIN} AS INTEGER) AS bin, sum(len) AS v FROM feat GROUP BY ALL),
+sc AS (SELECT h.drawing_id, h.contour_id, any_value(clen) AS length, round(2.5 + sum(CASE WHEN clen > 0 THEN v / clen * 10000 ELSE 0 END * {_WEIGHTS}[bin + 1]), 6) AS score
+  FROM h JOIN cont USING (drawing_id, contour_id) GROUP BY ALL),
+cum AS (SELECT drawing_id, contour_id, round(sum(length) OVER (PARTITION BY drawing_id ORDER BY score, contour_id ROWS UNBOUNDED PRECEDING)
+  / sum(length) OVER (PARTITION BY drawing_id), 9) AS share FROM sc)
+SELECT drawing_id, contour_id, round(share, 4) + 0.0 AS share, share <= 0.5 AS bottom, share >= 0.5 AS top FROM cum""",
+)
+def split_linear_model(spark, sf):
+    seg = featured(spark, sf)
+    scores = stats.linear_scores(stats.horizontal_vertical_stats(seg), _WEIGHTS, 2.5)
+    contours = geo.contour_lengths(seg).withColumnRenamed("clen", "length").join(scores, geo.CONTOUR)
+    return split.cumulative_split(contours, F.round("score", 6)).select(*geo.CONTOUR, "share", "bottom", "top")
+
+
+@register(
+    "property_ranges",
+    """, u AS (SELECT 'len' AS property, len AS v FROM feat UNION ALL SELECT 'ori', ori FROM feat UNION ALL SELECT 'curv', curv FROM feat)
+SELECT property, round(min(v), 4) + 0.0 AS low, round(max(v), 4) + 0.0 AS high FROM u GROUP BY 1""",
+)
+def property_ranges(spark, sf):
+    return stats.property_ranges(featured(spark, sf), ["len", "ori", "curv"])
+
+
+@register(
+    "density_map",
+    """, l AS (SELECT drawing_id, contour_id * 1000 + seg_id AS o, CAST(trunc(x1) AS INT) AS a, CAST(trunc(y1) AS INT) AS b, CAST(trunc(x2) AS INT) AS c, CAST(trunc(y2) AS INT) AS d FROM seg_small),
+n AS (SELECT *, greatest(abs(c - a), abs(d - b)) AS n FROM l), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n),
+p AS (SELECT drawing_id, o, CAST(floor(b + (d - b) * k / greatest(n, 1) + 0.5) AS INTEGER) AS y, CAST(floor(a + (c - a) * k / greatest(n, 1) + 0.5) AS INTEGER) AS x FROM k)
+SELECT drawing_id, y, x, round(arg_max(len, o), 4) + 0.0 AS value FROM p JOIN (SELECT contour_id * 1000 + seg_id AS o, len FROM feat) USING (o) GROUP BY ALL""",
+)
+def density_map(spark, sf):
+    """The length of the segment painted last on each pixel."""
+    from strokeframe.operators import raster
+
+    seg = geo.with_length(segments_small(spark, sf)).withColumn("o", F.col("contour_id") * 1000 + F.col("seg_id"))
+    return stats.density(raster.lines_to_pixels(seg, ["o", "len"]), "len", "o")

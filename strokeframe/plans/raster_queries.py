@@ -415,3 +415,10 @@ SELECT DISTINCT drawing_id, CAST(floor(b + (d - b) * k / greatest(n, 1) + 0.5) A
 )
 def raster_line(spark, sf):
     return raster.lines_to_pixels(segments_small(spark, sf))
+
+
+@register("edge_stats", "SELECT raster_id, round(count(*) / 1536.0, 4) + 0.0 AS share, round(max(strength), 4) + 0.0 AS top, round(avg(strength), 4) + 0.0 AS mean FROM pix WHERE strength > 0 GROUP BY 1")
+def edge_stats(spark, sf):
+    from strokeframe.operators.stats import strength_summary
+
+    return strength_summary(pixels(spark, sf), RASTER_H, RASTER_W)
