@@ -33,7 +33,7 @@ from .store import written
 
 SPACE = "▁"
 #: Code points of a chunk, and units that a worker's cache holds.
-CHUNK, CACHED = 16384, 450_000
+CHUNK, CACHED = 16384, 200_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 START = 0  # the state at a text's start
 
