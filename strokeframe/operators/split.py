@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,27 +90,26 @@ def duplicate_contours(seg: DataFrame, within: float = 1.0, cell: float = 16.0)
 
 def merge_straight_runs(seg: DataFrame, threshold: float = 1.0) -> DataFrame:
     """(drawing_id, contour_id, seg_id, x1, y1, x2, y2): from each segment on, the longest run whose inner points
-    lie within ``threshold`` of its chord on average becomes one segment. A contour is worked on in one task."""
+    lie within ``threshold`` of its chord on average becomes one segment. A drawing is worked on in one task."""
 
     def runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values("seg_id")
-        p = np.concatenate([pdf[["x1", "y1"]].to_numpy(), pdf[["x2", "y2"]].to_numpy()[-1:]])
-        out, i = [], 0
-        while i < len(p) - 1:
-            best = i + 1
-            for j in range(i + 2, len(p)):
-                chord, rel = p[j] - p[i], p[i + 1 : j] - p[i]
-                n = np.hypot(*chord)
-                away = np.abs(chord[0] * rel[:, 1] - chord[1] * rel[:, 0]) / n if n else np.hypot(rel[:, 0], rel[:, 1])
-                if away.mean() > threshold:
-                    break
-                best = j
-            out.append((pdf["drawing_id"].iloc[0], pdf["contour_id"].iloc[0], len(out), *p[i], *p[best]))
-            i = best
+        out = []
+        for contour, own in pdf.sort_values(["contour_id", "seg_id"]).groupby("contour_id"):
+            p = np.concatenate([own[["x1", "y1"]].to_numpy(), own[["x2", "y2"]].to_numpy()[-1:]])
+            i, n = 0, 0
+            while i < len(p) - 1:
+                best = i + 1
+                for j in range(i + 2, len(p)):
+                    chord, rel = p[j] - p[i], p[i + 1 : j] - p[i]
+                    length = np.hypot(*chord)
+                    away = np.abs(chord[0] * rel[:, 1] - chord[1] * rel[:, 0]) / length if length else np.hypot(rel[:, 0], rel[:, 1])
+                    if away.mean() > threshold:
+                        break
+                    best = j
+                out.append((pdf["drawing_id"].iloc[0], contour, n, *p[i], *p[best]))
+                i, n = best, n + 1
         return pd.DataFrame(out, columns=[*SEGMENT, "x1", "y1", "x2", "y2"])
 
     schema = "drawing_id bigint, contour_id bigint, seg_id bigint, x1 double, y1 double, x2 double, y2 double"
-    return seg.select(*SEGMENT, "x1", "y1", "x2", "y2").groupBy(*CONTOUR).applyInPandas(runs, schema)
+    return seg.select(*SEGMENT, "x1", "y1", "x2", "y2").groupBy("drawing_id").applyInPandas(runs, schema)
 
