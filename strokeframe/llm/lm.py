@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from .flat import Words, mix, slices
 from .store import written
 
 PROBES, BITS_PER_ENTRY = 4, 10
-#: Bytes of the filter and of a slice of the exact word counts up to which they are broadcast.
+#: Bytes of the filter and of the exact word counts up to which they are broadcast.
 FILTER_BYTES, COUNTS_BYTES = 192 << 20, 128 << 20
 #: Tokens that a task counts before it hands counts on.
 FLUSH = 3 << 20
@@ -211,19 +212,40 @@ def fit(docs: DataFrame, filter_bytes: int = FILTER_BYTES, segment_rows: int = 1
     return Model(segment_bits, table, np.cumsum(sizes) - sizes, sizes, texts, tokens, distinct, least, float(np.clip(weight, 0.0, 0.95))), words.select("segment", "keys", "counts", "n")
 
 
-def count_slices(words: DataFrame, most_bytes: int = COUNTS_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """(sorted hashes, counts, first segment, segment after the last): the exact word counts in slices that may be broadcast."""
-    sizes = sorted((r["segment"], r["n"]) for r in words.select("segment", "n").collect())
-    cuts, total = [0], 0
-    for segment, n in sizes:
-        if total and (total + n) * 12 > most_bytes:
-            cuts.append(segment)
-            total = 0
-        total += n
-    for low, high in zip(cuts, [*cuts[1:], 1 << 62], strict=True):
-        rows = words.where((F.col("segment") >= low) & (F.col("segment") < high)).select("segment", "keys", "counts").toArrow().sort_by("segment")
-        keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint64)
-        yield keys, np.frombuffer(b"".join(rows["counts"].to_pylist()), np.int64).clip(max=(1 << 32) - 1).astype(np.uint32), low, high
+def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The value of each asked key among sorted keys; 0 where it is absent."""
+    at = np.searchsorted(keys, asked)
+    hit = at < len(keys)
+    hit[hit] = keys[at[hit]] == asked[hit]
+    out = np.zeros(len(asked), values.dtype)
+    out[hit] = values[at[hit]]
+    return out
+
+
+def _clipped(counts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(counts), np.int64).clip(max=(1 << 32) - 1).astype(np.uint32)
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def _scored(b: pa.RecordBatch, m: Model, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """The scores of a batch (doc_id, text), with the exact counts of sorted hashes that hold all its known words."""
+    tokens, before, bounds = tokens_of(b.column("text"))
+    seen, at = np.unique(tokens, return_inverse=True)
+    c = _found(keys, counts, seen).astype(np.float64)
+    # with no training token at all, every token has the probability 1
+    base = (np.log10(c + 0.5) - np.log10(m.tokens + 0.5 * (m.distinct + 1)) if m.distinct else np.zeros(len(seen)))[at]
+    own = m.log10(tokens, before) if m.distinct else np.zeros(len(tokens))
+    first = bounds[:-1]
+    return pa.record_batch({
+        "doc_id": b.column("doc_id"), "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(np.add.reduceat((c > 0)[at].astype(np.int64), first)),
+        "train_tokens": pa.array(np.full(len(first), m.tokens)), "base_score": pa.array(np.add.reduceat(base, first)), "score": pa.array(np.add.reduceat(own, first)),
+    })
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, most_bytes: int = COUNTS_BYTES) -> DataFrame:
@@ -231,49 +253,61 @@ def score(docs: DataFrame, model: Model, words: DataFrame, most_bytes: int = COU
 
     Words are split at white space with A-Z lower-cased, and one end follows; null counts as the empty text.
     n_known and base_score use exact counts: base_score is the sum of log10((c + 0.5) / (N + 0.5 (V + 1))).
-    If the word counts take more than one slice, there is a scan for each, and its sums are added by doc_id,
-    which then must be unique; otherwise repeated rows are each returned.
+    Every row gives one row, also where doc_id is null or repeated. Word counts of more than ``most_bytes``
+    are not broadcast but asked for segment by segment; the rows are the same.
     """
+    if model.distinct * 12 > most_bytes:
+        return _score_by_segment(docs, model, words)
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(model)
-
-    def scan(part) -> DataFrame:
-        keys, counts, low, high = part
-        exact = context.broadcast((keys, counts))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, (keys, counts) = shared.value, exact.value
-            floor = np.log10(m.tokens + 0.5 * (m.distinct + 1)) if m.distinct else 0.0
-            for b in slices(batches, "text", BLOCK):
-                tokens, before, bounds = tokens_of(b.column("text"))
-                seen, at = np.unique(tokens, return_inverse=True)
-                place = np.searchsorted(keys, seen)
-                hit = place < len(keys)
-                hit[hit] = keys[place[hit]] == seen[hit]
-                c = np.zeros(len(seen))
-                c[hit] = counts[place[hit]]
-                segment = (seen >> np.uint64(64 - m.segment_bits)).astype(np.int64)
-                mine = (segment >= low) & (segment < high)
-                # with no training token at all, every token has the probability 1
-                base = np.where(mine, np.log10(c + 0.5) - floor if m.distinct else 0.0, 0.0)[at]
-                own = m.log10(tokens, before) if low == 0 and m.distinct else np.zeros(len(tokens))
-                first = bounds[:-1]
+    rows = words.select("segment", "keys", "counts").toArrow().sort_by("segment")
+    shared, exact = context.broadcast(model), context.broadcast((_joined(rows["keys"], np.uint64), _clipped(rows["counts"].to_pylist())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", BLOCK):
+            yield _scored(b, shared.value, *exact.value)
+
+    return docs.select("doc_id", "text").mapInArrow(run, SCORED)
+
+
+def _score_by_segment(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    """score() for tables that no process holds: the rows are written in blocks, each block's distinct n-grams go
+    once to their segments, and what is known of them comes back to the block."""
+    shared, segment_bits = docs.sparkSession.sparkContext.broadcast(model), model.segment_bits
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, b in enumerate(slices(batches, "text", BLOCK)):
+            yield pa.record_batch({"block": pa.array(np.full(b.num_rows, first + k)), "doc_id": b.column("doc_id"), "text": b.column("text")})
+
+    dealt = written(docs.select("doc_id", "text").mapInArrow(deal, "block bigint, doc_id bigint, text string"), "blocks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block = b.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                keys = np.unique(tokens_of(b.column("text").slice(i, j - i))[0])
+                segment = (keys >> np.uint64(64 - segment_bits)).astype(np.int32)
+                cuts = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist(), len(keys)]
                 yield pa.record_batch({
-                    "doc_id": b.column("doc_id"), "n_tokens": pa.array(np.diff(bounds)),
-                    "n_known": pa.array(np.add.reduceat(((c > 0) & mine)[at].astype(np.int64), first)),
-                    "train_tokens": pa.array(np.full(len(first), m.tokens)),
-                    "base_score": pa.array(np.add.reduceat(base, first)), "score": pa.array(np.add.reduceat(own, first)),
+                    "segment": pa.array(segment[cuts[:-1]]), "block": pa.array(np.full(len(cuts) - 1, block[i])),
+                    "keys": pa.array([keys[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary()),
                 })
 
-        return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-
-    scans = [scan(part) for part in count_slices(words, most_bytes)]
-    if len(scans) == 1:
-        return scans[0]
-    every = scans[0]
-    for more in scans[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("doc_id").agg(
-        F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.max("train_tokens").alias("train_tokens"),
-        F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
-    )
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        parts = asked["keys"].to_pylist()
+        counts = _found(_joined(held["keys"], np.uint64), _clipped(held["counts"].to_pylist()), np.frombuffer(b"".join(parts), np.uint64))
+        ends = np.cumsum([len(p) // 8 for p in parts], dtype=np.int64)
+        cut = [counts[e - len(p) // 8 : e].tobytes() for p, e in zip(parts, ends, strict=True)]
+        return pa.table({"block": asked["block"], "keys": asked["keys"], "counts": pa.array(cut, pa.binary())})
+
+    def finish(rows: pa.Table, known: pa.Table) -> pa.Table:
+        keys, first = np.unique(_joined(known["keys"], np.uint64), return_index=True)
+        counts = _joined(known["counts"], np.uint32)[first]
+        return pa.Table.from_batches([_scored(b, shared.value, keys, counts) for b in slices(rows.to_batches(), "text", BLOCK)])
+
+    asked = dealt.select("block", "text").mapInArrow(ask, "segment int, block bigint, keys binary")
+    known = asked.groupBy("segment").cogroup(words.select("segment", "keys", "counts").groupBy("segment")).applyInArrow(answer, "block bigint, keys binary, counts binary")
+    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(finish, SCORED)
