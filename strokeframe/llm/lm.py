@@ -3,7 +3,8 @@
 Words and word pairs are counted over all training texts. A count c has the level 1 + floor(log2 c), and an
 n-gram of level q is put into the filter once for each level from 1 to q; a reader probes level after level
 until one is absent, and takes the mean count of the last level. The filter is made segment by segment -
-an n-gram's probes stay within the segment that its hash names - and broadcast.
+an n-gram's probes stay within the segment that its hash names - and broadcast, or beyond FILTER_BYTES left as
+a written table that is asked segment by segment. All words and pairs are in it at every size.
 
 Probabilities interpolate the pair's relative frequency with the word's; the pairs' weight is the
 Good-Turing estimate of the mass of seen pairs.
@@ -11,11 +12,12 @@ Good-Turing estimate of the mass of seen pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,41 +79,47 @@ def filter_bits(keys: np.ndarray, q: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
+def _probe(table: np.ndarray, keys: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The quantised count of each key by repeated membership probes from bit ``start`` on; 0 is absent."""
+    found = np.zeros(len(keys), np.int64)
+    live = np.arange(len(keys))
+    for level in range(1, len(MEAN)):
+        for k in range(PROBES):  # most absent keys go at the first probe
+            at = start[live] + _place(keys[live], level, k, size[live]).astype(np.int64)
+            live = live[(table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+            if not len(live):
+                return found
+        found[live] = level
+    return found
+
+
 @dataclass
 class Model:
     segment_bits: int
-    table: np.ndarray  # the packed filter, segment after segment
+    table: np.ndarray  # the packed filter, segment after segment; empty if it stays a DataFrame
     starts: np.ndarray  # of each segment, in bits
     sizes: np.ndarray  # of each segment, in bits
     texts: int
     tokens: int
     distinct: int
-    least: int  # pairs with smaller counts are not in the filter
+    least: int  # the count that pairs would need for the filter to fit its bound; above 1 it stays a DataFrame, with all pairs
     pair_weight: float
+    filter: DataFrame | None = None  # (segment, bits)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """The quantised count of each key by repeated membership probes; 0 is absent."""
-        found = np.zeros(len(keys), np.int64)
-        live = np.arange(len(keys))
+        """The quantised count of each key; 0 is absent."""
         segment = (keys >> np.uint64(64 - self.segment_bits)).astype(np.int64)
-        start, size = self.starts[segment], self.sizes[segment].astype(np.uint64)
-        for level in range(1, len(MEAN)):
-            for k in range(PROBES):  # most absent keys go at the first probe
-                at = start[live] + _place(keys[live], level, k, size[live]).astype(np.int64)
-                live = live[(self.table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
-                if not len(live):
-                    return found
-            found[live] = level
-        return found
-
-    def log10(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after the token before it."""
+        return _probe(self.table, keys, self.starts[segment], self.sizes[segment].astype(np.uint64))
+
+    def log10(self, words: np.ndarray, before: np.ndarray, level: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """log10 of each token's probability after the token before it; ``level`` stands in for level()."""
+        level = level or self.level
         distinct, at = np.unique(np.concatenate([words, before]), return_inverse=True)
-        counts = MEAN[self.level(distinct)]
+        counts = MEAN[level(distinct)]
         counts[distinct == START] = self.texts
         c_word, c_before = counts[at[: len(words)]], counts[at[len(words) :]]
         pairs, at = np.unique(pair_hash(before, words), return_inverse=True)
-        c_pair = MEAN[self.level(pairs)][at]
+        c_pair = MEAN[level(pairs)][at]
         alone = (c_word + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
         together = c_pair / np.maximum(np.maximum(c_before, c_pair), 1)
         # an unknown word before it tells nothing
@@ -166,8 +174,8 @@ def fit(docs: DataFrame, filter_bytes: int = FILTER_BYTES, segment_rows: int = 1
     """(model, word counts) of all rows of ``docs`` (text); null counts as the empty text, which is one end.
 
     The word counts (segment, keys, counts) stay a DataFrame in the shared folder. The number of segments
-    follows the number of texts, about ``segment_rows`` each. If the filter would take more than
-    ``filter_bytes``, pairs need a count of 2, 4, ... to enter it, as few as make it fit.
+    follows the number of texts, about ``segment_rows`` each. A filter of more than ``filter_bytes``
+    is not collected but stays a table in the shared folder, and score() asks it segment by segment.
     """
     texts = docs.count()
     segment_bits = int(np.clip(np.ceil(np.log2(max(texts / segment_rows, 1))), 4, 16))
@@ -195,21 +203,25 @@ def fit(docs: DataFrame, filter_bytes: int = FILTER_BYTES, segment_rows: int = 1
         keys, q = [], []
         for pair in (0, 1):
             k, c = _merged(table, pair)
-            level = levels(c)
-            keys.append(k[level >= (least if pair else 1)])
-            q.append(level[level >= (least if pair else 1)])
+            keys.append(k)
+            q.append(levels(c))
         keys, q = np.concatenate(keys), np.concatenate(q)
         bits = -(-max(64, int(q.sum()) * BITS_PER_ENTRY) // 8) * 8
         return pa.table({"segment": pa.array([table.column("segment")[0].as_py()], pa.int32()), "bits": pa.array([filter_bits(keys, q, bits).tobytes()], pa.binary())})
 
-    rows = raw.groupBy("segment").applyInArrow(build, "segment int, bits binary").toArrow()
+    made = raw.groupBy("segment").applyInArrow(build, "segment int, bits binary")
+    weight = float(np.clip(1 - single / tokens if tokens else 0.0, 0.0, 0.95))
+    words = words.select("segment", "keys", "counts", "n")
+    if least > 1:
+        none = np.zeros(0, np.int64)
+        return Model(segment_bits, none.astype(np.uint8), none, none, texts, tokens, distinct, least, weight, written(made, "filter")), words
+    rows = made.toArrow()
     parts = dict(zip(rows["segment"].to_pylist(), rows["bits"].to_pylist(), strict=True))
     blank = bytes(8)
     parts = [parts.get(i, blank) for i in range(1 << segment_bits)]
     sizes = np.array([8 * len(p) for p in parts], np.int64)
     table = np.frombuffer(b"".join(parts), np.uint8)
-    weight = 1 - single / tokens if tokens else 0.0
-    return Model(segment_bits, table, np.cumsum(sizes) - sizes, sizes, texts, tokens, distinct, least, float(np.clip(weight, 0.0, 0.95))), words.select("segment", "keys", "counts", "n")
+    return Model(segment_bits, table, np.cumsum(sizes) - sizes, sizes, texts, tokens, distinct, least, weight), words
 
 
 def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -233,14 +245,14 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _scored(b: pa.RecordBatch, m: Model, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def _scored(b: pa.RecordBatch, m: Model, keys: np.ndarray, counts: np.ndarray, level: Callable | None = None) -> pa.RecordBatch:
     """The scores of a batch (doc_id, text), with the exact counts of sorted hashes that hold all its known words."""
     tokens, before, bounds = tokens_of(b.column("text"))
     seen, at = np.unique(tokens, return_inverse=True)
     c = _found(keys, counts, seen).astype(np.float64)
     # with no training token at all, every token has the probability 1
     base = (np.log10(c + 0.5) - np.log10(m.tokens + 0.5 * (m.distinct + 1)) if m.distinct else np.zeros(len(seen)))[at]
-    own = m.log10(tokens, before) if m.distinct else np.zeros(len(tokens))
+    own = m.log10(tokens, before, level) if m.distinct else np.zeros(len(tokens))
     first = bounds[:-1]
     return pa.record_batch({
         "doc_id": b.column("doc_id"), "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(np.add.reduceat((c > 0)[at].astype(np.int64), first)),
@@ -254,9 +266,9 @@ def score(docs: DataFrame, model: Model, words: DataFrame, most_bytes: int = COU
     Words are split at white space with A-Z lower-cased, and one end follows; null counts as the empty text.
     n_known and base_score use exact counts: base_score is the sum of log10((c + 0.5) / (N + 0.5 (V + 1))).
     Every row gives one row, also where doc_id is null or repeated. Word counts of more than ``most_bytes``
-    are not broadcast but asked for segment by segment; the rows are the same.
+    and a filter that stays a table are asked segment by segment; the rows are the same.
     """
-    if model.distinct * 12 > most_bytes:
+    if model.filter is not None or model.distinct * 12 > most_bytes:
         return _score_by_segment(docs, model, words)
     context = docs.sparkSession.sparkContext
     rows = words.select("segment", "keys", "counts").toArrow().sort_by("segment")
@@ -272,7 +284,8 @@ def score(docs: DataFrame, model: Model, words: DataFrame, most_bytes: int = COU
 def _score_by_segment(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """score() for tables that no process holds: the rows are written in blocks, each block's distinct n-grams go
     once to their segments, and what is known of them comes back to the block."""
-    shared, segment_bits = docs.sparkSession.sparkContext.broadcast(model), model.segment_bits
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, filter=None))
+    segment_bits, tabled = model.segment_bits, model.filter is not None
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -288,7 +301,8 @@ def _score_by_segment(docs: DataFrame, model: Model, words: DataFrame) -> DataFr
             for i, j in zip(edges, edges[1:], strict=False):
                 if i == j:
                     continue
-                keys = np.unique(tokens_of(b.column("text").slice(i, j - i))[0])
+                tokens, before, _ = tokens_of(b.column("text").slice(i, j - i))
+                keys = np.unique(np.concatenate([tokens, pair_hash(before, tokens)]) if tabled else tokens)
                 segment = (keys >> np.uint64(64 - segment_bits)).astype(np.int32)
                 cuts = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist(), len(keys)]
                 yield pa.record_batch({
@@ -298,16 +312,25 @@ def _score_by_segment(docs: DataFrame, model: Model, words: DataFrame) -> DataFr
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         parts = asked["keys"].to_pylist()
-        counts = _found(_joined(held["keys"], np.uint64), _clipped(held["counts"].to_pylist()), np.frombuffer(b"".join(parts), np.uint64))
+        keys, at = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_inverse=True)
         ends = np.cumsum([len(p) // 8 for p in parts], dtype=np.int64)
-        cut = [counts[e - len(p) // 8 : e].tobytes() for p, e in zip(parts, ends, strict=True)]
-        return pa.table({"block": asked["block"], "keys": asked["keys"], "counts": pa.array(cut, pa.binary())})
+        split = lambda values: pa.array([values[at[e - len(p) // 8 : e]].tobytes() for p, e in zip(parts, ends, strict=True)], pa.binary())
+        exact = held.filter(pc.is_valid(held["keys"]))
+        counts = _found(_joined(exact["keys"], np.uint64), _clipped(exact["counts"].to_pylist()), keys)
+        bits = _joined(held["bits"].drop_null(), np.uint8)
+        sized = np.full(len(keys), 8 * len(bits), np.uint64)
+        level = _probe(bits, keys, np.zeros(len(keys), np.int64), sized) if len(bits) else np.zeros(len(keys), np.int64)
+        return pa.table({"block": asked["block"], "keys": asked["keys"], "counts": split(counts), "levels": split(level.astype(np.uint8))})
 
     def finish(rows: pa.Table, known: pa.Table) -> pa.Table:
         keys, first = np.unique(_joined(known["keys"], np.uint64), return_index=True)
-        counts = _joined(known["counts"], np.uint32)[first]
-        return pa.Table.from_batches([_scored(b, shared.value, keys, counts) for b in slices(rows.to_batches(), "text", BLOCK)])
+        counts, levels_ = _joined(known["counts"], np.uint32)[first], _joined(known["levels"], np.uint8)[first]
+        level = (lambda asked: _found(keys, levels_, asked)) if tabled else None
+        return pa.Table.from_batches([_scored(b, shared.value, keys, counts, level) for b in slices(rows.to_batches(), "text", BLOCK)])
 
+    held = words.select("segment", "keys", "counts", F.lit(None).cast("binary").alias("bits"))
+    if tabled:
+        held = held.unionByName(model.filter, allowMissingColumns=True)
     asked = dealt.select("block", "text").mapInArrow(ask, "segment int, block bigint, keys binary")
-    known = asked.groupBy("segment").cogroup(words.select("segment", "keys", "counts").groupBy("segment")).applyInArrow(answer, "block bigint, keys binary, counts binary")
+    known = asked.groupBy("segment").cogroup(held.groupBy("segment")).applyInArrow(answer, "block bigint, keys binary, counts binary, levels binary")
     return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(finish, SCORED)

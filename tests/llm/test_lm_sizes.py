@@ -27,3 +27,14 @@ def test_repeated_and_null_ids_beyond_the_counts_bound(spark):
     small = rows_of(lm.score(d, model, counts))
     assert len(small) == len(ROWS)
     assert_same(rows_of(lm.score(d, model, counts, 60)), small)
+
+
+def test_all_pairs_beyond_the_filter_bound(spark):
+    d = spark.createDataFrame(ROWS, DOC).repartition(3)
+    train = d.where("doc_id < 40").select("text")
+    model, counts = lm.fit(train)
+    large, large_counts = lm.fit(train, filter_bytes=400)
+    small = rows_of(lm.score(d, model, counts))
+    assert large.least > 1 and large.pair_weight == model.pair_weight
+    assert_same(rows_of(lm.score(d, large, large_counts)), small)
+    assert_same(rows_of(lm.score(d, large, large_counts, 60)), small)
