@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -256,8 +257,8 @@ def junction_counts(spark, sf):
 
 
 @register("junction_positions", _junction_sql("seg_small") + "SELECT drawing_id, c1, s1, c2, s2, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM junc")
-def junction_positions(spark, sf):
-    return jun.detect(segments_small(spark, sf))
+def junction_positions(spark, sf, source=segments_small):
+    return jun.detect(source(spark, sf))
 
 
 @register(
@@ -266,17 +267,17 @@ def junction_positions(spark, sf):
     + """SELECT i.drawing_id, i.c1 AS i_c1, i.s1 AS i_s1, i.c2 AS i_c2, i.s2 AS i_s2, j.c1 AS j_c1, j.s1 AS j_s1, j.c2 AS j_c2, j.s2 AS j_s2
 FROM junc i JOIN junc j ON i.drawing_id = j.drawing_id AND (i.c1, i.s1, i.c2, i.s2) < (j.c1, j.s1, j.c2, j.s2) AND (i.x - j.x) ** 2 + (i.y - j.y) ** 2 <= 4""",
 )
-def junction_merge_pairs(spark, sf):
-    return jun.merge_pairs(jun.detect(segments_small(spark, sf)))
+def junction_merge_pairs(spark, sf, source=segments_small):
+    return jun.merge_pairs(jun.detect(source(spark, sf)))
 
 
 @register("junction_classes")
 def junction_classes(spark, sf):
-    return jun.merge(jun.detect(segments_small(spark, sf)))
+    return jun.merge(jun.detect(segments(spark, sf)))
 
 
-def _typed(spark, sf):
-    seg = segments_small(spark, sf)
+def _typed(spark, sf, source=segments_small):
+    seg = source(spark, sf)
     return jun.angles_and_types(jun.as_junctions(jun.detect(seg)), seg)
 
 
@@ -296,13 +297,13 @@ typed AS (SELECT *, CASE WHEN n = 3 THEN CASE WHEN hi < 160 THEN 'Y' WHEN hi <=
 
 
 @register("junction_angles_types", _TYPED_SQL + "SELECT drawing_id, c1, s1, c2, s2, round(lo, 4) + 0.0 AS min_angle, round(hi, 4) + 0.0 AS max_angle, type FROM typed")
-def junction_angles_types(spark, sf):
-    return _typed(spark, sf).select("drawing_id", "junction_id.*", "min_angle", "max_angle", "type")
+def junction_angles_types(spark, sf, source=segments_small):
+    return _typed(spark, sf, source).select("drawing_id", "junction_id.*", "min_angle", "max_angle", "type")
 
 
 @register("junction_type_hist", _TYPED_SQL + "SELECT drawing_id, type, count(*) AS n FROM typed GROUP BY ALL")
-def junction_type_hist(spark, sf):
-    return jun.type_counts(_typed(spark, sf))
+def junction_type_hist(spark, sf, source=segments_small):
+    return jun.type_counts(_typed(spark, sf, source))
 
 
 @register(
@@ -311,13 +312,13 @@ def junction_type_hist(spark, sf):
     + """SELECT u.drawing_id, u.contour_id, type, n, round(n / clen * 10000, 4) + 0.0 AS norm FROM (SELECT drawing_id, contour_id, type, count(*) AS n
   FROM (SELECT drawing_id, type, unnest([c1, c2]) AS contour_id FROM typed) GROUP BY ALL) u JOIN cont USING (drawing_id, contour_id)""",
 )
-def junction_contour_hist(spark, sf):
-    return jun.contour_type_counts(_typed(spark, sf), geo.contour_lengths(segments_small(spark, sf)))
+def junction_contour_hist(spark, sf, source=segments_small):
+    return jun.contour_type_counts(_typed(spark, sf, source), geo.contour_lengths(source(spark, sf)))
 
 
 @register("junction_angle_hist", _TYPED_SQL + "SELECT drawing_id, CAST(least(floor(round(lo, 9) / 15), 7) AS INTEGER) AS bin, count(*) AS n FROM typed GROUP BY ALL")
-def junction_angle_hist(spark, sf):
-    return jun.angle_histogram(_typed(spark, sf))
+def junction_angle_hist(spark, sf, source=segments_small):
+    return jun.angle_histogram(_typed(spark, sf, source))
 
 
 # -- splits -------------------------------------------------------------------
@@ -376,13 +377,13 @@ m AS (SELECT drawing_id, a, b, max(d) AS d FROM n GROUP BY ALL)
 SELECT DISTINCT m.drawing_id, m.a AS contour_id FROM m JOIN m k ON m.drawing_id = k.drawing_id AND m.a = k.b AND m.b = k.a AND m.d < 1 AND k.d < 1
 JOIN cont p ON p.contour_id = m.a JOIN cont q ON q.contour_id = m.b WHERE p.clen < q.clen OR (p.clen = q.clen AND m.a > m.b)""",
 )
-def dup_contours(spark, sf):
-    return split.duplicate_contours(segments_small(spark, sf))
+def dup_contours(spark, sf, source=segments_small):
+    return split.duplicate_contours(source(spark, sf))
 
 
 @register("segment_at_junctions")
 def segment_at_junctions(spark, sf):
-    seg = segments_small(spark, sf)
+    seg = segments(spark, sf)
     found = jun.detect(seg)
     at = [found.select("drawing_id", F.col(c).alias("contour_id"), F.col(s).alias("seg_id"), "x", "y") for c, s in (("c1", "s1"), ("c2", "s2"))]
     return split.split_at_junctions(seg, at[0].unionByName(at[1]))
@@ -455,9 +456,14 @@ n AS (SELECT *, greatest(abs(c - a), abs(d - b)) AS n FROM l), k AS (SELECT *, u
 p AS (SELECT drawing_id, o, CAST(floor(b + (d - b) * k / greatest(n, 1) + 0.5) AS INTEGER) AS y, CAST(floor(a + (c - a) * k / greatest(n, 1) + 0.5) AS INTEGER) AS x FROM k)
 SELECT drawing_id, y, x, round(arg_max(len, o), 4) + 0.0 AS value FROM p JOIN (SELECT contour_id * 1000 + seg_id AS o, len FROM feat) USING (o) GROUP BY ALL""",
 )
-def density_map(spark, sf):
+def density_map(spark, sf, source=segments_small):
     """The length of the segment painted last on each pixel."""
     from strokeframe.operators import raster
 
-    seg = geo.with_length(segments_small(spark, sf)).withColumn("o", F.col("contour_id") * 1000 + F.col("seg_id"))
+    seg = geo.with_length(source(spark, sf)).withColumn("o", F.col("contour_id") * 1000 + F.col("seg_id"))
     return stats.density(raster.lines_to_pixels(seg, ["o", "len"]), "len", "o")
+
+
+# The SQL of these reads segments_small; over all segments they are queries of their own, without SQL.
+for _f in (junction_positions, junction_merge_pairs, junction_angles_types, junction_type_hist, junction_contour_hist, junction_angle_hist, dup_contours, density_map):
+    register(f"{_f.__name__}_all")(partial(_f, source=segments))

@@ -8,7 +8,7 @@ from strokeframe.operators import distance, raster, search
 from strokeframe.tables import read_table
 
 from . import line_queries
-from .fixtures import RASTER_H, RASTER_W, SQL, descriptors, pixels, segments_small
+from .fixtures import RASTER_H, RASTER_W, SQL, descriptors, pixels, segments, segments_small
 
 QUERIES: dict[str, line_queries.Query] = {}
 ORACLE: dict[str, str] = {}
@@ -413,8 +413,14 @@ def large_components(spark, sf):
 n AS (SELECT *, greatest(abs(c - a), abs(d - b)) AS n FROM l), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n)
 SELECT DISTINCT drawing_id, CAST(floor(b + (d - b) * k / greatest(n, 1) + 0.5) AS INTEGER) AS y, CAST(floor(a + (c - a) * k / greatest(n, 1) + 0.5) AS INTEGER) AS x FROM k""",
 )
-def raster_line(spark, sf):
-    return raster.lines_to_pixels(segments_small(spark, sf))
+def raster_line(spark, sf, source=segments_small):
+    return raster.lines_to_pixels(source(spark, sf))
+
+
+@register("raster_line_all")
+def raster_line_all(spark, sf):
+    """raster_line over all segments; its SQL reads segments_small."""
+    return raster_line(spark, sf, segments)
 
 
 @register("edge_stats", "SELECT raster_id, round(count(*) / 1536.0, 4) + 0.0 AS share, round(max(strength), 4) + 0.0 AS top, round(avg(strength), 4) + 0.0 AS mean FROM pix WHERE strength > 0 GROUP BY 1")
