@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .flat import BLOCK, range_hash, slices, text_bytes
+from .store import shared
 
 WINDOW, NEIGHBOURHOOD, POPULAR = 32, 32, 16
 FILTER_BYTES, PROBES, FULL, LEAST = 256, 5, 160, 6
@@ -193,10 +194,10 @@ def compare_with_edits(docs: DataFrame, ranks: np.ndarray, bucket: Column) -> Da
     the order of their texts, rows without one come last. ``bucket`` numbers ranges of doc_id. Null counts
     as the empty text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    given = shared(docs.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = shared.value
+        r = given.value
         held: tuple | None = None  # bucket, doc_id, text, digest: the row before, until the next is seen
         for b in slices(batches, "text", BLOCK):
             own = digests(*text_bytes(b.column("text")), r)
@@ -222,12 +223,12 @@ def compare_with_edits(docs: DataFrame, ranks: np.ndarray, bucket: Column) -> Da
 
 def fingerprints(docs: DataFrame, ranks: np.ndarray, text: str = "text") -> DataFrame:
     """Adds ``fingerprint`` to ``docs``: equal texts have equal ones; null counts as the empty text. All columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    given = shared(docs.sparkSession, ranks)
     names = [c for c in docs.columns if c != "fingerprint"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
-            found = [base64.b64encode(x).decode() for x in digests(*text_bytes(b.column(text)), shared.value)]
+            found = [base64.b64encode(x).decode() for x in digests(*text_bytes(b.column(text)), given.value)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(found, pa.string())], [*names, "fingerprint"])
 
     return docs.select(*names).mapInArrow(run, docs.select(*names).schema.add("fingerprint", "string"))

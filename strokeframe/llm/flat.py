@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is a block of its own.
 BLOCK = 4 << 20
+#: Texts that are worked on at once.
+ROWS = 1 << 14
 #: Bytes that are hashed at once.
 HASHED = 1 << 19
 
@@ -42,24 +44,29 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0] if len(off) else np.zeros(1, np.int64)
 
 
-def blocks(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of rows of at most ``most`` bytes, or of one row."""
+def blocks(offsets: np.ndarray, most: int = BLOCK, rows: int = ROWS) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of at most ``rows`` rows of at most ``most`` bytes, or of one row."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        j = max(i + 1, min(i + rows, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1))
         yield i, j
         i = j
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Record batches cut so that ``column`` has at most ``most`` bytes, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Record batches cut so that they have at most ``rows`` rows, and ``column`` at most ``most`` bytes or one row."""
     for batch in batches:
         if batch.num_rows:
             _, off = text_bytes(batch.column(column))
-            for i, j in blocks(off, most):
+            for i, j in blocks(off, most, rows):
                 yield batch.slice(i, j - i)
 
 
+def counted_rows(bits: int) -> int:
+    """The rows whose gram_counts() are worked on at once: 2^22 cells."""
+    return max(1, (1 << 22) >> bits)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of the hash's base and of its inverse modulo 2^64."""
     base, inverse = np.full(n + 1, _ODD), np.full(n + 1, np.uint64(pow(int(_ODD), -1, 1 << 64)))

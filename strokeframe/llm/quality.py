@@ -15,13 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .flat import Words, gram_counts, slices, text_bytes
+from .flat import Words, counted_rows, gram_counts, slices, text_bytes
+from .store import shared
+from .training import fitted
 
 BITS, RANK, NEIGHBOURS, SHARPNESS = 11, 64, 15, 8
+#: The score from which a text is of good quality.
+ACCEPTED = 0.7
+#: Vectors are rounded to this part of one, so that their products are exact and equal texts score alike.
+GRAIN = 2.0**-20
 BLOCK = 1 << 20
 #: Kinds of bytes whose shares are measured.
 KINDS = [range(0x41, 0x5B), range(0x61, 0x7B), range(0x30, 0x3A), b" \t\n", b".,;:", b"!?", b"|<>{}[]\\", b"#$%&*@^~=+_", range(0x80, 0x100)]
-FORMS = len(KINDS) + 3
+FORMS, FORM_WEIGHT = len(KINDS) + 3, 2
 
 
 def raw_features(column: pa.Array) -> np.ndarray:
@@ -63,13 +69,16 @@ class QualityModel:
     axes: np.ndarray  # (features, RANK)
     vectors: np.ndarray  # (labelled rows, RANK), unit length
     labels: np.ndarray
-    weights: np.ndarray  # of each labelled row's vote, so that both labels weigh the same in all
+    weights: np.ndarray  # of each labelled row's vote
 
     def embed(self, features: np.ndarray) -> np.ndarray:
         return unit(weighted(features, self.idf) @ self.axes)
 
-    def votes(self, column: pa.Array, block: int = 512) -> np.ndarray:
-        """The weighted share of label 1 among the nearest labelled rows; 0.5 where there are none."""
+    def votes(self, column: pa.Array, block: int = 256) -> np.ndarray:
+        """The weighted share of label 1 among the nearest labelled rows; 0.5 where there are none.
+
+        Of rows that are equally near the first by doc_id vote.
+        """
         x = self.embed(raw_features(column))
         out = np.full(len(x), 0.5)
         k = min(NEIGHBOURS, len(self.labels))
@@ -77,65 +86,77 @@ class QualityModel:
             return out
         for i in range(0, len(x), block):
             cosine = x[i : i + block] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+            above, level = cosine > least, cosine == least
+            votes = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+            near = np.nonzero(votes)[1].reshape(-1, k)
             vote = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-3) ** SHARPNESS * self.weights[near]
             out[i : i + block] = (vote * self.labels[near]).sum(axis=1) / vote.sum(axis=1)
         return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    """Rows at unit length, float64 in steps of GRAIN."""
+    return np.rint(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9) / GRAIN) * GRAIN
 
 
 def weighted(features: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The trigram block at unit length beside the form block, which counts twice."""
-    grams = unit(features[:, : 1 << BITS] * idf)
-    return np.concatenate([grams, 2 * features[:, 1 << BITS :]], axis=1)
-
-
-def fit(sample: DataFrame) -> QualityModel:
-    """sample: a bounded set of (doc_id, text, label)."""
+    """The trigram block at unit length beside the form block, which counts FORM_WEIGHT times."""
+    grams = features[:, : 1 << BITS] * idf
+    grams /= np.maximum(np.linalg.norm(grams, axis=1, keepdims=True), 1e-9)
+    return np.concatenate([grams, FORM_WEIGHT * features[:, 1 << BITS :]], axis=1).astype(np.float64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", BLOCK):
-            x = raw_features(b.column("text")).astype(np.float16)
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "label": b.column("label"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    rows = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id bigint, label int, x binary").toArrow().sort_by("doc_id")
+def train(rows: pa.Table) -> QualityModel:
+    """rows: (doc_id, label, x) with x the float16 features."""
+    rows = rows.sort_by([("doc_id", "ascending"), ("x", "ascending")])
     width = (1 << BITS) + FORMS
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
-    y = np.asarray(rows["label"].to_pylist(), np.float32)
-    idf = np.log((1 + len(x)) / (1 + (x[:, : 1 << BITS] > 0).sum(axis=0))).astype(np.float32) + 0.1
+    y = np.asarray(rows["label"].to_pylist(), np.float64)
+    idf = np.log((1 + len(x)) / (1 + (x[:, : 1 << BITS] > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
     w = weighted(x, idf)
-    values, axes = np.linalg.eigh(w.T @ w)
-    model = QualityModel(idf, np.ascontiguousarray(axes[:, ::-1][:, :RANK]).astype(np.float32), np.zeros((0, RANK), np.float32), y, np.ones(len(y), np.float32))
+    axes = np.linalg.eigh(w.T @ w)[1]
+    # both labels weigh the same in all, and equal votes of both give the score ACCEPTED
+    weights = np.where(y == 1, ACCEPTED / (1 - ACCEPTED) / max((y == 1).sum(), 1), 1 / max((y == 0).sum(), 1)) * len(y) / 2
+    model = QualityModel(idf, np.ascontiguousarray(axes[:, ::-1][:, :RANK]), np.zeros((0, RANK)), y, weights)
     if len(x):
         model.vectors = unit(w @ model.axes)
     return model
 
 
+def fit(sample: DataFrame) -> QualityModel:
+    """sample: a bounded set of (doc_id, text, label); the model is made in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", BLOCK, counted_rows(BITS)):
+            x = raw_features(b.column("text")).astype(np.float16)
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "label": b.column("label"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+
+    return fitted(sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id bigint, label int, x binary"), train)
+
+
 def score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """Adds score (0 to 1, higher: label 1 likelier) to ``docs``; all columns stay (one named score is replaced).
 
     Null and empty texts have no trigrams and vote by their form alone; without labelled rows all score 0.5.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
     names = [c for c in docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in slices(batches, text, BLOCK):
+        m = held.value
+        for b in slices(batches, text, BLOCK, counted_rows(BITS)):
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(m.votes(b.column(text)).astype(np.float64))], [*names, "score"])
 
     return docs.select(*names).mapInArrow(run, docs.select(*names).schema.add("score", "double"))
 
 
-def accepted(docs: DataFrame, model: QualityModel, least: float = 0.5, text: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, model: QualityModel, least: float = ACCEPTED, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with a score of ``least`` or more, with their columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text, BLOCK):
-            yield b.filter(pa.array(shared.value.votes(b.column(text)) >= least))
+        for b in slices(batches, text, BLOCK, counted_rows(BITS)):
+            yield b.filter(pa.array(held.value.votes(b.column(text)) >= least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import lang_id
-from .flat import Words, range_hash, slices
+from .flat import Words, counted_rows, range_hash, slices
+from .store import shared
+from .training import fitted
 
 #: Hash buckets of words and of stems (the first STEM bytes), and the training texts that a trained bucket is in.
 BITS, STEM, SHARED_BY, DIM = 24, 4, 8, 8
@@ -180,22 +182,9 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((low + high) / 2, 0.02, 0.98))
 
 
-def fit(sample: DataFrame, languages: lang_id.LangModel, updates: int = 8000, rate: float = 0.05) -> ToxicModel:
-    """sample: a bounded set of (doc_id, text, label); a fifth of it calibrates what the rest has trained (all of
-    it, if that fifth has fewer than 20 rows of a label). Trains for about ``updates`` steps, 2 to 12 epochs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            words, stems, bounds = word_rows(b.column("text"))
-            langs = [languages.langs[k] for k in languages.probabilities(b.column("text")).argmax(axis=1)]
-            cut = [slice(bounds[i], bounds[i + 1]) for i in range(b.num_rows)]
-            yield pa.record_batch({
-                "doc_id": b.column("doc_id"), "label": b.column("label"), "lang": pa.array(langs),
-                "words": pa.array([words[c].tobytes() for c in cut], pa.binary()), "stems": pa.array([stems[c].tobytes() for c in cut], pa.binary()),
-            })
-
-    schema = "doc_id bigint, label int, lang string, words binary, stems binary"
-    rows = sample.select("doc_id", "text", "label").mapInArrow(run, schema).toArrow().sort_by("doc_id").to_pylist()
+def train(table: pa.Table, languages: lang_id.LangModel, updates: int, rate: float) -> ToxicModel:
+    """table: (doc_id, label, lang, words, stems) with the buckets of words and stems as bytes."""
+    rows = table.sort_by([("doc_id", "ascending"), ("words", "ascending")]).to_pylist()
     docs = [(np.frombuffer(r["words"], np.int32), np.frombuffer(r["stems"], np.int32)) for r in rows]
     y = np.array([r["label"] for r in rows], np.float64)
     if len(set(y)) < 2:
@@ -221,17 +210,37 @@ def fit(sample: DataFrame, languages: lang_id.LangModel, updates: int = 8000, ra
     return ToxicModel(net, slope, intercept, languages, thresholds)
 
 
+def fit(sample: DataFrame, languages: lang_id.LangModel, updates: int = 8000, rate: float = 0.05) -> ToxicModel:
+    """sample: a bounded set of (doc_id, text, label); a fifth of it calibrates what the rest has trained (all of
+    it, if that fifth has fewer than 20 rows of a label). Trains in one task for about ``updates`` steps, 2 to 12
+    epochs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", lang_id.BLOCK, counted_rows(lang_id.BITS)):
+            words, stems, bounds = word_rows(b.column("text"))
+            langs = [languages.langs[k] for k in languages.probabilities(b.column("text")).argmax(axis=1)]
+            cut = [slice(bounds[i], bounds[i + 1]) for i in range(b.num_rows)]
+            yield pa.record_batch({
+                "doc_id": b.column("doc_id"), "label": b.column("label"), "lang": pa.array(langs),
+                "words": pa.array([words[c].tobytes() for c in cut], pa.binary()), "stems": pa.array([stems[c].tobytes() for c in cut], pa.binary()),
+            })
+
+    schema = "doc_id bigint, label int, lang string, words binary, stems binary"
+    found = sample.select("doc_id", "text", "label").mapInArrow(run, schema)
+    return fitted(found, lambda rows: train(rows, languages, updates, rate))
+
+
 def score(docs: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
     """Adds score (0 to 1; the language's threshold is at 0.7) and lang_pred to ``docs``; all columns stay.
 
     Null and empty texts are scored as no words. Columns named score and lang_pred are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
     names = [c for c in docs.columns if c not in ("score", "lang_pred")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in slices(batches, text, lang_id.BLOCK):
+        m = held.value
+        for b in slices(batches, text, lang_id.BLOCK, counted_rows(lang_id.BITS)):
             p, langs = m.scores(b.column(text))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(p.astype(np.float64)), pa.array(langs, pa.string())], [*names, "score", "lang_pred"])
 
