@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import written
+from .store import shared, written
 
 SPACE = "▁"
-#: Code points of a chunk, and units that a worker's cache holds.
-CHUNK, CACHED = 16384, 200_000
+#: Code points of a chunk, units in each of the two halves of a worker's cache, and pairs of tokens that it keeps.
+CHUNK, CACHED, PAIRS = 16384, 150_000, 600_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 START = 0  # the state at a text's start
 
@@ -49,6 +49,15 @@ def read_model(spark, path: str = MODEL) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
+class Node(dict):
+    """A place of the trie of pieces: the places after it by code point, and the id of the piece that ends here (or -1)."""
+
+    __slots__ = ("id",)
+
+    def __init__(self):
+        self.id = -1
+
+
 class Vocabulary:
     """Pieces of a SentencePiece BPE model; ids from ``size`` on stand for code points without a piece."""
 
@@ -74,6 +83,17 @@ class Vocabulary:
         for b, i in enumerate(self.byte_ids):
             self.out[i] = bytes([b])
         self.longest = max(map(len, self.score))
+        self.wide = [len(x) for x in self.text]
+        self.trie = Node()
+        for piece in self.score:
+            node = self.trie
+            for c in piece:
+                if c not in node:
+                    node[c] = Node()
+                node = node[c]
+            node.id = self.ids[piece]
+        # the next shorter token at the same place
+        self.shorter = [self._longest(x[:-1], 0) if len(x) > 1 else -1 for x in self.text]
         if any(re.search(f"[^{SPACE}]{SPACE}", x) for x in self.score):
             raise ValueError("a piece holds a space after another character: words are no safe cuts")
         # control characters in no piece are safe cuts on both sides
@@ -99,7 +119,7 @@ class Vocabulary:
 
     def _follows(self, a: int, b: int) -> bool:
         """Whether token b may stand after token a: kept in ``pairs`` by a * 2^32 + b."""
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         known = a >= self.size or b >= self.size
         if not known:
@@ -108,6 +128,17 @@ class Vocabulary:
         self.pairs[a << 32 | b] = known
         return known
 
+    def _longest(self, s: str, i: int) -> int:
+        """The longest token that matches at s[i:]."""
+        found, node = self.size + ord(s[i]), self.trie
+        for c in s[i : i + self.longest]:
+            node = node.get(c)
+            if node is None:
+                break
+            if node.id >= 0:
+                found = node.id
+        return found
+
     def tokens_at(self, s: str, i: int) -> list[tuple[int, int]]:
         """(end, id) of every token that matches at s[i:]."""
         found, ids, j = [], self.ids.get, i + 1
@@ -150,29 +181,39 @@ class Vocabulary:
 
     def whole_path(self, s: str) -> list[int]:
         """The ids of the path through all of ``s``, which starts and ends at safe cuts: longest tokens first,
-        going back where none may follow. A prefix has only one path, so wrong turns end soon."""
-        n, pairs = len(s), self.pairs.get
+        going back where none may follow. A prefix has only one path, so a place where none goes on is dead."""
+        n, size, pairs, wide, shorter = len(s), self.size, self.pairs.get, self.wide, self.shorter
         path: list[int] = []
-        open_, dead = [self.tokens_at(s, 0)], set()
+        places: list[int] = []
+        dead: set[int] = set()
+        i, prev = 0, -1
         while True:
-            here = open_[-1]
-            while here:
-                j, t = here.pop()
-                if path:
-                    prev = path[-1]
-                    known = pairs(prev << 32 | t)
-                    if known is None:
-                        known = self._follows(prev, t)
-                    if not known or (j, t) in dead:
-                        continue
-                path.append(t)
-                if j == n:
-                    return path
-                open_.append(self.tokens_at(s, j))
-                here = open_[-1]
-            # nothing may follow the last token
-            open_.pop()
-            dead.add((sum(map(self.width, path)), path.pop()))
+            t, node = size + ord(s[i]), self.trie  # as _longest()
+            for c in s[i : i + self.longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                if node.id >= 0:
+                    t = node.id
+            while True:
+                while t >= 0:
+                    j = i + (wide[t] if t < size else 1)
+                    known = prev < 0 or pairs(prev << 32 | t)
+                    if (known or (known is None and self._follows(prev, t))) and j not in dead:
+                        break
+                    t = shorter[t] if t < size else -1
+                if t >= 0:
+                    break
+                # nothing may follow the last token: the next shorter one in its place
+                dead.add(i)
+                i, t = places.pop(), path.pop()
+                prev = path[-1] if path else -1
+                t = shorter[t] if t < size else -1
+            path.append(t)
+            if j == n:
+                return path
+            places.append(i)
+            i, prev = j, t
 
     def width(self, t: int) -> int:
         """Code points of a token."""
@@ -196,16 +237,21 @@ class Vocabulary:
 
 
 class Units(dict):
-    """Packed ids of units, made when first asked for."""
+    """Packed ids of units, made when first asked for. When it is full, the units of the last round are kept aside,
+    and those that are asked for again move back: frequent units stay, others go."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.aside: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
-        v = self.vocabulary
+        found = self.aside.get(unit)
+        if found is None:
+            v = self.vocabulary
+            found = v.packed(v.whole_path(unit))
         if len(self) >= CACHED:
+            self.aside = dict(self)
             self.clear()
-        found = v.packed(v.whole_path(unit))
         if len(unit) <= 64:
             self[unit] = found
         return found
@@ -345,18 +391,18 @@ def encode(docs: DataFrame, model: bytes, keep: list[str], text: str = "text", c
     Null and empty texts have no ids. Texts of more than ``chunk`` code points are cut into chunks that are
     encoded apart, by whichever task reads them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
     picked = docs.select(*keep, F.coalesce(text, F.lit("")).alias("_text"))
     kept = docs.select(*keep).schema
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, units = vocabulary(shared.value)
+        v, units = vocabulary(held.value)
         for b in _blocks(batches):
             ids = [b"".join(map(units.__getitem__, v.units.findall(normalised(t)))) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], _lists(ids)], [*keep, "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, _ = vocabulary(shared.value)
+        v, _ = vocabulary(held.value)
         for b in _blocks(batches, 1):
             s = normalised(b.column("_text")[0].as_py())
             n = -(-len(s) // chunk)
@@ -370,7 +416,7 @@ def encode(docs: DataFrame, model: bytes, keep: list[str], text: str = "text", c
                 })
 
     def seen(b: pa.RecordBatch) -> Iterator[Chunk]:
-        v, units = vocabulary(shared.value)
+        v, units = vocabulary(held.value)
         for k, n, lo, hi, s in zip(*(b.column(c).to_pylist() for c in ("_chunk", "_chunks", "_lo", "_hi", "_view")), strict=True):
             yield Chunk(v, units, s, lo, hi, k == 0, k == n - 1)
 
@@ -407,10 +453,10 @@ def decode(encoded: DataFrame, model: bytes, keep: list[str], ids: str = "ids")
 
     Byte pieces that do not form UTF-8 become U+FFFD, as does nothing that encode() has made.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    held = shared(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, _ = vocabulary(shared.value)
+        v, _ = vocabulary(held.value)
         for b in _blocks(batches):
             lists = b.column("ids")
             at, flat = np.asarray(lists.offsets), np.asarray(lists.values, np.int32)
