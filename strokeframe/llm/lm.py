@@ -1,35 +1,38 @@
 """Language-model scoring with a log-frequency Bloom filter (Talbot and Osborne 2007).
 
-Words and word pairs are counted over all training texts. A count c has the level 1 + floor(log2 c), and an
+Words and word pairs are counted over all training texts. Counts are quantised in steps of half an octave, and an
 n-gram of level q is put into the filter once for each level from 1 to q; a reader probes level after level
-until one is absent, and takes the mean count of the last level. The filter is made segment by segment -
-an n-gram's probes stay within the segment that its hash names - and broadcast, or beyond FILTER_BYTES left as
-a written table that is asked segment by segment. All words and pairs are in it at every size.
-
-Probabilities interpolate the pair's relative frequency with the word's; the pairs' weight is the
-Good-Turing estimate of the mass of seen pairs.
+until one is absent. The filter is made segment by segment - an n-gram's probes stay within the segment that its
+hash names - and broadcast in pieces, or beyond FILTER_BYTES left as a written table that is asked segment by
+segment. All words and pairs are in it at every size.
+
+A pair's share of its history is the least count of its level over the greatest of the history's, so that the
+shares of a history add up to no more than 1; words' quantised counts are divided by their sum. The probability
+interpolates the two, with the Good-Turing estimate of the mass of seen pairs as the pairs' weight, and adds up to
+no more than 1 over all words but for what false answers of the filter add (about 1 in 100 absent n-grams of its
+segment is taken for one that was seen once).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import Words, mix, slices
-from .store import written
+from .store import shared, written
 
 PROBES, BITS_PER_ENTRY = 4, 10
-#: Bytes of the filter and of the exact word counts up to which they are broadcast.
-FILTER_BYTES, COUNTS_BYTES = 192 << 20, 128 << 20
+#: Bytes of the filter and of the exact word counts up to which they are broadcast, and of one piece of them.
+FILTER_BYTES, COUNTS_BYTES, PIECE_BYTES = 128 << 20, 64 << 20, 8 << 20
 #: Tokens that a task counts before it hands counts on.
-FLUSH = 3 << 20
+FLUSH = 2 << 20
 BLOCK = 2 << 20
 START, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 _PAIR, _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -55,12 +58,14 @@ def pair_hash(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(before * _PAIR + words)
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
+#: The least count of each level: 1, 2, 3, 4, 6, 8, 12, 16, ...; level 0 is absent. And the greatest, and the mean.
+FLOOR = np.array([0, 1, *sorted([2.0**k for k in range(1, 62)] + [1.5 * 2.0**k for k in range(1, 62)])])
+UPPER = np.concatenate([FLOOR[1:] - 1, [2.0**63]])
+MEAN = (FLOOR + UPPER) / 2
 
 
-#: Mean count of a level, its counts being 2^(q-1) to 2^q - 1; level 0 is absent.
-MEAN = np.concatenate([[0.0], [(2.0 ** (q - 1) + 2.0**q - 1) / 2 for q in range(1, 64)]])
+def levels(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(FLOOR, counts, "right") - 1
 
 
 def _place(keys: np.ndarray, level: int, k: int, bits: np.ndarray) -> np.ndarray:
@@ -80,10 +85,10 @@ def filter_bits(keys: np.ndarray, q: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _probe(table: np.ndarray, keys: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The quantised count of each key by repeated membership probes from bit ``start`` on; 0 is absent."""
+    """The level of each key by repeated membership probes from bit ``start`` on; 0 is absent."""
     found = np.zeros(len(keys), np.int64)
     live = np.arange(len(keys))
-    for level in range(1, len(MEAN)):
+    for level in range(1, len(FLOOR)):
         for k in range(PROBES):  # most absent keys go at the first probe
             at = start[live] + _place(keys[live], level, k, size[live]).astype(np.int64)
             live = live[(table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
@@ -94,34 +99,57 @@ def _probe(table: np.ndarray, keys: np.ndarray, start: np.ndarray, size: np.ndar
 
 
 @dataclass
-class Model:
-    segment_bits: int
-    table: np.ndarray  # the packed filter, segment after segment; empty if it stays a DataFrame
+class Piece:
+    """Some segments of the filter and of the exact word counts."""
+
+    segments: np.ndarray
+    table: np.ndarray  # the packed filters, segment after segment
     starts: np.ndarray  # of each segment, in bits
     sizes: np.ndarray  # of each segment, in bits
+    keys: np.ndarray  # hashes of words, in order
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, bytes, bytes, bytes]]) -> Piece:
+        """rows: (segment, bits, keys, counts)."""
+        rows = sorted(rows)
+        sizes = np.array([8 * len(r[1]) for r in rows], np.int64)
+        packed = [b"".join(r[k] for r in rows) for k in (1, 2, 3)]
+        counts = np.frombuffer(packed[2], np.int64).clip(max=(1 << 32) - 1).astype(np.uint32)
+        return cls(np.array([r[0] for r in rows], np.int64), np.frombuffer(packed[0], np.uint8), np.cumsum(sizes) - sizes, sizes, np.frombuffer(packed[1], np.uint64), counts)
+
+    def level(self, keys: np.ndarray, segment_bits: int) -> np.ndarray:
+        """The level of each key; 0 for those of other segments."""
+        segment = (keys >> np.uint64(64 - segment_bits)).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.segments, segment), len(self.segments) - 1)
+        own = self.segments[at] == segment
+        found = np.zeros(len(keys), np.int64)
+        found[own] = _probe(self.table, keys[own], self.starts[at[own]], self.sizes[at[own]].astype(np.uint64))
+        return found
+
+
+@dataclass
+class Model:
+    segment_bits: int
     texts: int
     tokens: int
     distinct: int
-    least: int  # the count that pairs would need for the filter to fit its bound; above 1 it stays a DataFrame, with all pairs
+    mass: float  # the sum of all words' quantised counts
     pair_weight: float
-    filter: DataFrame | None = None  # (segment, bits)
-
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """The quantised count of each key; 0 is absent."""
-        segment = (keys >> np.uint64(64 - self.segment_bits)).astype(np.int64)
-        return _probe(self.table, keys, self.starts[segment], self.sizes[segment].astype(np.uint64))
+    filter_bytes: int
+    most_bytes: int  # of a filter that is broadcast
 
-    def log10(self, words: np.ndarray, before: np.ndarray, level: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
-        """log10 of each token's probability after the token before it; ``level`` stands in for level()."""
-        level = level or self.level
+    def log10(self, words: np.ndarray, before: np.ndarray, level: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """log10 of each token's probability after the token before it; ``level`` tells the level of each of some hashes."""
         distinct, at = np.unique(np.concatenate([words, before]), return_inverse=True)
-        counts = MEAN[level(distinct)]
-        counts[distinct == START] = self.texts
-        c_word, c_before = counts[at[: len(words)]], counts[at[len(words) :]]
+        q = level(distinct)
+        known = UPPER[q]
+        known[distinct == START] = self.texts
+        c_word, c_before = MEAN[q][at[: len(words)]], known[at[len(words) :]]
         pairs, at = np.unique(pair_hash(before, words), return_inverse=True)
-        c_pair = MEAN[level(pairs)][at]
-        alone = (c_word + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
-        together = c_pair / np.maximum(np.maximum(c_before, c_pair), 1)
+        c_pair = FLOOR[level(pairs)][at]
+        alone = (c_word + 0.5) / (self.mass + 0.5 * (self.distinct + 1))
+        together = np.minimum(c_pair / np.maximum(c_before, 1), 1)
         # an unknown word before it tells nothing
         weight = np.where(c_before > 0, self.pair_weight, 0)
         return np.log10(weight * together + (1 - weight) * alone)
@@ -132,13 +160,13 @@ def _count(docs: DataFrame, segment_bits: int) -> DataFrame:
 
     def flush(parts: list[np.ndarray], pair: int) -> Iterator[pa.RecordBatch]:
         keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        edges = np.searchsorted(keys >> np.uint64(64 - segment_bits), np.arange((1 << segment_bits) + 1, dtype=np.uint64))
-        filled = np.flatnonzero(np.diff(edges))
+        segment = (keys >> np.uint64(64 - segment_bits)).astype(np.int32)
+        edges = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist(), len(keys)]
         counts = counts.astype(np.uint32)
         yield pa.record_batch({
-            "segment": pa.array(filled.astype(np.int32)), "pair": pa.array(np.full(len(filled), pair, np.int32)),
-            "keys": pa.array([keys[edges[i] : edges[i + 1]].tobytes() for i in filled], pa.binary()),
-            "counts": pa.array([counts[edges[i] : edges[i + 1]].tobytes() for i in filled], pa.binary()),
+            "segment": pa.array(segment[edges[:-1]]), "pair": pa.array(np.full(len(edges) - 1, pair, np.int32)),
+            "keys": pa.array([keys[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)], pa.binary()),
+            "counts": pa.array([counts[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)], pa.binary()),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +180,8 @@ def _count(docs: DataFrame, segment_bits: int) -> DataFrame:
             if n >= FLUSH:
                 for pair in (0, 1):
                     yield from flush(held[pair], pair)
-                held, n = ([], []), 0
+                    held[pair].clear()
+                n = 0
         if n:
             for pair in (0, 1):
                 yield from flush(held[pair], pair)
@@ -161,67 +190,47 @@ def _count(docs: DataFrame, segment_bits: int) -> DataFrame:
 
 
 def _merged(table: pa.Table, pair: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = [(k, c) for p, k, c in zip(*(table.column(x).to_pylist() for x in ("pair", "keys", "counts")), strict=True) if p == pair]
-    keys = np.frombuffer(b"".join(r[0] for r in rows), np.uint64)
-    counts = np.frombuffer(b"".join(r[1] for r in rows), np.uint32)
+    rows = table.filter(pc.equal(table["pair"], pair))
+    keys, counts = _joined(rows["keys"], np.uint64), _joined(rows["counts"], np.uint32)
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first) if len(keys) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first)
+
+
+def segments_for(texts: int, segment_rows: int) -> int:
+    """Bits of a segment's number: a segment for every ``segment_rows`` texts, beyond 4096 for every sixteen times as many."""
+    return max(4, min(12, int(np.ceil(np.log2(max(texts / segment_rows, 1))))), min(30, int(np.ceil(np.log2(max(texts / segment_rows / 16, 1))))))
 
 
 def fit(docs: DataFrame, filter_bytes: int = FILTER_BYTES, segment_rows: int = 1000) -> tuple[Model, DataFrame]:
-    """(model, word counts) of all rows of ``docs`` (text); null counts as the empty text, which is one end.
+    """(model, grams) of all rows of ``docs`` (text); null counts as the empty text, which is one end.
 
-    The word counts (segment, keys, counts) stay a DataFrame in the shared folder. The number of segments
-    follows the number of texts, about ``segment_rows`` each. A filter of more than ``filter_bytes``
-    is not collected but stays a table in the shared folder, and score() asks it segment by segment.
+    grams (segment, bits, keys, counts, ...) has each segment's filter of words and pairs, and the exact counts of
+    its words; it stays a table in the shared folder. A filter of more than ``filter_bytes`` is not broadcast.
     """
     texts = docs.count()
-    segment_bits = int(np.clip(np.ceil(np.log2(max(texts / segment_rows, 1))), 4, 16))
-    raw = written(_count(docs, segment_bits), "ngrams")
+    segment_bits = segments_for(texts, segment_rows)
 
     def merge(table: pa.Table) -> pa.Table:
         keys, counts = _merged(table, 0)
-        _, pairs = _merged(table, 1)
-        q = levels(pairs)
+        pairs, pair_counts = _merged(table, 1)
+        q = np.concatenate([levels(counts), levels(pair_counts)])
+        bits = -(-max(64, int(q.sum()) * BITS_PER_ENTRY) // 8) * 8
         return pa.table({
-            "segment": pa.array([table.column("segment")[0].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()),
-            "counts": pa.array([counts.tobytes()], pa.binary()), "n": pa.array([len(keys)]), "tokens": pa.array([int(counts.sum())]),
-            "single": pa.array([int((pairs == 1).sum())]), "word_entries": pa.array([int(levels(counts).sum())]),
-            # entries of the pairs whose level is at least 1, 2, ...
-            "pair_entries": pa.array([[int(q[q >= least].sum()) for least in range(1, 33)]]),
+            "segment": pa.array([table.column("segment")[0].as_py()], pa.int32()),
+            "bits": pa.array([filter_bits(np.concatenate([keys, pairs]), q, bits).tobytes()], pa.binary()), "keys": pa.array([keys.tobytes()], pa.binary()),
+            "counts": pa.array([counts.tobytes()], pa.binary()), "size": pa.array([bits // 8]), "n": pa.array([len(keys)]), "tokens": pa.array([int(counts.sum())]),
+            "single": pa.array([int((pair_counts == 1).sum())]), "mass": pa.array([float(MEAN[levels(counts)].sum())]),
         })
 
-    schema = "segment int, keys binary, counts binary, n bigint, tokens bigint, single bigint, word_entries bigint, pair_entries array<bigint>"
-    words = written(raw.groupBy("segment").applyInArrow(merge, schema), "words")
-    sums = words.agg(F.sum("n"), F.sum("tokens"), F.sum("single"), F.sum("word_entries"), *[F.sum(F.get("pair_entries", F.lit(i))) for i in range(32)]).first()
-    distinct, tokens, single, word_entries, *pair_entries = (int(x or 0) for x in sums)
-    least = next((i for i, x in enumerate(pair_entries) if (x + word_entries) * BITS_PER_ENTRY <= 8 * filter_bytes), 31) + 1
-
-    def build(table: pa.Table) -> pa.Table:
-        keys, q = [], []
-        for pair in (0, 1):
-            k, c = _merged(table, pair)
-            keys.append(k)
-            q.append(levels(c))
-        keys, q = np.concatenate(keys), np.concatenate(q)
-        bits = -(-max(64, int(q.sum()) * BITS_PER_ENTRY) // 8) * 8
-        return pa.table({"segment": pa.array([table.column("segment")[0].as_py()], pa.int32()), "bits": pa.array([filter_bits(keys, q, bits).tobytes()], pa.binary())})
-
-    made = raw.groupBy("segment").applyInArrow(build, "segment int, bits binary")
+    schema = "segment int, bits binary, keys binary, counts binary, size bigint, n bigint, tokens bigint, single bigint, mass double"
+    grams = written(_count(docs, segment_bits).groupBy("segment").applyInArrow(merge, schema), "grams")
+    size, distinct, tokens, single, mass = grams.agg(*[F.sum(c) for c in ("size", "n", "tokens", "single", "mass")]).first()
     weight = float(np.clip(1 - single / tokens if tokens else 0.0, 0.0, 0.95))
-    words = words.select("segment", "keys", "counts", "n")
-    if least > 1:
-        none = np.zeros(0, np.int64)
-        return Model(segment_bits, none.astype(np.uint8), none, none, texts, tokens, distinct, least, weight, written(made, "filter")), words
-    rows = made.toArrow()
-    parts = dict(zip(rows["segment"].to_pylist(), rows["bits"].to_pylist(), strict=True))
-    blank = bytes(8)
-    parts = [parts.get(i, blank) for i in range(1 << segment_bits)]
-    sizes = np.array([8 * len(p) for p in parts], np.int64)
-    table = np.frombuffer(b"".join(parts), np.uint8)
-    return Model(segment_bits, table, np.cumsum(sizes) - sizes, sizes, texts, tokens, distinct, least, weight), words
+    return Model(segment_bits, texts, tokens or 0, distinct or 0, mass or 0.0, weight, size or 0, filter_bytes), grams
 
 
 def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -234,22 +243,19 @@ def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarra
     return out
 
 
-def _clipped(counts: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(counts), np.int64).clip(max=(1 << 32) - 1).astype(np.uint32)
-
-
 def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
 SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+Lookup = Callable[[np.ndarray], np.ndarray]
 
 
-def _scored(b: pa.RecordBatch, m: Model, keys: np.ndarray, counts: np.ndarray, level: Callable | None = None) -> pa.RecordBatch:
-    """The scores of a batch (doc_id, text), with the exact counts of sorted hashes that hold all its known words."""
+def _scored(b: pa.RecordBatch, m: Model, exact: Lookup, level: Lookup) -> pa.RecordBatch:
+    """The scores of a batch (doc_id, text), with the exact count and the level of each of some hashes."""
     tokens, before, bounds = tokens_of(b.column("text"))
     seen, at = np.unique(tokens, return_inverse=True)
-    c = _found(keys, counts, seen).astype(np.float64)
+    c = exact(seen).astype(np.float64)
     # with no training token at all, every token has the probability 1
     base = (np.log10(c + 0.5) - np.log10(m.tokens + 0.5 * (m.distinct + 1)) if m.distinct else np.zeros(len(seen)))[at]
     own = m.log10(tokens, before, level) if m.distinct else np.zeros(len(tokens))
@@ -260,32 +266,47 @@ def _scored(b: pa.RecordBatch, m: Model, keys: np.ndarray, counts: np.ndarray, l
     })
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame, most_bytes: int = COUNTS_BYTES) -> DataFrame:
+def broadcast_pieces(grams: DataFrame, piece_bytes: int = PIECE_BYTES) -> list[Broadcast]:
+    """``grams`` broadcast in pieces of about ``piece_bytes``; the driver holds one partition and one piece at a time."""
+    made, rows, size = [], [], 0
+    for r in grams.select("segment", "bits", "keys", "counts").toLocalIterator():
+        rows.append(tuple(r))
+        size += len(r["bits"]) + len(r["keys"]) + len(r["counts"])
+        if size >= piece_bytes:
+            made.append(shared(grams.sparkSession, Piece.of(rows)))
+            rows, size = [], 0
+    return [*made, shared(grams.sparkSession, Piece.of(rows))] if rows else made
+
+
+def score(docs: DataFrame, model: Model, grams: DataFrame, most_bytes: int = COUNTS_BYTES) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs`` (doc_id, text).
 
     Words are split at white space with A-Z lower-cased, and one end follows; null counts as the empty text.
     n_known and base_score use exact counts: base_score is the sum of log10((c + 0.5) / (N + 0.5 (V + 1))).
-    Every row gives one row, also where doc_id is null or repeated. Word counts of more than ``most_bytes``
-    and a filter that stays a table are asked segment by segment; the rows are the same.
+    Every row gives one row, also where doc_id is null or repeated. A filter beyond the model's bound, or word
+    counts of more than ``most_bytes``, are asked segment by segment; the rows are the same.
     """
-    if model.filter is not None or model.distinct * 12 > most_bytes:
-        return _score_by_segment(docs, model, words)
-    context = docs.sparkSession.sparkContext
-    rows = words.select("segment", "keys", "counts").toArrow().sort_by("segment")
-    shared, exact = context.broadcast(model), context.broadcast((_joined(rows["keys"], np.uint64), _clipped(rows["counts"].to_pylist())))
+    if model.filter_bytes > model.most_bytes or model.distinct * 12 > most_bytes:
+        return _score_by_segment(docs, model, grams)
+    pieces = broadcast_pieces(grams)
+
+    def exact(keys: np.ndarray) -> np.ndarray:
+        return sum((_found(p.value.keys, p.value.counts, keys) for p in pieces), np.zeros(len(keys), np.uint32))
+
+    def level(keys: np.ndarray) -> np.ndarray:
+        return sum((p.value.level(keys, model.segment_bits) for p in pieces), np.zeros(len(keys), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", BLOCK):
-            yield _scored(b, shared.value, *exact.value)
+            yield _scored(b, model, exact, level)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCORED)
 
 
-def _score_by_segment(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+def _score_by_segment(docs: DataFrame, model: Model, grams: DataFrame) -> DataFrame:
     """score() for tables that no process holds: the rows are written in blocks, each block's distinct n-grams go
     once to their segments, and what is known of them comes back to the block."""
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, filter=None))
-    segment_bits, tabled = model.segment_bits, model.filter is not None
+    segment_bits = model.segment_bits
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -302,7 +323,7 @@ def _score_by_segment(docs: DataFrame, model: Model, words: DataFrame) -> DataFr
                 if i == j:
                     continue
                 tokens, before, _ = tokens_of(b.column("text").slice(i, j - i))
-                keys = np.unique(np.concatenate([tokens, pair_hash(before, tokens)]) if tabled else tokens)
+                keys = np.unique(np.concatenate([tokens, pair_hash(before, tokens)]))
                 segment = (keys >> np.uint64(64 - segment_bits)).astype(np.int32)
                 cuts = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist(), len(keys)]
                 yield pa.record_batch({
@@ -315,22 +336,19 @@ def _score_by_segment(docs: DataFrame, model: Model, words: DataFrame) -> DataFr
         keys, at = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_inverse=True)
         ends = np.cumsum([len(p) // 8 for p in parts], dtype=np.int64)
         split = lambda values: pa.array([values[at[e - len(p) // 8 : e]].tobytes() for p, e in zip(parts, ends, strict=True)], pa.binary())
-        exact = held.filter(pc.is_valid(held["keys"]))
-        counts = _found(_joined(exact["keys"], np.uint64), _clipped(exact["counts"].to_pylist()), keys)
-        bits = _joined(held["bits"].drop_null(), np.uint8)
-        sized = np.full(len(keys), 8 * len(bits), np.uint64)
-        level = _probe(bits, keys, np.zeros(len(keys), np.int64), sized) if len(bits) else np.zeros(len(keys), np.int64)
+        counts, level = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.int64)
+        for row in held.to_pylist():  # one or none
+            piece = Piece.of([(row["segment"], row["bits"], row["keys"], row["counts"])])
+            counts, level = _found(piece.keys, piece.counts, keys), piece.level(keys, segment_bits)
         return pa.table({"block": asked["block"], "keys": asked["keys"], "counts": split(counts), "levels": split(level.astype(np.uint8))})
 
     def finish(rows: pa.Table, known: pa.Table) -> pa.Table:
         keys, first = np.unique(_joined(known["keys"], np.uint64), return_index=True)
         counts, levels_ = _joined(known["counts"], np.uint32)[first], _joined(known["levels"], np.uint8)[first]
-        level = (lambda asked: _found(keys, levels_, asked)) if tabled else None
-        return pa.Table.from_batches([_scored(b, shared.value, keys, counts, level) for b in slices(rows.to_batches(), "text", BLOCK)])
+        exact, level = (lambda asked: _found(keys, counts, asked)), (lambda asked: _found(keys, levels_, asked))
+        return pa.Table.from_batches([_scored(b, model, exact, level) for b in slices(rows.to_batches(), "text", BLOCK)])
 
-    held = words.select("segment", "keys", "counts", F.lit(None).cast("binary").alias("bits"))
-    if tabled:
-        held = held.unionByName(model.filter, allowMissingColumns=True)
     asked = dealt.select("block", "text").mapInArrow(ask, "segment int, block bigint, keys binary")
+    held = grams.select("segment", "bits", "keys", "counts")
     known = asked.groupBy("segment").cogroup(held.groupBy("segment")).applyInArrow(answer, "block bigint, keys binary, counts binary, levels binary")
     return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(finish, SCORED)

@@ -1,6 +1,9 @@
 """op7 gives the same rows whether its tables are broadcast or, as on large inputs, stay tables."""
 
+import bisect
 import math
+import re
+from collections import Counter
 
 from strokeframe.llm import lm
 
@@ -35,6 +38,38 @@ def test_all_pairs_beyond_the_filter_bound(spark):
     model, counts = lm.fit(train)
     large, large_counts = lm.fit(train, filter_bytes=400)
     small = rows_of(lm.score(d, model, counts))
-    assert large.least > 1 and large.pair_weight == model.pair_weight
+    assert large.filter_bytes > large.most_bytes and large.pair_weight == model.pair_weight
     assert_same(rows_of(lm.score(d, large, large_counts)), small)
     assert_same(rows_of(lm.score(d, large, large_counts, 60)), small)
+
+
+def test_probabilities_add_up_to_one_at_most_and_equal_a_plain_bigram_model(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 400)  # hardly any false answer
+    texts = [r[1] for r in ROWS[8:]] + ["a b a c a d", "a b a b", "b a", "c d a a", None]
+    d = spark.createDataFrame(list(enumerate(texts)), DOC)
+    model, grams = lm.fit(d.select("text"))
+    rows = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), None] for t in texts]
+    words, pairs = Counter(w for r in rows for w in r), Counter((a, b) for r in rows for a, b in zip(["<", *r], r, strict=False))
+    floors = sorted({1, 2, 3} | {2**k for k in range(40)} | {3 * 2**k for k in range(40)})
+
+    def level(c):
+        k = bisect.bisect_right(floors, c) - 1
+        return (0, 0) if c == 0 else (floors[k], floors[k + 1] - 1)
+
+    mass = sum(sum(level(c)) / 2 for c in words.values())
+    weight = min(max(1 - sum(c == 1 for c in pairs.values()) / sum(words.values()), 0), 0.95)
+
+    def p(w, before):
+        alone = (sum(level(words[w])) / 2 + 0.5) / (mass + 0.5 * (len(words) + 1))
+        most = len(texts) if before == "<" else level(words[before])[1]
+        if not most:
+            return alone
+        return weight * min(level(pairs[before, w])[0] / most, 1) + (1 - weight) * alone
+
+    for before in ["<", *words, "unseen"]:
+        assert sum(p(w, before) for w in [*words, "unseen"]) <= 1 + 1e-9
+    asked = [*texts, "unseen a b", "d d d", "mat on sat"]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(asked)), DOC), model, grams).collect()}
+    for i, t in enumerate(asked):
+        r = [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), None]
+        assert math.isclose(got[i], sum(math.log10(p(b, a)) for a, b in zip(["<", *r], r, strict=False)), abs_tol=1e-6)
