@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .flat import Words, mix, slices
-from .store import written
+from .store import discard, written
 
 COORDINATES, ROWS = 128, 4
 #: Agreeing coordinates of COORDINATES below which a pair is discarded: 5.7 standard deviations below 0.8.
@@ -148,6 +148,7 @@ def connected(links: DataFrame) -> DataFrame:
     the shared folder; the driver only learns whether it changed anything.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    mark = None
     while True:
         # large-star: u's greater neighbours link to the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -157,10 +158,11 @@ def connected(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        # as sets: equal counts and nothing new
-        same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty()
+        discard(edges)
+        # the links as a set: their number and a hash of 64 bits
+        before, mark = mark, tuple(after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         edges = after
-        if same:
+        if mark == before:
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
@@ -220,9 +222,9 @@ def _links(classes: DataFrame, docs: DataFrame, words: int, percent: int, doc_id
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     rows = written(bands.join(shared, "band"), "bands")
     companions = rows.groupBy("rep").agg(F.sum("k").alias("degree"))
-    ranked = rows.join(companions, "rep")
+    ranked = written(rows.join(companions, "rep"), "ranked")
     hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("order"), "n")).alias("h"))
-    hubs = hubs.select("band", (-F.col("h.order")).alias("hub"), F.col("h.n").alias("hub_n"))
+    hubs = written(hubs.select("band", (-F.col("h.order")).alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
     known = written(rows.join(hubs, "band").where("rep <> hub").select("hub", "rep", "hub_n", "n").distinct(), "known")
     if known.isEmpty():
         return None
@@ -235,12 +237,16 @@ def _links(classes: DataFrame, docs: DataFrame, words: int, percent: int, doc_id
 
     pairs = known.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     close = pairs.join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b").select("a", "b", "low_a", "low_b")
-    first = written(_verify(_screen(close, least), texts, words, percent), "found")
+    screened = written(_screen(close, least), "screened")
+    first = written(_verify(screened, texts, words, percent), "found")
     component = None if first.isEmpty() else written(connected(first).toDF("rep", "component"), "components")
 
-    members = _with_component(_with_component(known.select("hub", "rep"), "rep", component, "component"), "hub", component, "home")
-    members = members.withColumn("outside", F.col("component") != F.col("home"))
-    sizes = members.groupBy("hub").agg(F.count_if("outside").alias("r"), F.count_if(~F.col("outside")).alias("m")).where("r > 0 AND r + m > 1")
+    # joins by hub stand alone between tables, so that a hub with very many classes can be split among tasks
+    hubs = written(_with_component(known.select("hub").distinct(), "hub", component, "home"), "hubs")
+    members = written(_with_component(known.select("hub", "rep"), "rep", component, "component"), "members")
+    members = written(members.join(hubs, "hub").withColumn("outside", F.col("component") != F.col("home")), "members")
+    sizes = members.groupBy("hub").agg(F.count_if("outside").alias("r"), F.count_if(~F.col("outside")).alias("m"))
+    sizes = written(sizes.where("r > 0 AND r + m > 1"), "sizes")
     r, m = (F.ceil(F.col(c) / GROUP).cast("int") for c in ("r", "m"))
     placed = members.join(sizes, "hub").select("hub", "rep", "component", "outside", r.alias("r"), m.alias("m"))
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("outside"), F.col("r")).otherwise(F.col("m"))).cast("int")
@@ -260,9 +266,11 @@ def _links(classes: DataFrame, docs: DataFrame, words: int, percent: int, doc_id
     inside = F.transform(upto("r"), lambda o: side(o, me, "inside", F.lit(False), F.lit(True)))
     dealt = placed.withColumn("places", F.when(F.col("outside"), F.concat(among, across)).otherwise(inside))
     dealt = dealt.select("hub", "rep", "component", F.explode_outer("places").alias("p")).select("hub", "rep", "component", "p.*").where("i IS NOT NULL")
-    blocks = dealt.join(low, "rep").join(texts, "rep")
+    blocks = written(dealt, "placed").join(low, "rep").join(texts, "rep")
     key = ["hub", "kind", "i", "j"]
     second = written(blocks.groupBy(*key).applyInArrow(_check_block(least, words, percent), "a bigint, b bigint"), "found")
+    for done in (rows, ranked, known, screened, texts, hubs, members, sizes):
+        discard(done)
     if second.isEmpty():
         return component
     # a component's least rep stands for it, so the links of both rounds make the final components
