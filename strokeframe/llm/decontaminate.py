@@ -119,15 +119,27 @@ def contaminated(n_words: Column, n_hit: Column, share: int = 20) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without its contaminated documents; all columns stay."""
+    """``docs`` without its contaminated documents; all columns stay. Rows that share a doc_id, or have none, are one
+    document: they stay or go together."""
     hits = find_hits(docs, benchmark, window, doc_id, text)
-    bad = hits.where(contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("doc_id").alias(doc_id))
-    return docs.join(bad, doc_id, "left_anti")
+    bad = hits.where(contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("doc_id").alias(_fresh(docs)))
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad[_fresh(docs)]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the hit words of every document cut from its text: (doc_id, words kept, joined by spaces)."""
-    hits = find_hits(docs, benchmark, window, doc_id, text).where("n_hit > 0").select(F.col("doc_id").alias(doc_id), "hit_spans")
-    joined = docs.join(hits, doc_id, "left")
-    kept = F.filter(words_of(F.col(text)), lambda w, i: ~F.exists("hit_spans", lambda s: (s["pos"] <= i + 1) & (i + 1 <= s["end"])))
-    return joined.withColumn(text, F.when(F.col("hit_spans").isNull(), F.col(text)).otherwise(F.concat_ws(" ", kept))).drop("hit_spans")
+    """``docs`` with the hit words of every document cut from its text; all columns stay.
+
+    A text with hits becomes its words that are left, joined by spaces; others stay as they are. Rows that share
+    a doc_id, or have none, are one document: the words at the places of any of their hits are cut from each.
+    """
+    spans, key = _fresh(docs), _fresh(docs, 1)
+    hits = find_hits(docs, benchmark, window, doc_id, text).where("n_hit > 0").select(F.col("doc_id").alias(key), F.col("hit_spans").alias(spans))
+    joined = docs.join(hits, docs[doc_id].eqNullSafe(hits[key]), "left")
+    kept = F.filter(words_of(F.col(text)), lambda w, i: ~F.exists(spans, lambda s: (s["pos"] <= i + 1) & (i + 1 <= s["end"])))
+    return joined.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(F.concat_ws(" ", kept))).select(*docs.columns)
+
+
+def _fresh(docs: DataFrame, k: int = 0) -> str:
+    """The k-th of the names that no column has, whatever the case of its letters."""
+    names = {c.lower() for c in docs.columns}
+    return next(n for n in (f"hit_{i}" for i in range(k, k + 2 + len(names))) if n not in names)

@@ -39,7 +39,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(labelled_texts(docs, labels, "quality", 4, 2, QUALITY_ROWS))
     scored = quality.score(docs.select("doc_id", "text"), model)
     return scored.select(
-        "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+        "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= quality.ACCEPTED).cast("int").alias("predicted")
     )
 
 
@@ -47,7 +47,8 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, its edited text's, and how alike they and the next document's are."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = fingerprint.rarity_ranks(docs)
-    return fingerprint.compare_with_edits(docs, ranks, sharding.id_ranges(docs, "doc_id", 128))
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    return fingerprint.compare_with_edits(docs, ranks, sharding.id_ranges(docs, "doc_id", sharding.ranges_for(rows, size or 0)))
 
 
 def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,35 +61,56 @@ def jump_shard(key: Column, shards: int) -> Column:
     return walked["b"].cast("int")
 
 
+def ranges_for(rows: int, size: int, most_rows: int = 1 << 20, most_bytes: int = 64 << 20, least: int = 128) -> int:
+    """The number of ranges of about ``most_rows`` rows and ``most_bytes`` bytes, ``least`` at least."""
+    return max(least, -(-rows // most_rows), -(-size // most_bytes))
+
+
 def id_ranges(df: DataFrame, column: str, buckets: int) -> Column:
     """The number (0 to ``buckets`` - 1) of the range of ``column`` that holds the row.
 
-    The bounds are approximate percentiles over all rows: at most ``buckets`` - 1 longs at the driver.
-    Null goes into range 0.
+    The bounds are approximate percentiles over all rows: at most ``buckets`` - 1 longs at the driver. A row is
+    placed among every 64th bound first, then among those between. Null goes into range 0.
     """
     steps = [i / buckets for i in range(1, buckets)]
     found = df.select(F.percentile_approx(column, steps, 20 * buckets)).first()[0]
-    bounds = F.array(*[F.lit(x).cast("bigint") for x in sorted(set(found or []))])
-    return F.size(F.filter(bounds.cast("array<bigint>"), lambda b: b < F.coalesce(F.col(column), F.lit(-(1 << 63)).cast("bigint"))))
+    bounds = sorted(set(found or []))
+    value = F.coalesce(F.col(column), F.lit(-(1 << 63)).cast("bigint"))
+
+    def longs(values: list[int]) -> Column:
+        return F.array(*[F.lit(x).cast("bigint") for x in values]).cast("array<bigint>")
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda b: b < value))
+
+    if len(bounds) <= 128:
+        return below(longs(bounds))
+    coarse = below(longs(bounds[63::64]))
+    return coarse * 64 + below(F.slice(longs(bounds), coarse * 64 + 1, F.lit(64)))
 
 
-def gapless_slots(df: DataFrame, shard: str, order: list[str], buckets: int = 128) -> DataFrame:
+def gapless_slots(df: DataFrame, shard: str, order: list[str], buckets: int | None = None) -> DataFrame:
     """Adds ``slot``: the row's place, from 0 without gaps, among its shard's rows in ``order``.
 
     ``order[0]`` is a bigint column. A shard is not sorted in one task: rows are numbered within ranges
-    of ``order[0]``, and a range starts where the counts of the ranges before it end. The table of
-    counts has shards x buckets rows at most.
+    of ``order[0]`` (by default 128 of them, or more for over 2^27 rows), and a range starts where the counts of
+    the ranges before it end. The table of counts has shards x buckets rows at most. All columns stay; one
+    named ``slot`` is replaced.
     """
-    ranged = df.withColumn("_range", id_ranges(df, order[0], buckets))
-    counts = ranged.groupBy(shard, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(shard).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(shard, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = W.partitionBy(shard, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    if buckets is None:
+        buckets = ranges_for(df.count(), 0)
+    names = {c.lower() for c in df.columns}
+    range_, row, start, n = (next(x for x in (f"_{k}{i}" for i in range(len(names) + 1)) if x not in names) for k in ("range", "row", "start", "n"))
+    ranged = df.withColumn(range_, id_ranges(df, order[0], buckets))
+    counts = ranged.groupBy(shard, range_).agg(F.count(F.lit(1)).alias(n))
+    before = W.partitionBy(shard).orderBy(range_).rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(shard, range_, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    within = W.partitionBy(shard, range_).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     return (
-        ranged.withColumn("_row", F.row_number().over(within))
-        .join(F.broadcast(starts), [shard, "_range"])
-        .withColumn("slot", F.col("_start") + F.col("_row") - 1)
-        .drop("_range", "_row", "_start")
+        ranged.withColumn(row, F.row_number().over(within))
+        .join(F.broadcast(starts) if buckets <= 4096 else starts, [shard, range_])
+        .withColumn("slot", F.col(start) + F.col(row) - 1)
+        .select(*df.drop("slot").columns, "slot")
     )
 
 
