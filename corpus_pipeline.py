@@ -5,6 +5,12 @@
 3. near_dup: one document of each group of near duplicates stays
 4. decontamination: documents with benchmark passages go
 5. sentencepiece: the rest is encoded, and decoded again as a check
+
+Null and empty texts: quality judges them by their form, and language rejects them. A null doc_id is a document of
+its own for near_dup, which keeps it, while decontamination takes all rows without doc_id, or with the same, as one.
+Repeated rows: quality and language judge each; near_dup keeps all rows of the doc_id that stays. Texts of any length
+are taken whole. Ties: of equal documents the one with the least doc_id stays. Columns beyond those of documents,
+whatever their names, pass through the first four stages. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strokeframe.llm import decontaminate, lang_id, near_dup, quality, sentencepiece_codec
 from strokeframe.llm.queries import LANG_ROWS, QUALITY_ROWS
-from strokeframe.llm.store import written
+from strokeframe.llm.store import discard, scope, written
 from strokeframe.llm.training import labelled_texts, remainder
 from strokeframe.tables import read_table
 
@@ -56,8 +62,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every other stage's are written to the shared folder and read again."""
+    """The last stage's rows; every other stage's are written to the shared folder and read again. A stage's own
+    tables and broadcasts, and its predecessor's rows, go as soon as its rows are written."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scope(spark):
+            kept = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
