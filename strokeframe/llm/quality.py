@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .flat import Words, counted_rows, gram_counts, slices, text_bytes
+from .flat import Words, gram_counts, slices, text_bytes
 from .store import shared
 from .training import fitted
 
@@ -24,7 +24,8 @@ BITS, RANK, NEIGHBOURS, SHARPNESS = 11, 64, 15, 8
 ACCEPTED = 0.7
 #: Vectors are rounded to this part of one, so that their products are exact and equal texts score alike.
 GRAIN = 2.0**-20
-BLOCK = 1 << 20
+#: Bytes and rows of texts that are worked on at once.
+BLOCK, ROWS = 1 << 20, 512
 #: Kinds of bytes whose shares are measured.
 KINDS = [range(0x41, 0x5B), range(0x61, 0x7B), range(0x30, 0x3A), b" \t\n", b".,;:", b"!?", b"|<>{}[]\\", b"#$%&*@^~=+_", range(0x80, 0x100)]
 FORMS, FORM_WEIGHT = len(KINDS) + 3, 2
@@ -72,7 +73,7 @@ class QualityModel:
     weights: np.ndarray  # of each labelled row's vote
 
     def embed(self, features: np.ndarray) -> np.ndarray:
-        return unit(weighted(features, self.idf) @ self.axes)
+        return unit(weighted(features, self.idf).astype(np.float64) @ self.axes)
 
     def votes(self, column: pa.Array, block: int = 256) -> np.ndarray:
         """The weighted share of label 1 among the nearest labelled rows; 0.5 where there are none.
@@ -104,7 +105,7 @@ def weighted(features: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """The trigram block at unit length beside the form block, which counts FORM_WEIGHT times."""
     grams = features[:, : 1 << BITS] * idf
     grams /= np.maximum(np.linalg.norm(grams, axis=1, keepdims=True), 1e-9)
-    return np.concatenate([grams, FORM_WEIGHT * features[:, 1 << BITS :]], axis=1).astype(np.float64)
+    return np.concatenate([grams, FORM_WEIGHT * features[:, 1 << BITS :]], axis=1)
 
 
 def train(rows: pa.Table) -> QualityModel:
@@ -118,9 +119,10 @@ def train(rows: pa.Table) -> QualityModel:
     axes = np.linalg.eigh(w.T @ w)[1]
     # both labels weigh the same in all, and equal votes of both give the score ACCEPTED
     weights = np.where(y == 1, ACCEPTED / (1 - ACCEPTED) / max((y == 1).sum(), 1), 1 / max((y == 0).sum(), 1)) * len(y) / 2
-    model = QualityModel(idf, np.ascontiguousarray(axes[:, ::-1][:, :RANK]), np.zeros((0, RANK)), y, weights)
+    axes = np.ascontiguousarray(axes[:, ::-1][:, :RANK]).astype(np.float64)
+    model = QualityModel(idf, axes, np.zeros((0, RANK)), y, weights)
     if len(x):
-        model.vectors = unit(w @ model.axes)
+        model.vectors = np.concatenate([model.embed(x[i : i + ROWS]) for i in range(0, len(x), ROWS)])
     return model
 
 
@@ -128,7 +130,7 @@ def fit(sample: DataFrame) -> QualityModel:
     """sample: a bounded set of (doc_id, text, label); the model is made in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", BLOCK, counted_rows(BITS)):
+        for b in slices(batches, "text", BLOCK, ROWS):
             x = raw_features(b.column("text")).astype(np.float16)
             yield pa.record_batch({"doc_id": b.column("doc_id"), "label": b.column("label"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
@@ -145,7 +147,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in slices(batches, text, BLOCK, counted_rows(BITS)):
+        for b in slices(batches, text, BLOCK, ROWS):
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(m.votes(b.column(text)).astype(np.float64))], [*names, "score"])
 
     return docs.select(*names).mapInArrow(run, docs.select(*names).schema.add("score", "double"))
@@ -156,7 +158,7 @@ def accepted(docs: DataFrame, model: QualityModel, least: float = ACCEPTED, text
     held = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text, BLOCK, counted_rows(BITS)):
+        for b in slices(batches, text, BLOCK, ROWS):
             yield b.filter(pa.array(held.value.votes(b.column(text)) >= least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -33,7 +33,7 @@ from .store import shared, written
 
 SPACE = "▁"
 #: Code points of a chunk, units in each of the two halves of a worker's cache, and pairs of tokens that it keeps.
-CHUNK, CACHED, PAIRS = 16384, 150_000, 600_000
+CHUNK, CACHED, PAIRS = 16384, 100_000, 300_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 START = 0  # the state at a text's start
 
