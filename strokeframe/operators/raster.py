@@ -18,6 +18,11 @@ SOBEL = [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]
 SCHARR = [[-3, 0, 3], [-10, 0, 10], [-3, 0, 3]]
 
 
+def edges(pix: DataFrame, threshold: float) -> DataFrame:
+    """The pixels of at least ``threshold``; null strengths are none."""
+    return pix.where(F.col("strength") >= threshold)
+
+
 def scatter(pix: DataFrame, kernels: dict[str, list[list[float]]], h: int, w: int) -> DataFrame:
     """(raster_id, y, x, one column for each kernel): 3x3 correlations with zero padding, where not all are empty."""
     targets = F.array(*[
@@ -29,9 +34,10 @@ def scatter(pix: DataFrame, kernels: dict[str, list[list[float]]], h: int, w: in
 
 
 def gradients(pix: DataFrame, kernel: list[list[float]], h: int, w: int) -> DataFrame:
-    """(raster_id, y, x, gx, gy, mag)."""
+    """(raster_id, y, x, gx, gy, mag); derivatives in steps of 1e-9, so that what cancels out is 0 in any order of adding."""
     flipped = [list(r) for r in zip(*kernel, strict=True)]
-    return scatter(pix, {"gx": kernel, "gy": flipped}, h, w).withColumn("mag", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
+    found = scatter(pix, {"gx": kernel, "gy": flipped}, h, w)
+    return found.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("gx", "gy")}).withColumn("mag", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
 
 
 def sobel_strength(pix: DataFrame, h: int, w: int) -> DataFrame:
@@ -180,3 +186,25 @@ def saliency(colours: DataFrame, h: int, w: int) -> DataFrame:
     valued = colours.withColumn("away", away).withColumn("s", F.round(0.5 * prior + 0.5 * F.when(F.max("away").over(by) > 0, F.col("away") / F.max("away").over(by)).otherwise(0.0), 9))
     cut = valued.groupBy("raster_id").agg(F.percentile("s", 0.6).alias("cut"))
     return valued.join(cut, "raster_id").withColumn("mask", F.when(F.col("s") > F.round("cut", 9), 255).otherwise(0)).drop("away", "s", "cut")
+
+
+def figure_mask(colours: DataFrame, threshold: float = 128) -> DataFrame:
+    """(raster_id, y, x, r, g, b, mask): 255 where the mean of the channels is over ``threshold``, else 0."""
+    mean = (F.col("r") + F.col("g") + F.col("b")) / 3
+    return colours.withColumn("mask", F.when(mean > threshold, 255).otherwise(0))
+
+
+def figure_ground(masked: DataFrame) -> DataFrame:
+    """(raster_id, y, x, and for figure_, ground_ and overlay_ the channels r, g, b and a) of figure_mask()'s rows.
+
+    The figure is opaque where the mask is set, the ground where it is not; the overlay has the figure half way to
+    white. Elsewhere all four are 0.
+    """
+    fig = F.col("mask") > 0
+    zero = F.lit(0.0)
+
+    def layer(name: str, on: Column) -> list[Column]:
+        return [*[F.when(on, F.col(c)).otherwise(zero).alias(f"{name}_{c}") for c in "rgb"], F.when(on, 255.0).otherwise(zero).alias(f"{name}_a")]
+
+    over = [F.when(fig, F.floor(0.5 * F.col(c) + 127.5).cast("double")).otherwise(F.col(c)).alias(f"overlay_{c}") for c in "rgb"]
+    return masked.select(*PIXEL, *layer("figure", fig), *layer("ground", ~fig), *over, F.lit(255.0).alias("overlay_a"))

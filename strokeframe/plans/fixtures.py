@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strokeframe.operators.raster import edges
 from strokeframe.tables import read_table
 
 WIDTH, HEIGHT = 640, 480
@@ -33,20 +34,20 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).where("x2 IS NOT NULL")
 
 
-def segments_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifteenth contour: drawings sparse enough for junction classes."""
-    return segments(spark, sf_dir).where("contour_id % 15 = 0")
-
-
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(raster_id, y, x, strength): sparse edge maps of 32 rows and 48 columns."""
+def raw_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raster_id, y, x, strength): sparse rasters of 32 rows and 48 columns, of all line items."""
     q = F.col("l_quantity").cast("int")
-    return read_table(spark, sf_dir, "lineitem").where("l_quantity >= 25").groupBy(
+    return read_table(spark, sf_dir, "lineitem").groupBy(
         F.col("l_suppkey").alias("raster_id"), ((F.col("l_partkey") * 7 + F.col("l_linenumber") * 5) % RASTER_H).alias("y"),
         ((F.col("l_partkey") * 11 + q * 3) % RASTER_W).alias("x"),
     ).agg((F.max("l_quantity") / 50.0).alias("strength"))
 
 
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raster_id, y, x, strength): the edges among the raw pixels, those of half strength or more."""
+    return edges(raw_pixels(spark, sf_dir), 0.5)
+
+
 def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_idx, vec): unit vectors."""
     return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_idx"), F.col("embedding").cast("array<double>").alias("vec"))
@@ -62,16 +63,16 @@ SQL = """WITH points AS (
 seg AS (SELECT * FROM (
   SELECT drawing_id, contour_id, pt AS seg_id, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2
   FROM points WINDOW w AS (PARTITION BY contour_id ORDER BY pt)) WHERE x2 IS NOT NULL),
-seg_small AS (SELECT * FROM seg WHERE contour_id % 15 = 0),
 feat0 AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len,
   (degrees(atan2(trunc(y1) - trunc(y2), trunc(x2) - trunc(x1))) + 360) % 360 AS ori FROM seg),
 feat1 AS (SELECT *, abs(ori - coalesce(lead(ori) OVER w, lag(ori) OVER w)) AS turn FROM feat0
   WINDOW w AS (PARTITION BY contour_id ORDER BY seg_id)),
 feat AS (SELECT * EXCLUDE (turn), coalesce(CASE WHEN turn > 180 THEN 360 - turn ELSE turn END / (len + 1e-10), 0) AS curv FROM feat1),
 cont AS (SELECT drawing_id, contour_id, sum(len) AS clen FROM feat GROUP BY ALL),
-pix AS (
+raw_pix AS (
   SELECT l_suppkey AS raster_id, (l_partkey * 7 + l_linenumber * 5) % 32 AS y,
     (l_partkey * 11 + CAST(l_quantity AS INT) * 3) % 48 AS x, max(l_quantity) / 50.0 AS strength
-  FROM lineitem WHERE l_quantity >= 25 GROUP BY 1, 2, 3),
+  FROM lineitem GROUP BY 1, 2, 3),
+pix AS (SELECT * FROM raw_pix WHERE strength >= 0.5),
 vecs AS (SELECT vec_id AS image_idx, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS vec FROM embeddings)
 """

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from strokeframe.operators import geometry as geo
 from strokeframe.operators import junctions as jun
 from strokeframe.operators import split, stats
 
-from .fixtures import HEIGHT, SQL, WIDTH, segments, segments_small
+from .fixtures import HEIGHT, SQL, WIDTH, segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -256,19 +255,22 @@ def junction_counts(spark, sf):
     return found.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 2).alias("sx"), F.round(F.sum("y"), 2).alias("sy"))
 
 
-@register("junction_positions", _junction_sql("seg_small") + "SELECT drawing_id, c1, s1, c2, s2, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM junc")
-def junction_positions(spark, sf, source=segments_small):
-    return jun.detect(source(spark, sf))
+@register("junction_positions", _junction_sql("seg") + "SELECT drawing_id, c1, s1, c2, s2, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM junc")
+def junction_positions(spark, sf):
+    return jun.detect(segments(spark, sf))
 
 
 @register(
     "junction_merge_pairs",
-    _junction_sql("seg_small")
-    + """SELECT i.drawing_id, i.c1 AS i_c1, i.s1 AS i_s1, i.c2 AS i_c2, i.s2 AS i_s2, j.c1 AS j_c1, j.s1 AS j_s1, j.c2 AS j_c2, j.s2 AS j_s2
-FROM junc i JOIN junc j ON i.drawing_id = j.drawing_id AND (i.c1, i.s1, i.c2, i.s2) < (j.c1, j.s1, j.c2, j.s2) AND (i.x - j.x) ** 2 + (i.y - j.y) ** 2 <= 4""",
+    _junction_sql("seg")
+    + """, o(d) AS (VALUES (-1), (0), (1)), jc AS (SELECT *, floor(x / 2) AS gx, floor(y / 2) AS gy FROM junc),
+nb AS (SELECT * REPLACE (gx + a.d AS gx, gy + b.d AS gy) FROM jc, o a, o b)
+SELECT i.drawing_id, i.c1 AS i_c1, i.s1 AS i_s1, i.c2 AS i_c2, i.s2 AS i_s2, j.c1 AS j_c1, j.s1 AS j_s1, j.c2 AS j_c2, j.s2 AS j_s2
+FROM jc i JOIN nb j ON i.drawing_id = j.drawing_id AND i.gx = j.gx AND i.gy = j.gy
+WHERE (i.c1, i.s1, i.c2, i.s2) < (j.c1, j.s1, j.c2, j.s2) AND (i.x - j.x) ** 2 + (i.y - j.y) ** 2 <= 4""",
 )
-def junction_merge_pairs(spark, sf, source=segments_small):
-    return jun.merge_pairs(jun.detect(source(spark, sf)))
+def junction_merge_pairs(spark, sf):
+    return jun.merge_pairs(jun.detect(segments(spark, sf)))
 
 
 @register("junction_classes")
@@ -276,13 +278,13 @@ def junction_classes(spark, sf):
     return jun.merge(jun.detect(segments(spark, sf)))
 
 
-def _typed(spark, sf, source=segments_small):
-    seg = source(spark, sf)
+def _typed(spark, sf):
+    seg = segments(spark, sf)
     return jun.angles_and_types(jun.as_junctions(jun.detect(seg)), seg)
 
 
 _TYPED_SQL = (
-    _junction_sql("seg_small")
+    _junction_sql("seg")
     + """, jm AS (SELECT drawing_id, c1, s1, c2, s2, x, y, c1 AS c, s1 AS s, c2 AS oc, s2 AS os FROM junc UNION ALL SELECT drawing_id, c1, s1, c2, s2, x, y, c2, s2, c1, s1 FROM junc),
 jn AS (SELECT m.*, f.ori, g.ori AS prev, h.ori AS nxt, (x - f.x1) ** 2 + (y - f.y1) ** 2 < 4 AS st, (x - f.x2) ** 2 + (y - f.y2) ** 2 < 4 AS en,
   (degrees(atan2(y - f.y1, x - f.x1)) + 360) % 360 AS t1, (degrees(atan2(y - f.y2, x - f.x2)) + 360) % 360 AS t2
@@ -297,13 +299,13 @@ typed AS (SELECT *, CASE WHEN n = 3 THEN CASE WHEN hi < 160 THEN 'Y' WHEN hi <=
 
 
 @register("junction_angles_types", _TYPED_SQL + "SELECT drawing_id, c1, s1, c2, s2, round(lo, 4) + 0.0 AS min_angle, round(hi, 4) + 0.0 AS max_angle, type FROM typed")
-def junction_angles_types(spark, sf, source=segments_small):
-    return _typed(spark, sf, source).select("drawing_id", "junction_id.*", "min_angle", "max_angle", "type")
+def junction_angles_types(spark, sf):
+    return _typed(spark, sf).select("drawing_id", "junction_id.*", "min_angle", "max_angle", "type")
 
 
 @register("junction_type_hist", _TYPED_SQL + "SELECT drawing_id, type, count(*) AS n FROM typed GROUP BY ALL")
-def junction_type_hist(spark, sf, source=segments_small):
-    return jun.type_counts(_typed(spark, sf, source))
+def junction_type_hist(spark, sf):
+    return jun.type_counts(_typed(spark, sf))
 
 
 @register(
@@ -312,13 +314,13 @@ def junction_type_hist(spark, sf, source=segments_small):
     + """SELECT u.drawing_id, u.contour_id, type, n, round(n / clen * 10000, 4) + 0.0 AS norm FROM (SELECT drawing_id, contour_id, type, count(*) AS n
   FROM (SELECT drawing_id, type, unnest([c1, c2]) AS contour_id FROM typed) GROUP BY ALL) u JOIN cont USING (drawing_id, contour_id)""",
 )
-def junction_contour_hist(spark, sf, source=segments_small):
-    return jun.contour_type_counts(_typed(spark, sf, source), geo.contour_lengths(source(spark, sf)))
+def junction_contour_hist(spark, sf):
+    return jun.contour_type_counts(_typed(spark, sf), geo.contour_lengths(segments(spark, sf)))
 
 
 @register("junction_angle_hist", _TYPED_SQL + "SELECT drawing_id, CAST(least(floor(round(lo, 9) / 15), 7) AS INTEGER) AS bin, count(*) AS n FROM typed GROUP BY ALL")
-def junction_angle_hist(spark, sf, source=segments_small):
-    return jun.angle_histogram(_typed(spark, sf, source))
+def junction_angle_hist(spark, sf):
+    return jun.angle_histogram(_typed(spark, sf))
 
 
 # -- splits -------------------------------------------------------------------
@@ -371,14 +373,14 @@ def split_hist_weights(spark, sf):
 
 @register(
     "dup_contours",
-    """, v AS (SELECT DISTINCT drawing_id, contour_id, x, y FROM (SELECT drawing_id, contour_id, x1 AS x, y1 AS y FROM seg_small UNION ALL SELECT drawing_id, contour_id, x2, y2 FROM seg_small)),
+    """, v AS (SELECT DISTINCT drawing_id, contour_id, x, y FROM (SELECT drawing_id, contour_id, x1 AS x, y1 AS y FROM seg UNION ALL SELECT drawing_id, contour_id, x2, y2 FROM seg)),
 n AS (SELECT a.drawing_id, a.contour_id AS a, b.contour_id AS b, a.x, a.y, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM v a JOIN v b ON a.drawing_id = b.drawing_id AND a.contour_id <> b.contour_id GROUP BY ALL),
 m AS (SELECT drawing_id, a, b, max(d) AS d FROM n GROUP BY ALL)
 SELECT DISTINCT m.drawing_id, m.a AS contour_id FROM m JOIN m k ON m.drawing_id = k.drawing_id AND m.a = k.b AND m.b = k.a AND m.d < 1 AND k.d < 1
 JOIN cont p ON p.contour_id = m.a JOIN cont q ON q.contour_id = m.b WHERE p.clen < q.clen OR (p.clen = q.clen AND m.a > m.b)""",
 )
-def dup_contours(spark, sf, source=segments_small):
-    return split.duplicate_contours(source(spark, sf))
+def dup_contours(spark, sf):
+    return split.duplicate_contours(segments(spark, sf))
 
 
 @register("segment_at_junctions")
@@ -451,19 +453,18 @@ def property_ranges(spark, sf):
 
 @register(
     "density_map",
-    """, l AS (SELECT drawing_id, contour_id * 1000 + seg_id AS o, CAST(trunc(x1) AS INT) AS a, CAST(trunc(y1) AS INT) AS b, CAST(trunc(x2) AS INT) AS c, CAST(trunc(y2) AS INT) AS d FROM seg_small),
+    """, l AS (SELECT drawing_id, contour_id * 1000 + seg_id AS o, CAST(trunc(x1) AS INT) AS a, CAST(trunc(y1) AS INT) AS b, CAST(trunc(x2) AS INT) AS c, CAST(trunc(y2) AS INT) AS d FROM seg),
 n AS (SELECT *, greatest(abs(c - a), abs(d - b)) AS n FROM l), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n),
-p AS (SELECT drawing_id, o, CAST(floor(b + (d - b) * k / greatest(n, 1) + 0.5) AS INTEGER) AS y, CAST(floor(a + (c - a) * k / greatest(n, 1) + 0.5) AS INTEGER) AS x FROM k)
-SELECT drawing_id, y, x, round(arg_max(len, o), 4) + 0.0 AS value FROM p JOIN (SELECT contour_id * 1000 + seg_id AS o, len FROM feat) USING (o) GROUP BY ALL""",
+p AS (SELECT drawing_id, o, CAST(floor(b + (d - b) * k / greatest(n, 1) + 0.5) AS INTEGER) AS y, CAST(floor(a + (c - a) * k / greatest(n, 1) + 0.5) AS INTEGER) AS x FROM k),
+m AS (SELECT drawing_id, y, x, arg_max(len, o) AS v FROM p JOIN (SELECT contour_id * 1000 + seg_id AS o, len FROM feat) USING (o) GROUP BY ALL)
+SELECT drawing_id, y, count(*) AS n, round(sum(v), 2) + 0.0 AS value, round(sum(v * x), 0) + 0.0 AS moment FROM m GROUP BY ALL""",
 )
-def density_map(spark, sf, source=segments_small):
-    """The length of the segment painted last on each pixel."""
+def density_map(spark, sf):
+    """The length of the segment painted last on each pixel, told by row: the number of pixels, the sum, and the sum by x."""
     from strokeframe.operators import raster
 
-    seg = geo.with_length(source(spark, sf)).withColumn("o", F.col("contour_id") * 1000 + F.col("seg_id"))
-    return stats.density(raster.lines_to_pixels(seg, ["o", "len"]), "len", "o")
-
-
-# The SQL of these reads segments_small; over all segments they are queries of their own, without SQL.
-for _f in (junction_positions, junction_merge_pairs, junction_angles_types, junction_type_hist, junction_contour_hist, junction_angle_hist, dup_contours, density_map):
-    register(f"{_f.__name__}_all")(partial(_f, source=segments))
+    seg = geo.with_length(segments(spark, sf)).withColumn("o", F.col("contour_id") * 1000 + F.col("seg_id"))
+    painted = stats.density(raster.lines_to_pixels(seg, ["o", "len"]), "len", "o")
+    return painted.groupBy("drawing_id", "y").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("value"), F.round(F.sum(F.col("value") * F.col("x")), 0).alias("moment")
+    )

@@ -8,7 +8,7 @@ from strokeframe.operators import distance, raster, search
 from strokeframe.tables import read_table
 
 from . import line_queries
-from .fixtures import RASTER_H, RASTER_W, SQL, descriptors, pixels, segments, segments_small
+from .fixtures import RASTER_H, RASTER_W, SQL, descriptors, pixels, raw_pixels, segments
 
 QUERIES: dict[str, line_queries.Query] = {}
 ORACLE: dict[str, str] = {}
@@ -66,8 +66,8 @@ def tile_density_filter(spark, sf):
 def _grad_sql(kernel) -> str:
     cells = ", ".join(f"({dy}, {dx}, {kernel[dy + 1][dx + 1]}.0, {kernel[dx + 1][dy + 1]}.0)" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
     return f""", ker(dy, dx, kx, ky) AS (VALUES {cells}),
-grad0 AS (SELECT raster_id, y - dy AS y, x - dx AS x, CAST(sum(strength * kx) AS DOUBLE) AS gx, CAST(sum(strength * ky) AS DOUBLE) AS gy FROM pix, ker GROUP BY ALL),
-grad AS (SELECT *, sqrt(gx * gx + gy * gy) AS mag FROM grad0 WHERE y BETWEEN 0 AND 31 AND x BETWEEN 0 AND 47)
+grad0 AS (SELECT raster_id, y - dy AS y, x - dx AS x, round(CAST(sum(strength * kx) AS DOUBLE), 9) + 0.0 AS gx, round(CAST(sum(strength * ky) AS DOUBLE), 9) + 0.0 AS gy FROM pix, ker GROUP BY ALL),
+grad AS MATERIALIZED (SELECT *, sqrt(gx * gx + gy * gy) AS mag FROM grad0 WHERE y BETWEEN 0 AND 31 AND x BETWEEN 0 AND 47)
 """
 
 
@@ -86,9 +86,9 @@ def scharr_stencil(spark, sf):
     _grad_sql(raster.SCHARR)
     + """, dir AS (SELECT *, round((degrees(atan2(gy, gx)) + 360) % 180, 9) AS a FROM grad),
 k AS (SELECT *, CASE WHEN a >= 22.5 AND a < 67.5 THEN 1 WHEN a >= 67.5 AND a < 112.5 THEN 2 WHEN a >= 112.5 AND a < 157.5 THEN 3 ELSE 0 END AS s FROM dir),
-st(s, dy, dx) AS (VALUES (0, 0, 1), (1, 1, -1), (2, 1, 0), (3, 1, 1))
-SELECT k.raster_id, k.y, k.x, round(k.mag, 4) + 0.0 AS mag FROM k JOIN st ON k.s = st.s LEFT JOIN grad p ON p.raster_id = k.raster_id AND p.y = k.y + dy AND p.x = k.x + dx
-LEFT JOIN grad q ON q.raster_id = k.raster_id AND q.y = k.y - dy AND q.x = k.x - dx WHERE round(k.mag, 9) >= round(greatest(coalesce(p.mag, 0), coalesce(q.mag, 0)), 9)""",
+st(s, dy, dx) AS (VALUES (0, 0, 1), (1, 1, -1), (2, 1, 0), (3, 1, 1), (0, 0, -1), (1, -1, 1), (2, -1, 0), (3, -1, -1)),
+far AS (SELECT raster_id, y - dy AS y, x - dx AS x, s, max(mag) AS far FROM grad, st GROUP BY ALL)
+SELECT k.raster_id, k.y, k.x, round(k.mag, 4) + 0.0 AS mag FROM k LEFT JOIN far USING (raster_id, y, x, s) WHERE round(k.mag, 9) >= round(coalesce(far, 0), 9)""",
 )
 def nms(spark, sf):
     return raster.thin(raster.gradients(pixels(spark, sf), raster.SCHARR, RASTER_H, RASTER_W)).select(*raster.PIXEL, "mag")
@@ -381,20 +381,27 @@ def saliency_mask(spark, sf):
 
 @register("binary_mask", _COLOURS + "SELECT raster_id, y, x, CASE WHEN (r + g + b) / 3 > 128 THEN 255 ELSE 0 END AS mask FROM col")
 def binary_mask(spark, sf):
-    mean = (F.col("r") + F.col("g") + F.col("b")) / 3
-    return colours(spark, sf).select(*raster.PIXEL, F.when(mean > 128, 255).otherwise(0).alias("mask"))
+    return raster.figure_mask(colours(spark, sf)).select(*raster.PIXEL, "mask")
+
+
+_LAYERS = ", ".join(
+    [f"CASE WHEN fig THEN {c}::DOUBLE ELSE 0.0 END AS figure_{c}, CASE WHEN fig THEN 0.0 ELSE {c}::DOUBLE END AS ground_{c}, CASE WHEN fig THEN trunc(0.5 * {c} + 127.5) ELSE {c}::DOUBLE END AS overlay_{c}" for c in "rgb"]
+)
 
 
 @register(
     "figure_ground",
     _COLOURS
-    + """, m AS (SELECT *, (r + g + b) / 3 > 128 AS fig FROM col)
-SELECT raster_id, count(*) FILTER (fig) AS figure, count(*) FILTER (NOT fig) AS ground, round(sum(CASE WHEN fig THEN trunc(0.5 * r + 127.5) ELSE r END), 4) + 0.0 AS overlay_red FROM m GROUP BY 1""",
+    + f""", m AS (SELECT *, (r + g + b) / 3 > 128 AS fig FROM col)
+SELECT raster_id, y, x, {_LAYERS}, CASE WHEN fig THEN 255.0::DOUBLE ELSE 0.0::DOUBLE END AS figure_a, CASE WHEN fig THEN 0.0::DOUBLE ELSE 255.0::DOUBLE END AS ground_a, 255.0::DOUBLE AS overlay_a FROM m""",
 )
 def figure_ground(spark, sf):
-    fig = (F.col("r") + F.col("g") + F.col("b")) / 3 > 128
-    red = F.when(fig, F.floor(0.5 * F.col("r") + 127.5).cast("double")).otherwise(F.col("r"))
-    return colours(spark, sf).groupBy("raster_id").agg(F.count_if(fig).alias("figure"), F.count_if(~fig).alias("ground"), F.sum(red).alias("overlay_red"))
+    return raster.figure_ground(raster.figure_mask(colours(spark, sf)))
+
+
+@register("edge_threshold", "SELECT raster_id, y, x, strength FROM raw_pix WHERE strength >= 0.6")
+def edge_threshold(spark, sf):
+    return raster.edges(raw_pixels(spark, sf), 0.6)
 
 
 @register("components")
@@ -409,18 +416,17 @@ def large_components(spark, sf):
 
 @register(
     "raster_line",
-    """, l AS (SELECT drawing_id, CAST(trunc(x1) AS INT) AS a, CAST(trunc(y1) AS INT) AS b, CAST(trunc(x2) AS INT) AS c, CAST(trunc(y2) AS INT) AS d FROM seg_small),
-n AS (SELECT *, greatest(abs(c - a), abs(d - b)) AS n FROM l), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n)
-SELECT DISTINCT drawing_id, CAST(floor(b + (d - b) * k / greatest(n, 1) + 0.5) AS INTEGER) AS y, CAST(floor(a + (c - a) * k / greatest(n, 1) + 0.5) AS INTEGER) AS x FROM k""",
+    """, l AS (SELECT drawing_id, CAST(trunc(x1) AS INT) AS a, CAST(trunc(y1) AS INT) AS b, CAST(trunc(x2) AS INT) AS c, CAST(trunc(y2) AS INT) AS d FROM seg),
+n AS (SELECT *, greatest(abs(c - a), abs(d - b)) AS n FROM l), k AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n),
+p AS (SELECT DISTINCT drawing_id, CAST(floor(b + (d - b) * k / greatest(n, 1) + 0.5) AS BIGINT) AS y, CAST(floor(a + (c - a) * k / greatest(n, 1) + 0.5) AS BIGINT) AS x FROM k)
+SELECT drawing_id, y, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(x * x) AS BIGINT) AS sxx FROM p GROUP BY ALL""",
 )
-def raster_line(spark, sf, source=segments_small):
-    return raster.lines_to_pixels(source(spark, sf))
-
-
-@register("raster_line_all")
-def raster_line_all(spark, sf):
-    """raster_line over all segments; its SQL reads segments_small."""
-    return raster_line(spark, sf, segments)
+def raster_line(spark, sf):
+    """The pixels of all segments, told by row: their number, and the sums of x and of its square."""
+    x = F.col("x").cast("bigint")
+    return raster.lines_to_pixels(segments(spark, sf)).groupBy("drawing_id", F.col("y").cast("bigint").alias("y")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")
+    )
 
 
 @register("edge_stats", "SELECT raster_id, round(count(*) / 1536.0, 4) + 0.0 AS share, round(max(strength), 4) + 0.0 AS top, round(avg(strength), 4) + 0.0 AS mean FROM pix WHERE strength > 0 GROUP BY 1")

