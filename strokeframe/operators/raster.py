@@ -116,6 +116,18 @@ def dense_tiles(pix: DataFrame, tiles: DataFrame, threshold: float = 0.1, densit
     )
 
 
+def tile_positions(pix: DataFrame, rasters: DataFrame, ts: int, stride: int, threshold: float = 0.1, density: float = 0.01) -> DataFrame:
+    """(raster_id, ty, tx, ts): the dense tiles of each raster (raster_id, h, w), or its middle tile if it has none."""
+    dense = dense_tiles(pix, tile_grid(rasters, F.lit(ts), stride), threshold, density).select("raster_id", "ty", "tx", "ts")
+    middle = rasters.select("raster_id", *[F.greatest(F.floor((F.col(n) - ts) / 2), F.lit(0)).cast("int").alias(c) for n, c in (("h", "ty"), ("w", "tx"))], F.lit(ts).alias("ts"))
+    return dense.unionByName(middle.join(dense.select("raster_id").distinct(), "raster_id", "left_anti"))
+
+
+def normalised_channels(colours: DataFrame, mean: list[float], deviation: list[float]) -> DataFrame:
+    """(raster_id, y, x, r, g, b): channels of 0 to 255 as shares, less the mean, over the deviation of each."""
+    return colours.select(*PIXEL, *[((F.col(c) / 255 - m) / s).alias(c) for c, m, s in zip("rgb", mean, deviation, strict=True)])
+
+
 def cell_histogram(g: DataFrame, h: int, w: int, cells: int = 4, bins: int = 8) -> DataFrame:
     """(raster_id, cell, bin, value): magnitudes summed by direction of the gradient in a grid of cells; the rows and
     columns that are left over are ignored, and the last bin is closed."""

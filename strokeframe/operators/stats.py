@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .geometry import CONTOUR, contour_lengths
 
@@ -114,3 +117,24 @@ def property_ranges(seg: DataFrame, columns: list[str]) -> DataFrame:
 def density(pixels: DataFrame, value: str, order: str) -> DataFrame:
     """(drawing_id, y, x, value): of all that is painted on a pixel, what comes last in ``order``."""
     return pixels.groupBy("drawing_id", "y", "x").agg(F.max_by(value, order).alias("value"))
+
+
+def normalised_scores(scores: DataFrame, score: str = "score") -> DataFrame:
+    """Adds ``level``: the score between the least (0) and the greatest (1) of its drawing, 0 where all are equal."""
+    w = W.partitionBy("drawing_id")
+    low, high = F.min(score).over(w), F.max(score).over(w)
+    return scores.withColumn("level", F.when(high > low, (F.col(score) - low) / (high - low)).otherwise(0.0))
+
+
+def contour_stats(seg: DataFrame, width: int, height: int, which: list[str]) -> DataFrame:
+    """(property, drawing_id, contour_id, bin, value, norm_value): the histograms named in ``which`` (orientation,
+    curvature, horver, length; in any case of letters) one after the other. ValueError for another name."""
+    made = {
+        "orientation": orientation_stats, "curvature": curvature_stats, "horver": horizontal_vertical_stats,
+        "length": lambda s: length_stats(s, width, height),
+    }
+    names = [n.lower() for n in which]
+    if not names or set(names) - set(made):
+        raise ValueError(f"no such statistics: {sorted(set(names) - set(made))}")
+    parts = [made[n](seg).withColumn("property", F.lit(n)) for n in names]
+    return reduce(DataFrame.unionByName, parts)

@@ -25,6 +25,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(drawing_id, contour_id, pt, x, y, r): the vertices of each contour as a branch, with radii made of their places."""
+    return points(spark, sf_dir).withColumn("r", ((F.col("x") * 3 + F.col("y") * 5) % 17 + 3) / 4)
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(drawing_id, contour_id, seg_id, x1, y1, x2, y2): consecutive vertices."""
     w = W.partitionBy("contour_id").orderBy("pt")
@@ -69,6 +74,10 @@ feat1 AS (SELECT *, abs(ori - coalesce(lead(ori) OVER w, lag(ori) OVER w)) AS tu
   WINDOW w AS (PARTITION BY contour_id ORDER BY seg_id)),
 feat AS (SELECT * EXCLUDE (turn), coalesce(CASE WHEN turn > 180 THEN 360 - turn ELSE turn END / (len + 1e-10), 0) AS curv FROM feat1),
 cont AS (SELECT drawing_id, contour_id, sum(len) AS clen FROM feat GROUP BY ALL),
+branch AS (SELECT *, ((x * 3 + y * 5) % 17 + 3) / 4 AS r FROM points),
+deriv0 AS (SELECT *, avg(r) OVER (PARTITION BY contour_id ORDER BY pt ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS rs FROM branch),
+deriv AS (SELECT *, coalesce(lead(x) OVER w - x, x - lag(x) OVER w, 0) AS dx, coalesce(lead(y) OVER w - y, y - lag(y) OVER w, 0) AS dy,
+  coalesce(lead(rs) OVER w - rs, rs - lag(rs) OVER w, 0) AS dr FROM deriv0 WINDOW w AS (PARTITION BY contour_id ORDER BY pt)),
 raw_pix AS (
   SELECT l_suppkey AS raster_id, (l_partkey * 7 + l_linenumber * 5) % 32 AS y,
     (l_partkey * 11 + CAST(l_quantity AS INT) * 3) % 48 AS x, max(l_quantity) / 50.0 AS strength

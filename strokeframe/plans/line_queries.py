@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from strokeframe.operators import geometry as geo
 from strokeframe.operators import junctions as jun
-from strokeframe.operators import split, stats
+from strokeframe.operators import medial, split, stats
 
-from .fixtures import HEIGHT, SQL, WIDTH, segments
+from .fixtures import HEIGHT, SQL, WIDTH, branches, segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -468,3 +468,49 @@ def density_map(spark, sf):
     return painted.groupBy("drawing_id", "y").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("value"), F.round(F.sum(F.col("value") * F.col("x")), 0).alias("moment")
     )
+
+
+_POINT = "drawing_id, contour_id, pt"
+
+
+@register("branch_derivatives", f"SELECT {_POINT}, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("rs", "dx", "dy", "dr")) + " FROM deriv")
+def branch_derivatives(spark, sf):
+    return medial.branch_derivatives(branches(spark, sf)).select("drawing_id", "contour_id", "pt", "rs", "dx", "dy", "dr")
+
+
+@register(
+    "branch_scores",
+    f""", c AS (SELECT *, count(*) OVER (PARTITION BY contour_id) AS n, sum(sqrt(dx * dx + dy * dy)) OVER w AS flat, sum(sqrt(dx * dx + dy * dy + dr * dr)) OVER w AS full_
+  FROM deriv WINDOW w AS (PARTITION BY contour_id ORDER BY pt ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT a.contour_id, a.pt, sum(b.flat) / sum(b.full_) AS v FROM c a JOIN c b ON a.contour_id = b.contour_id AND abs(b.pt - a.pt) <= least(5, a.pt - 1, a.n - a.pt - 1)
+  WHERE a.pt > 0 AND a.pt < a.n - 1 GROUP BY ALL)
+SELECT {_POINT}, round(1 - 1 / rs, 4) + 0.0 AS separation, round(coalesce(v, 0.0), 4) + 0.0 AS parallelism FROM c LEFT JOIN p USING (contour_id, pt)""",
+)
+def branch_scores(spark, sf):
+    found = medial.parallelism(medial.separation(medial.branch_derivatives(branches(spark, sf))))
+    return found.select("drawing_id", "contour_id", "pt", "separation", "parallelism")
+
+
+@register(
+    "contour_stats",
+    "".join(
+        f", {name} AS (SELECT * FROM (WITH {_hist_sql(*args)[2:]}))"
+        for name, args in {"so": ("least(floor((ori + 11.25) % 180 / 22.5), 7)",), "sl": (_LEN_BIN, "cont", "clen")}.items()
+    )
+    + " SELECT 'orientation' AS property, * FROM so UNION ALL SELECT 'length', * FROM sl",
+)
+def contour_stats(spark, sf):
+    return stats.contour_stats(featured(spark, sf), WIDTH, HEIGHT, ["Orientation", "length"])
+
+
+@register(
+    "score_levels",
+    f""", h AS (SELECT drawing_id, contour_id, CAST(least(floor((ori + 11.25) % 180 / 22.5), 7) AS INTEGER) AS bin, sum(len) AS v FROM feat GROUP BY ALL),
+sc AS (SELECT h.drawing_id, h.contour_id, sum(CASE WHEN clen > 0 THEN v / clen * 10000 ELSE 0 END * {_WEIGHTS}[bin + 1]) AS score FROM h JOIN cont USING (drawing_id, contour_id) GROUP BY ALL),
+r AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM sc WINDOW w AS (PARTITION BY drawing_id))
+SELECT drawing_id, contour_id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.0 END, 4) + 0.0 AS level FROM r""",
+)
+def score_levels(spark, sf):
+    """What a drawing by scores is coloured with."""
+    scores = split.histogram_score(stats.orientation_stats(featured(spark, sf)), _WEIGHTS)
+    return stats.normalised_scores(scores).select(*geo.CONTOUR, "level")

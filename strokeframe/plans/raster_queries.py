@@ -214,6 +214,29 @@ def best_tile_pair(spark, sf):
     return search.best_tile_pair(pair_costs(spark, sf)).select("i", "j", "cost")
 
 
+@register(
+    "best_any_pos",
+    _COSTS
+    + """, b AS (SELECT i, j, min(ROW(round(cost, 9), yi, xi, yj, xj)) AS b FROM tc GROUP BY ALL),
+c AS (SELECT i, j, round(b[1], 3) + 0.0 AS cost, b[2] AS yi, b[3] AS xi, b[4] AS yj, b[5] AS xj FROM b)
+SELECT * FROM c UNION ALL SELECT j, i, cost, yj, xj, yi, xi FROM c""",
+    3,
+)
+def best_any_pos(spark, sf):
+    return search.best_any_pos(pair_costs(spark, sf))
+
+
+@register(
+    "tile_positions",
+    _GRID.format(s=4)
+    + _TP
+    + """, dense AS (SELECT raster_id, ty, tx, ts FROM tp WHERE strength > 0.6 GROUP BY ALL HAVING count(*) >= 0.17 * 576)
+SELECT raster_id, ty, tx, CAST(ts AS INTEGER) AS ts FROM dense UNION ALL SELECT raster_id, 4, 12, 24 FROM ras ANTI JOIN dense USING (raster_id)""",
+)
+def tile_positions(spark, sf):
+    return raster.tile_positions(pixels(spark, sf), rasters(spark, sf), 24, 4, 0.6, 0.17)
+
+
 @register("best_arrival", _COSTS + "SELECT i, j, yi, xi, round(min(cost), 3) + 0.0 AS cost FROM tc GROUP BY ALL", 3)
 def best_arrival(spark, sf):
     return search.best_arrival(pair_costs(spark, sf)).select("i", "j", "yi", "xi", "cost")
@@ -399,6 +422,18 @@ def figure_ground(spark, sf):
     return raster.figure_ground(raster.figure_mask(colours(spark, sf)))
 
 
+#: Means and deviations of the channels of natural photographs, as pretrained networks expect them.
+MEANS, DEVIATIONS = [0.485, 0.456, 0.406], [0.229, 0.224, 0.225]
+
+
+@register(
+    "normalised_channels",
+    _COLOURS + "SELECT raster_id, y, x, " + ", ".join(f"round(({c} / 255.0 - {m}) / {v}, 4) + 0.0 AS {c}" for c, m, v in zip("rgb", MEANS, DEVIATIONS, strict=True)) + " FROM col",
+)
+def normalised_channels(spark, sf):
+    return raster.normalised_channels(colours(spark, sf), MEANS, DEVIATIONS)
+
+
 @register("edge_threshold", "SELECT raster_id, y, x, strength FROM raw_pix WHERE strength >= 0.6")
 def edge_threshold(spark, sf):
     return raster.edges(raw_pixels(spark, sf), 0.6)

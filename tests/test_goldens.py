@@ -97,6 +97,7 @@ def test_path_is_a_permutation_and_two_opt_never_worsens():
     rng = np.random.default_rng(1)
     p = rng.random((30, 2))
     d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
+    d = search.Costs.of(d)
     first = search.greedy(d, 0)
     better = search.two_opt(d, first)
     assert sorted(better) == list(range(30)) and search.total(d, better) <= search.total(d, first) + 1e-9
