@@ -30,13 +30,15 @@ from .store import shared, written
 
 PROBES, BITS_PER_ENTRY = 4, 10
 #: Bytes of the filter and of the exact word counts up to which they are broadcast, and of one piece of them.
-FILTER_BYTES, COUNTS_BYTES, PIECE_BYTES = 128 << 20, 64 << 20, 8 << 20
+FILTER_BYTES, COUNTS_BYTES, PIECE_BYTES = 128 << 20, 64 << 20, 16 << 20
 #: Tokens that a task counts before it hands counts on.
 FLUSH = 2 << 20
 BLOCK = 2 << 20
 START, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 _PAIR, _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
+Lookup = Callable[[np.ndarray], np.ndarray]
+
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, the words before them, bounds): hashes of each text's words and its end; START comes before the first."""
@@ -119,14 +121,27 @@ class Piece:
         return cls(np.array([r[0] for r in rows], np.int64), np.frombuffer(packed[0], np.uint8), np.cumsum(sizes) - sizes, sizes, np.frombuffer(packed[1], np.uint64), counts)
 
     def level(self, keys: np.ndarray, segment_bits: int) -> np.ndarray:
-        """The level of each key; 0 for those of other segments."""
-        segment = (keys >> np.uint64(64 - segment_bits)).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.segments, segment), len(self.segments) - 1)
-        own = self.segments[at] == segment
-        found = np.zeros(len(keys), np.int64)
-        found[own] = _probe(self.table, keys[own], self.starts[at[own]], self.sizes[at[own]].astype(np.uint64))
+        """The level of each key, all of which are of these segments."""
+        at = np.searchsorted(self.segments, (keys >> np.uint64(64 - segment_bits)).astype(np.int64))
+        return _probe(self.table, keys, self.starts[at], self.sizes[at].astype(np.uint64))
+
+
+def lookups(pieces: list[Piece], segment_bits: int) -> tuple[Lookup, Lookup]:
+    """Functions that give the exact count, and the level, of each of some hashes in order."""
+    route = np.full(1 << segment_bits, len(pieces), np.uint16)
+    for i, p in enumerate(pieces):
+        route[p.segments] = i
+
+    def asked(keys: np.ndarray, answer: Callable[[Piece, np.ndarray], np.ndarray]) -> np.ndarray:
+        of, found = route[(keys >> np.uint64(64 - segment_bits)).astype(np.int64)], np.zeros(len(keys), np.int64)
+        for i, p in enumerate(pieces):
+            own = np.flatnonzero(of == i)
+            if len(own):
+                found[own] = answer(p, keys[own])
         return found
 
+    return (lambda keys: asked(keys, lambda p, own: _found(p.keys, p.counts, own))), (lambda keys: asked(keys, lambda p, own: p.level(own, segment_bits)))
+
 
 @dataclass
 class Model:
@@ -248,7 +263,6 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-Lookup = Callable[[np.ndarray], np.ndarray]
 
 
 def _scored(b: pa.RecordBatch, m: Model, exact: Lookup, level: Lookup) -> pa.RecordBatch:
@@ -290,13 +304,8 @@ def score(docs: DataFrame, model: Model, grams: DataFrame, most_bytes: int = COU
         return _score_by_segment(docs, model, grams)
     pieces = broadcast_pieces(grams)
 
-    def exact(keys: np.ndarray) -> np.ndarray:
-        return sum((_found(p.value.keys, p.value.counts, keys) for p in pieces), np.zeros(len(keys), np.uint32))
-
-    def level(keys: np.ndarray) -> np.ndarray:
-        return sum((p.value.level(keys, model.segment_bits) for p in pieces), np.zeros(len(keys), np.int64))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact, level = lookups([p.value for p in pieces], model.segment_bits)
         for b in slices(batches, "text", BLOCK):
             yield _scored(b, model, exact, level)
 
@@ -338,8 +347,8 @@ def _score_by_segment(docs: DataFrame, model: Model, grams: DataFrame) -> DataFr
         split = lambda values: pa.array([values[at[e - len(p) // 8 : e]].tobytes() for p, e in zip(parts, ends, strict=True)], pa.binary())
         counts, level = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.int64)
         for row in held.to_pylist():  # one or none
-            piece = Piece.of([(row["segment"], row["bits"], row["keys"], row["counts"])])
-            counts, level = _found(piece.keys, piece.counts, keys), piece.level(keys, segment_bits)
+            exact, levelled = lookups([Piece.of([(row["segment"], row["bits"], row["keys"], row["counts"])])], segment_bits)
+            counts, level = exact(keys).astype(np.uint32), levelled(keys)
         return pa.table({"block": asked["block"], "keys": asked["keys"], "counts": split(counts), "levels": split(level.astype(np.uint8))})
 
     def finish(rows: pa.Table, known: pa.Table) -> pa.Table:
