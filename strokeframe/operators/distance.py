@@ -5,22 +5,43 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
-def nearest(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """``a`` (keys, y, x, ...) with ``d``, the distance to the nearest pixel of ``b`` (keys, y, x) with equal keys.
+def nearest_point(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """``a`` (keys, y, x, ...) with ``d``, the distance to the nearest point of ``b`` (keys, y, x) with equal keys.
 
-    Relational: a join on the keys and a minimum for each pixel. Pixels without any partner are left out.
+    For points anywhere in the plane, a few for each key: a join on the keys and a minimum for each point. Points
+    without any partner are left out.
     """
     other = b.select(*keys, F.col("y").alias("_y"), F.col("x").alias("_x"))
     d = F.sqrt(((F.col("y") - F.col("_y")) ** 2 + (F.col("x") - F.col("_x")) ** 2).cast("double"))
     return a.join(other, keys).groupBy(*a.columns).agg(F.min(d).alias("d"))
 
 
+def nearest(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """nearest_point() for pixels, whose places are whole numbers: one distance map for each key, in the order of its
+    area and not of pairs of pixels. Pixels without any partner are left out."""
+    schema = T.StructType([*a.schema.fields, T.StructField("d", T.DoubleType())])
+
+    def measure(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or other.empty:
+            return own.iloc[:0].assign(d=np.zeros(0))
+        p, q = own[["y", "x"]].to_numpy(np.int64), other[["_y", "_x"]].to_numpy(np.int64)
+        low = np.minimum(p.min(axis=0), q.min(axis=0))
+        h, w = np.maximum(p.max(axis=0), q.max(axis=0)) - low + 1
+        at = p - low
+        return own.assign(d=np.sqrt(squared_distances(q - low, h, w)[at[:, 0], at[:, 1]]))
+
+    other = b.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "y", "x")])
+    return a.groupBy(*keys).cogroup(other.groupBy(*[f"_{k}" for k in keys])).applyInPandas(measure, schema)
+
+
 def directed_chamfer(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, d): distances from a's pixels to b's, weighted by a's strength."""
     return nearest(a, b, keys).groupBy(*keys).agg((F.sum(F.col("strength") * F.col("d")) / F.sum("strength")).alias("d"))
@@ -32,21 +53,30 @@ def chamfer(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return there.join(back, keys).select(*keys, ((F.col("d") + F.col("e")) / 2).alias("cost"))
 
 
-def hausdorff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, h): the larger of the two directed maxima of nearest distances."""
-    sides = [nearest(p, q, keys).groupBy(*keys).agg(F.max("d").alias("d")) for p, q in ((a, b), (b, a))]
+def hausdorff(a: DataFrame, b: DataFrame, keys: list[str], by=nearest) -> DataFrame:
+    """(keys, h): the larger of the two directed maxima of nearest distances; ``by``: nearest or nearest_point."""
+    sides = [by(p, q, keys).groupBy(*keys).agg(F.max("d").alias("d")) for p, q in ((a, b), (b, a))]
     return sides[0].join(sides[1].withColumnRenamed("d", "e"), keys).select(*keys, F.greatest("d", "e").alias("h"))
 
 
-def distance_map(points: np.ndarray, size: int) -> np.ndarray:
-    """Exact distances of a size x size grid to the nearest of ``points`` (y, x), in two passes over rows and columns."""
-    far = 4.0 * size * size
-    f = np.full((size, size), far)
-    f[points[:, 0], points[:, 1]] = 0
-    step = (np.arange(size)[:, None] - np.arange(size)[None, :]) ** 2
-    f = (f[None, :, :] + step[:, :, None]).min(axis=1)
-    f = (f[:, None, :] + step[None, :, :]).min(axis=2)
-    return np.sqrt(f)
+def squared_distances(points: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Exact squared distances of an h x w grid to the nearest of ``points`` (y, x), at least one.
+
+    Along columns by running extremes; along rows by shifts, up to the largest distance that is left.
+    """
+    rows = np.arange(h)[:, None]
+    on, far = np.zeros((h, w), bool), 2 * (h + w)
+    on[points[:, 0], points[:, 1]] = True
+    above = np.maximum.accumulate(np.where(on, rows, -far), axis=0)
+    below = np.minimum.accumulate(np.where(on, rows, far + h)[::-1], axis=0)[::-1]
+    column = np.minimum(rows - above, below - rows) ** 2
+    out = column.copy()
+    for k in range(1, w):
+        if k * k >= out.max():
+            break
+        out[:, k:] = np.minimum(out[:, k:], column[:, :-k] + k * k)
+        out[:, :-k] = np.minimum(out[:, :-k], column[:, k:] + k * k)
+    return out
 
 
 def tile_pair_costs(tiles: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -62,11 +92,11 @@ def tile_pair_costs(tiles: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raster, found in zip(b.column("raster_id").to_pylist(), b.column("tiles").to_pylist(), strict=True):
-                weight, dist = (np.zeros((len(found), size * size), np.float32) for _ in range(2))
+                weight, dist = (np.zeros((len(found), size * size)) for _ in range(2))
                 for k, t in enumerate(found):
                     at = np.array([(p["y"], p["x"]) for p in t["p"]])
                     weight[k, at[:, 0] * size + at[:, 1]] = [p["strength"] for p in t["p"]]
-                    dist[k] = distance_map(at, size).reshape(-1)
+                    dist[k] = np.sqrt(squared_distances(at, size, size)).reshape(-1)
                 weight /= weight.sum(axis=1, keepdims=True)
                 places = np.array([(t["ty"], t["tx"]) for t in found], np.int32)
                 yield pa.record_batch({"raster_id": pa.array([raster], pa.int64()), "n": pa.array([len(found)], pa.int32()), "at": pa.array([places.tobytes()]), "w": pa.array([weight.tobytes()]), "d": pa.array([dist.tobytes()])})
@@ -77,7 +107,7 @@ def tile_pair_costs(tiles: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                wi, di, wj, dj = (np.frombuffer(r[c], np.float32).reshape(r["n_" + c[-1]], -1).astype(np.float64) for c in ("w_i", "d_i", "w_j", "d_j"))
+                wi, di, wj, dj = (np.frombuffer(r[c]).reshape(r["n_" + c[-1]], -1) for c in ("w_i", "d_i", "w_j", "d_j"))
                 pi, pj = (np.frombuffer(r[f"at_{k}"], np.int32).reshape(-1, 2) for k in "ij")
                 cost = (wi @ dj.T + (wj @ di.T).T) / 2
                 i, j = (x.reshape(-1) for x in np.indices(cost.shape))
@@ -89,12 +119,13 @@ def tile_pair_costs(tiles: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     return joined.mapInArrow(costs, "i bigint, j bigint, yi int, xi int, yj int, xj int, cost double")
 
 
-def cosine_distances(vectors: DataFrame, block: int = 256) -> DataFrame:
+def cosine_distances(vectors: DataFrame, block: int = 256, within: str | None = None) -> DataFrame:
     """(i, j, d) for all i < j of (image_idx, vec): 1 - cosine, block by block as matrix products.
 
-    The result is all pairs by definition; use knn() where only neighbours are wanted.
+    The result is all pairs by definition, or all pairs with equal values of the column ``within``; use knn() where
+    only neighbours are wanted.
     """
-    return _blocks(vectors, block, lambda d, i, j, same: _upper(d, i, j), "i bigint, j bigint, d double", True)
+    return _blocks(vectors, block, lambda d, i, j, same: _upper(d, i, j), "i bigint, j bigint, d double", True, within)
 
 
 def _upper(d: np.ndarray, i: np.ndarray, j: np.ndarray):
@@ -104,11 +135,13 @@ def _upper(d: np.ndarray, i: np.ndarray, j: np.ndarray):
     return [low[keep], high[keep], d[a, b][keep]]
 
 
-def _blocks(vectors: DataFrame, block: int, pick, schema: str, half: bool) -> DataFrame:
-    """``pick`` applied to the distance matrix of each pair of blocks of vectors; ``half``: of each unordered pair."""
-    dealt = vectors.select(F.floor(F.col("image_idx") / block).alias("b"), F.struct("image_idx", F.col("vec").cast("array<double>").alias("vec")).alias("v"))
-    packed = dealt.groupBy("b").agg(F.collect_list("v").alias("v"))
-    left, right = packed.select(F.col("b").alias("p"), F.col("v").alias("u")), packed.select(F.col("b").alias("q"), "v")
+def _blocks(vectors: DataFrame, block: int, pick, schema: str, half: bool, within: str | None = None) -> DataFrame:
+    """``pick`` applied to the distance matrix of each pair of blocks of vectors; ``half``: of each unordered pair;
+    ``within``: of pairs with equal values of that column."""
+    group = F.lit(0) if within is None else F.col(within)
+    dealt = vectors.select(group.alias("g"), F.floor(F.col("image_idx") / block).alias("b"), F.struct("image_idx", F.col("vec").cast("array<double>").alias("vec")).alias("v"))
+    packed = dealt.groupBy("g", "b").agg(F.collect_list("v").alias("v"))
+    left, right = packed.select("g", F.col("b").alias("p"), F.col("v").alias("u")), packed.select(F.col("g").alias("h"), F.col("b").alias("q"), "v")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,12 +152,14 @@ def _blocks(vectors: DataFrame, block: int, pick, schema: str, half: bool) -> Da
                 x, y = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300) for z in (x, y))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in pick(1 - x @ y.T, i, j, None)], names)
 
-    pairs = left.join(right, F.col("p") <= F.col("q") if half else F.lit(True))
-    return pairs.repartition("p", "q").select("u", "v").mapInArrow(run, schema)
+    met = F.lit(True) if within is None else F.col("g") == F.col("h")
+    pairs = left.join(right, met & (F.col("p") <= F.col("q")) if half else met)
+    return pairs.repartition("g", "p", "q").select("u", "v").mapInArrow(run, schema)
 
 
-def knn(vectors: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """(i, j, d, rank): the k nearest others of each vector by cosine distance, ties by index (to 12 decimals).
+def knn(vectors: DataFrame, k: int, block: int = 256, within: str | None = None) -> DataFrame:
+    """(i, j, d, rank): the k nearest others of each vector by cosine distance, ties by index (to 12 decimals);
+    ``within``: others with equal values of that column.
 
     Each pair of blocks keeps k of a row, so that k x blocks rows a vector reach the final ranking.
     """
@@ -139,7 +174,7 @@ def knn(vectors: DataFrame, k: int, block: int = 256) -> DataFrame:
         keep = np.isfinite(d[rows, at])
         return [i[rows][keep], j[at][keep], d[rows, at][keep]]
 
-    near = _blocks(vectors, block, pick, "i bigint, j bigint, d double", False)
+    near = _blocks(vectors, block, pick, "i bigint, j bigint, d double", False, within)
     rank = F.row_number().over(W.partitionBy("i").orderBy("d", "j"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strokeframe.operators import distance, raster, search
+from strokeframe.operators import distance, raster, search, sequence
 from strokeframe.tables import read_table
 
 from . import line_queries
@@ -29,8 +29,8 @@ def rasters(spark, sf):
     return pixels(spark, sf).select("raster_id").distinct().select("raster_id", F.lit(RASTER_H).alias("h"), F.lit(RASTER_W).alias("w"))
 
 
-def tiles(spark, sf, stride=4):
-    return raster.tile_grid(rasters(spark, sf), F.lit(24), stride)
+def tiles(spark, sf):
+    return raster.tile_grid(rasters(spark, sf), F.lit(24), 4)
 
 
 _GRID = """, ras AS (SELECT DISTINCT raster_id FROM pix),
@@ -131,37 +131,46 @@ def edt_nearest(spark, sf):
 
 
 def _sides(spark, sf):
-    """The pixels of each raster's middle tile, and of the next raster's, keyed by the first."""
-    middle = tiles(spark, sf, 4).where("ty = 4 AND tx = 12")
-    p = raster.tile_pixels(pixels(spark, sf), middle).select("raster_id", "y", "x", "strength")
+    """The pixels of each tile of each raster, and of the next raster's at the same place, keyed by the first."""
+    p = raster.tile_pixels(pixels(spark, sf), tiles(spark, sf)).select("raster_id", "ty", "tx", "y", "x", "strength")
     nxt = p.withColumn("raster_id", F.col("raster_id") - 1)
     return p, nxt
 
 
-_SIDES = """, mid AS (SELECT raster_id, y - 4 AS y, x - 12 AS x, strength FROM pix WHERE y >= 4 AND y < 28 AND x >= 12 AND x < 36),
-ab AS (SELECT a.raster_id, a.y, a.x, any_value(a.strength) AS w, sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS d FROM mid a JOIN mid b ON b.raster_id = a.raster_id + 1 GROUP BY ALL),
-ba AS (SELECT a.raster_id - 1 AS raster_id, a.y, a.x, any_value(a.strength) AS w, sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS d FROM mid a JOIN mid b ON b.raster_id = a.raster_id - 1 GROUP BY ALL)
+#: Squared distances of all places of each tile to its nearest pixel.
+_MAPS = (
+    _GRID.format(s=4)
+    + _TP.replace("tp AS", "tp AS MATERIALIZED")
+    + """, dm AS MATERIALIZED (SELECT raster_id, ty, tx, gy, gx, min((gy - py) ** 2 + (gx - px) ** 2) AS d FROM tp, range(0, 24) a(gy), range(0, 24) b(gx) GROUP BY ALL)
+"""
+)
+_SIDES = (
+    _MAPS
+    + """, ab AS (SELECT a.raster_id, a.ty, a.tx, strength AS w, sqrt(d) AS d FROM tp a JOIN dm b ON b.raster_id = a.raster_id + 1 AND b.ty = a.ty AND b.tx = a.tx AND gy = py AND gx = px),
+ba AS (SELECT a.raster_id - 1 AS raster_id, a.ty, a.tx, strength AS w, sqrt(d) AS d FROM tp a JOIN dm b ON b.raster_id = a.raster_id - 1 AND b.ty = a.ty AND b.tx = a.tx AND gy = py AND gx = px)
 """
+)
+_TILE = ["raster_id", "ty", "tx"]
 
 
 @register(
     "chamfer_tiles",
     _SIDES
-    + """, f AS (SELECT raster_id, sum(w * d) / sum(w) AS d FROM ab GROUP BY 1), g AS (SELECT raster_id, sum(w * d) / sum(w) AS d FROM ba GROUP BY 1)
-SELECT raster_id, round((f.d + g.d) / 2, 4) + 0.0 AS cost FROM f JOIN g USING (raster_id)""",
+    + """, f AS (SELECT raster_id, ty, tx, sum(w * d) / sum(w) AS d FROM ab GROUP BY ALL), g AS (SELECT raster_id, ty, tx, sum(w * d) / sum(w) AS d FROM ba GROUP BY ALL)
+SELECT raster_id, ty, tx, round(round((f.d + g.d) / 2, 9), 4) + 0.0 AS cost FROM f JOIN g USING (raster_id, ty, tx)""",
 )
 def chamfer_tiles(spark, sf):
-    return distance.chamfer(*_sides(spark, sf), ["raster_id"])
+    return distance.chamfer(*_sides(spark, sf), _TILE).withColumn("cost", F.round("cost", 9))
 
 
 @register(
     "hausdorff_tiles",
     _SIDES
-    + """, f AS (SELECT raster_id, max(d) AS d FROM ab GROUP BY 1), g AS (SELECT raster_id, max(d) AS d FROM ba GROUP BY 1)
-SELECT raster_id, round(greatest(f.d, g.d), 4) + 0.0 AS h FROM f JOIN g USING (raster_id)""",
+    + """, f AS (SELECT raster_id, ty, tx, max(d) AS d FROM ab GROUP BY ALL), g AS (SELECT raster_id, ty, tx, max(d) AS d FROM ba GROUP BY ALL)
+SELECT raster_id, ty, tx, round(greatest(f.d, g.d), 4) + 0.0 AS h FROM f JOIN g USING (raster_id, ty, tx)""",
 )
 def hausdorff_tiles(spark, sf):
-    return distance.hausdorff(*_sides(spark, sf), ["raster_id"])
+    return distance.hausdorff(*_sides(spark, sf), _TILE)
 
 
 @register(
@@ -178,7 +187,7 @@ def tile_hausdorff_sq(spark, sf):
     from .fixtures import segments
 
     p = points_in_tile(segments(spark, sf), 100, 200, 128).select("drawing_id", F.col("px").alias("x"), F.col("py").alias("y")).distinct()
-    h = distance.hausdorff(p, p.withColumn("drawing_id", F.col("drawing_id") - 1), ["drawing_id"])
+    h = distance.hausdorff(p, p.withColumn("drawing_id", F.col("drawing_id") - 1), ["drawing_id"], distance.nearest_point)
     return h.select("drawing_id", (F.col("h") * F.col("h")).alias("h"))
 
 
@@ -186,20 +195,18 @@ def tile_hausdorff_sq(spark, sf):
 
 
 def pair_costs(spark, sf):
-    """All tile pairs (stride 8) of each raster and the next."""
+    """All tile pairs of each raster and the next."""
     ids = rasters(spark, sf).select("raster_id")
     pairs = ids.select(F.col("raster_id").alias("i"), (F.col("raster_id") + 1).alias("j"))
-    return distance.tile_pair_costs(raster.tile_pixels(pixels(spark, sf), tiles(spark, sf, 8)), pairs, 24)
+    costs = distance.tile_pair_costs(raster.tile_pixels(pixels(spark, sf), tiles(spark, sf)), pairs, 24)
+    return costs.withColumn("cost", F.round("cost", 9))
 
 
 _COSTS = (
-    _GRID.format(s=8)
-    + _TP
-    + """, f AS (SELECT i, j, yi, xi, yj, xj, sum(w * d) / sum(w) AS d FROM (SELECT a.raster_id AS i, b.raster_id AS j, a.ty AS yi, a.tx AS xi, b.ty AS yj, b.tx AS xj, a.py, a.px, any_value(a.strength) AS w,
-  sqrt(min((a.py - b.py) ** 2 + (a.px - b.px) ** 2)) AS d FROM tp a JOIN tp b ON b.raster_id = a.raster_id + 1 GROUP BY ALL) GROUP BY ALL),
-g AS (SELECT i, j, yi, xi, yj, xj, sum(w * d) / sum(w) AS d FROM (SELECT b.raster_id AS i, a.raster_id AS j, b.ty AS yi, b.tx AS xi, a.ty AS yj, a.tx AS xj, a.py, a.px, any_value(a.strength) AS w,
-  sqrt(min((a.py - b.py) ** 2 + (a.px - b.px) ** 2)) AS d FROM tp a JOIN tp b ON b.raster_id = a.raster_id - 1 GROUP BY ALL) GROUP BY ALL),
-tc AS (SELECT i, j, yi, xi, yj, xj, (f.d + g.d) / 2 AS cost FROM f JOIN g USING (i, j, yi, xi, yj, xj))
+    _MAPS
+    + """, f AS (SELECT a.raster_id AS i, b.raster_id AS j, a.ty AS yi, a.tx AS xi, b.ty AS yj, b.tx AS xj, sum(strength * sqrt(d)) / sum(strength) AS d FROM tp a JOIN dm b ON b.raster_id = a.raster_id + 1 AND gy = py AND gx = px GROUP BY ALL),
+g AS (SELECT b.raster_id AS i, a.raster_id AS j, b.ty AS yi, b.tx AS xi, a.ty AS yj, a.tx AS xj, sum(strength * sqrt(d)) / sum(strength) AS d FROM tp a JOIN dm b ON b.raster_id = a.raster_id - 1 AND gy = py AND gx = px GROUP BY ALL),
+tc AS (SELECT i, j, yi, xi, yj, xj, round((f.d + g.d) / 2, 9) AS cost FROM f JOIN g USING (i, j, yi, xi, yj, xj))
 """
 )
 
@@ -327,10 +334,8 @@ def collections(spark, sf):
 
 def _within(spark, sf):
     """Costs of all pairs within a collection."""
-    m = collections(spark, sf)
-    a, b = (m.select(F.col("collection").alias(f"c{k}"), F.col("image_idx").alias(k)) for k in "ij")
-    pairs = distance.cosine_distances(descriptors(spark, sf)).withColumnRenamed("d", "cost")
-    return pairs.join(a, "i").join(b, "j").where("ci = cj").select("i", "j", "cost")
+    vectors = descriptors(spark, sf).join(collections(spark, sf), "image_idx")
+    return distance.cosine_distances(vectors, within="collection").withColumnRenamed("d", "cost")
 
 
 @register("greedy_path")
@@ -362,7 +367,60 @@ def settle_tiles(spark, sf):
     """The rasters in order of their id, ten to a path, each with its best tile."""
     ids = rasters(spark, sf).select("raster_id")
     path = ids.select(F.expr("raster_id div 10").alias("collection"), F.col("raster_id").alias("step"), F.col("raster_id").alias("image_idx"))
-    return search.settle_tiles(path, tiles(spark, sf, 8), pair_costs(spark, sf))
+    return search.settle_tiles(path, tiles(spark, sf), pair_costs(spark, sf))
+
+
+@register(
+    "tile_path_cost",
+    _COSTS
+    + """, path AS (SELECT raster_id // 10 AS collection, raster_id, CASE WHEN raster_id % 4 > 0 THEN raster_id % 3 * 4 END AS ty, raster_id % 7 * 4 AS tx FROM ras),
+s AS (SELECT *, lead(raster_id) OVER w AS nxt, lead(ty) OVER w AS ny, lead(tx) OVER w AS nx FROM path WINDOW w AS (PARTITION BY collection ORDER BY raster_id)),
+lo AS (SELECT i, j, min(cost) AS least FROM tc GROUP BY ALL)
+SELECT s.collection, round(sum(coalesce(CASE WHEN s.ty IS NULL OR ny IS NULL THEN lo.least END, tc.cost, 100.0)), 3) + 0.0 AS cost FROM s LEFT JOIN lo ON lo.i = raster_id AND lo.j = nxt
+LEFT JOIN tc ON tc.i = raster_id AND tc.j = nxt AND tc.yi = s.ty AND tc.xi = s.tx AND tc.yj = ny AND tc.xj = nx WHERE nxt IS NOT NULL GROUP BY 1""",
+    3,
+)
+def tile_path_cost(spark, sf):
+    """The rasters in order of their id, ten to a path, each at a tile of its own; every fourth has an open one."""
+    k = F.col("raster_id")
+    path = rasters(spark, sf).select(
+        F.expr("raster_id div 10").alias("collection"), k.alias("step"), k.alias("image_idx"),
+        F.when(k % 4 > 0, k % 3 * 4).cast("int").alias("ty"), (k % 7 * 4).cast("int").alias("tx"),
+    )
+    return search.tile_path_cost(path, pair_costs(spark, sf), F.lit(100.0))
+
+
+def _drawn(spark, sf):
+    """(collection, image_idx): the rasters, a hundred to a collection."""
+    return rasters(spark, sf).select(F.expr("raster_id div 100").alias("collection"), F.col("raster_id").alias("image_idx"))
+
+
+@register("tile_greedy_path")
+def tile_greedy_path(spark, sf):
+    return sequence.image_sequence(pixels(spark, sf), _drawn(spark, sf), RASTER_H, RASTER_W, 24, 4, improve=False, settle=False)
+
+
+@register("tile_two_opt_path")
+def tile_two_opt_path(spark, sf):
+    return sequence.image_sequence(pixels(spark, sf), _drawn(spark, sf), RASTER_H, RASTER_W, 24, 4, settle=False)
+
+
+@register("sequence_pipeline")
+def sequence_pipeline(spark, sf):
+    """From raw pixels to a path through each collection, its tiles and the crops of photos of four times the size."""
+    edges = raster.large_components(raster.edges(raw_pixels(spark, sf), 0.5), RASTER_H, RASTER_W, 3)
+    found = sequence.image_sequence(edges, _drawn(spark, sf), RASTER_H, RASTER_W, 24, 4)
+    frames = found.select("*", *[F.lit(v).alias(n) for n, v in (("h", 4 * RASTER_H), ("w", 4 * RASTER_W), ("ld_h", RASTER_H), ("ld_w", RASTER_W), ("ts", 24))])
+    return search.crop_plan(frames).select("collection", "step", "image_idx", "ty", "tx", "total", "cy", "cx", "ch", "cw")
+
+
+@register(
+    "frame_side",
+    """, f AS (SELECT 600 + raster_id % 7 * 100 AS h, 900 + raster_id % 5 * 100 AS w FROM (SELECT DISTINCT raster_id FROM pix)), s AS (SELECT *, least(h, w) / 32.0 AS s FROM f)
+SELECT CAST(min(least(floor(round(24 * s, 9)), h, w)) AS INTEGER) AS side FROM s""",
+)
+def frame_side(spark, sf):
+    return search.frame_side(crop_plan(spark, sf))
 
 
 @register(

@@ -156,3 +156,61 @@ def test_svg_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT * FROM hist").count() > 0
+
+
+def test_squared_distances():
+    rng = np.random.default_rng(5)
+    for h, w, n in ((1, 1, 1), (1, 9, 2), (9, 1, 1), (13, 40, 1), (24, 24, 30), (40, 17, 3)):
+        p = np.stack([rng.integers(0, h, n), rng.integers(0, w, n)], 1)
+        y, x = np.indices((h, w))
+        plain = ((y[..., None] - p[:, 0]) ** 2 + (x[..., None] - p[:, 1]) ** 2).min(axis=2)
+        assert (distance.squared_distances(p, h, w) == plain).all()
+
+
+def test_nearest_pixel_and_point_agree(spark):
+    rng = np.random.default_rng(6)
+    a, b = (spark.createDataFrame([(int(k % 3), int(y), int(x), 1.0) for k, (y, x) in enumerate(rng.integers(-5, 30, (n, 2)))], "raster_id bigint, y bigint, x bigint, strength double").distinct() for n in (40, 25))
+    b = b.where("raster_id < 2")  # a raster without partners is left out
+    first, second = (sorted(map(tuple, f(a, b, ["raster_id"]).collect())) for f in (distance.nearest, distance.nearest_point))
+    assert first == second and {r[0] for r in first} == {0, 1}
+
+
+def _plain_tile_greedy(n, tiles, cost, absent):
+    """cost[(i, p, j, q)] of both orders; every start, the cheapest total, ties to the first."""
+    best = None
+    for start in range(n):
+        path, at, total = [start], {}, 0.0
+        while len(path) < n:
+            here = path[-1]
+            own = [at[here]] if here in at else range(tiles)
+            steps = [(cost.get((here, p, j, q), absent), j, p, q) for j in range(n) if j not in path for p in own for q in range(tiles)]
+            c, j, p, q = min(steps)
+            total += c
+            path.append(j)
+            if c < absent:
+                at[here], at[j] = p, q
+        if best is None or total < best[2]:
+            best = (path, at, total)
+    return best
+
+
+def test_tile_sequence(spark):
+    rng = np.random.default_rng(7)
+    n, tiles = 9, 3
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.6]
+    rows = [(i, j, 0, 4 * p, 0, 4 * q, float(rng.integers(1, 100))) for i, j in pairs for p in range(tiles) for q in range(tiles)]
+    members = spark.createDataFrame([(1, k) for k in range(n)] + [(2, 50)], "collection bigint, image_idx bigint")
+    costs = spark.createDataFrame(rows, "i bigint, j bigint, yi int, xi int, yj int, xj int, cost double")
+    known = {(i, xi // 4, j, xj // 4): c for i, j, _, xi, _, xj, c in rows}
+    known |= {(j, q, i, p): c for (i, p, j, q), c in known.items()}
+    absent = sum(r[6] for r in rows) + 1
+    path, at, total = _plain_tile_greedy(n, tiles, known, absent)
+    got = search.tile_sequence(members, costs, improve=False).orderBy("collection", "step").collect()
+    assert [(r.image_idx, r.tx) for r in got if r.collection == 1] == [(k, 4 * at[k] if k in at else None) for k in path]
+    assert [(r.image_idx, r.ty) for r in got if r.collection == 2] == [(50, None)]  # an image alone has no tile
+    better = search.tile_sequence(members, costs)
+    assert sorted(r.image_idx for r in better.where("collection = 1").collect()) == list(range(n))
+    sums = [{r.collection: r.cost for r in search.tile_path_cost(p, costs, F.lit(absent)).collect()} for p in (search.tile_sequence(members, costs, improve=False), better)]
+    assert abs(sums[0][1] - total) < 1e-9 and sums[1][1] <= sums[0][1] and 2 not in sums[0]
+    assert search.tile_sequence(members.limit(0), costs).count() == 0
+    assert search.tile_sequence(members, costs.limit(0)).count() == n + 1
