@@ -101,7 +101,9 @@ def tile_pair_costs(tiles: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
                 places = np.array([(t["ty"], t["tx"]) for t in found], np.int32)
                 yield pa.record_batch({"raster_id": pa.array([raster], pa.int64()), "n": pa.array([len(found)], pa.int32()), "at": pa.array([places.tobytes()]), "w": pa.array([weight.tobytes()]), "d": pa.array([dist.tobytes()])})
 
-    made = grouped.mapInArrow(maps, "raster_id bigint, n int, at binary, w binary, d binary")
+    # few bytes, but much to work out: the number of partitions is stated, so that they are not joined
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = grouped.repartition(parts, "raster_id").mapInArrow(maps, "raster_id bigint, n int, at binary, w binary, d binary")
     side = lambda k: made.select(F.col("raster_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "at", "w", "d")])
 
     def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +118,7 @@ def tile_pair_costs(tiles: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", "yi", "xi", "yj", "xj", "cost"])
 
     joined = pairs.select("i", "j").join(side("i"), "i").join(side("j"), "j")
-    return joined.mapInArrow(costs, "i bigint, j bigint, yi int, xi int, yj int, xj int, cost double")
+    return joined.repartition(parts, "i", "j").mapInArrow(costs, "i bigint, j bigint, yi int, xi int, yj int, xj int, cost double")
 
 
 def cosine_distances(vectors: DataFrame, block: int = 256, within: str | None = None) -> DataFrame:
