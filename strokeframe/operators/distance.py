@@ -79,6 +79,11 @@ def squared_distances(points: np.ndarray, h: int, w: int) -> np.ndarray:
     return out
 
 
+def distance_map(points: np.ndarray, size: int) -> np.ndarray:
+    """Exact distances of a size x size grid to the nearest of ``points`` (y, x)."""
+    return np.sqrt(squared_distances(points, size, size))
+
+
 def tile_pair_costs(tiles: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """(i, j, yi, xi, yj, xj, cost) for all tiles of the rasters of each pair (i, j).
 
@@ -96,7 +101,7 @@ def tile_pair_costs(tiles: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
                 for k, t in enumerate(found):
                     at = np.array([(p["y"], p["x"]) for p in t["p"]])
                     weight[k, at[:, 0] * size + at[:, 1]] = [p["strength"] for p in t["p"]]
-                    dist[k] = np.sqrt(squared_distances(at, size, size)).reshape(-1)
+                    dist[k] = distance_map(at, size).reshape(-1)
                 weight /= weight.sum(axis=1, keepdims=True)
                 places = np.array([(t["ty"], t["tx"]) for t in found], np.int32)
                 yield pa.record_batch({"raster_id": pa.array([raster], pa.int64()), "n": pa.array([len(found)], pa.int32()), "at": pa.array([places.tobytes()]), "w": pa.array([weight.tobytes()]), "d": pa.array([dist.tobytes()])})
