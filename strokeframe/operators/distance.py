@@ -42,6 +42,46 @@ def nearest(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.groupBy(*keys).cogroup(other.groupBy(*[f"_{k}" for k in keys])).applyInPandas(measure, schema)
 
 
+def nearest_cells(points: np.ndarray, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distances, places y * w + x) of the nearest of ``points`` for an h x w grid, ties to the lowest place.
+
+    As squared_distances(); distance and place are one number, so that the least of it settles both.
+    """
+    rows, columns, far = np.arange(h)[:, None], np.arange(w)[None, :], 4 * (h + w)
+    on, cells = np.zeros((h, w), bool), h * w
+    on[points[:, 0], points[:, 1]] = True
+    above = np.maximum.accumulate(np.where(on, rows, -far), axis=0)
+    below = np.minimum.accumulate(np.where(on, rows, far + h)[::-1], axis=0)[::-1]
+    either = [(rows - r) ** 2 * cells + np.clip(r, 0, h - 1) * w + columns for r in (above, below)]
+    column = np.minimum(*either)
+    out = column.copy()
+    for k in range(1, w):
+        if k * k > out.max() // cells:
+            break
+        step = k * k * cells
+        out[:, k:] = np.minimum(out[:, k:], column[:, :-k] + step)
+        out[:, :-k] = np.minimum(out[:, :-k], column[:, k:] + step)
+    return out // cells, out % cells
+
+
+def nearest_pixel(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """nearest() with the place (ny, nx) of the nearest pixel, ties to the lowest ny, then nx."""
+    schema = T.StructType([*a.schema.fields, T.StructField("d", T.DoubleType()), T.StructField("ny", T.LongType()), T.StructField("nx", T.LongType())])
+
+    def measure(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or other.empty:
+            return own.iloc[:0].assign(d=np.zeros(0), ny=np.zeros(0, np.int64), nx=np.zeros(0, np.int64))
+        p, q = own[["y", "x"]].to_numpy(np.int64), other[["_y", "_x"]].to_numpy(np.int64)
+        low = np.minimum(p.min(axis=0), q.min(axis=0))
+        h, w = np.maximum(p.max(axis=0), q.max(axis=0)) - low + 1
+        at = p - low
+        d, place = (m[at[:, 0], at[:, 1]] for m in nearest_cells(q - low, h, w))
+        return own.assign(d=np.sqrt(d), ny=place // w + low[0], nx=place % w + low[1])
+
+    other = b.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "y", "x")])
+    return a.groupBy(*keys).cogroup(other.groupBy(*[f"_{k}" for k in keys])).applyInPandas(measure, schema)
+
+
 def directed_chamfer(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, d): distances from a's pixels to b's, weighted by a's strength."""
     return nearest(a, b, keys).groupBy(*keys).agg((F.sum(F.col("strength") * F.col("d")) / F.sum("strength")).alias("d"))

@@ -91,6 +91,15 @@ def wide_table(hist: DataFrame, short: str, bins: list, value: str = "norm_value
     return wide.select("drawing_id", *[F.coalesce(F.col(f"`{b}`"), F.lit(0.0)).alias(name(b)) for b in bins])
 
 
+def scene_table(scenes: DataFrame, histograms: dict[str, tuple[DataFrame, list]], value: str = "norm_value") -> DataFrame:
+    """``scenes`` (drawing_id, ...) with the wide_table() of each of ``histograms`` (by short name, with its bins); a
+    scene that is in none of a histogram has 0."""
+    for short, (hist, bins) in histograms.items():
+        wide = wide_table(hist, short, bins, value)
+        scenes = scenes.join(wide, "drawing_id", "left").fillna(0.0, [c for c in wide.columns if c != "drawing_id"])
+    return scenes
+
+
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     """Distinct values, or tuples, with their counts."""
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))

@@ -63,40 +63,41 @@ def tile_density_filter(spark, sf):
     return raster.dense_tiles(pixels(spark, sf), tiles(spark, sf), 0.6, 0.1)
 
 
-def _grad_sql(kernel) -> str:
+def grad_sql(kernel, source: str = "pix", h: int = RASTER_H, w: int = RASTER_W, mag: str = "sqrt(gx * gx + gy * gy)") -> str:
     cells = ", ".join(f"({dy}, {dx}, {kernel[dy + 1][dx + 1]}.0, {kernel[dx + 1][dy + 1]}.0)" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
     return f""", ker(dy, dx, kx, ky) AS (VALUES {cells}),
-grad0 AS (SELECT raster_id, y - dy AS y, x - dx AS x, round(CAST(sum(strength * kx) AS DOUBLE), 9) + 0.0 AS gx, round(CAST(sum(strength * ky) AS DOUBLE), 9) + 0.0 AS gy FROM pix, ker GROUP BY ALL),
-grad AS MATERIALIZED (SELECT *, sqrt(gx * gx + gy * gy) AS mag FROM grad0 WHERE y BETWEEN 0 AND 31 AND x BETWEEN 0 AND 47)
+grad0 AS (SELECT raster_id, y - dy AS y, x - dx AS x, round(CAST(sum(strength * kx) AS DOUBLE), 9) + 0.0 AS gx, round(CAST(sum(strength * ky) AS DOUBLE), 9) + 0.0 AS gy FROM {source}, ker GROUP BY ALL),
+grad AS MATERIALIZED (SELECT *, {mag} AS mag FROM grad0 WHERE y BETWEEN 0 AND {h - 1} AND x BETWEEN 0 AND {w - 1})
 """
 
 
-@register("sobel_stencil", _grad_sql(raster.SOBEL) + "SELECT raster_id, y, x, round(((abs(gx) + abs(gy)) / 2) ** 2, 4) + 0.0 AS value FROM grad")
+@register("sobel_stencil", grad_sql(raster.SOBEL) + "SELECT raster_id, y, x, round(((abs(gx) + abs(gy)) / 2) ** 2, 4) + 0.0 AS value FROM grad")
 def sobel_stencil(spark, sf):
     return raster.sobel_strength(pixels(spark, sf), RASTER_H, RASTER_W)
 
 
-@register("scharr_stencil", _grad_sql(raster.SCHARR) + "SELECT raster_id, y, x, round(mag / max(mag) OVER (PARTITION BY raster_id), 4) + 0.0 AS norm FROM grad")
+@register("scharr_stencil", grad_sql(raster.SCHARR) + "SELECT raster_id, y, x, round(mag / max(mag) OVER (PARTITION BY raster_id), 4) + 0.0 AS norm FROM grad")
 def scharr_stencil(spark, sf):
     return raster.normalised_strength(raster.gradients(pixels(spark, sf), raster.SCHARR, RASTER_H, RASTER_W)).select(*raster.PIXEL, "norm")
 
 
-@register(
-    "nms",
-    _grad_sql(raster.SCHARR)
-    + """, dir AS (SELECT *, round((degrees(atan2(gy, gx)) + 360) % 180, 9) AS a FROM grad),
+#: The rows of ``grad`` that are the greatest along their gradient.
+NMS = """, dir AS (SELECT *, round((degrees(atan2(gy, gx)) + 360) % 180, 9) AS a FROM grad),
 k AS (SELECT *, CASE WHEN a >= 22.5 AND a < 67.5 THEN 1 WHEN a >= 67.5 AND a < 112.5 THEN 2 WHEN a >= 112.5 AND a < 157.5 THEN 3 ELSE 0 END AS s FROM dir),
 st(s, dy, dx) AS (VALUES (0, 0, 1), (1, 1, -1), (2, 1, 0), (3, 1, 1), (0, 0, -1), (1, -1, 1), (2, -1, 0), (3, -1, -1)),
-far AS (SELECT raster_id, y - dy AS y, x - dx AS x, s, max(mag) AS far FROM grad, st GROUP BY ALL)
-SELECT k.raster_id, k.y, k.x, round(k.mag, 4) + 0.0 AS mag FROM k LEFT JOIN far USING (raster_id, y, x, s) WHERE round(k.mag, 9) >= round(coalesce(far, 0), 9)""",
-)
+far AS (SELECT raster_id, y - dy AS y, x - dx AS x, s, max(mag) AS far FROM grad, st GROUP BY ALL),
+nms AS MATERIALIZED (SELECT k.raster_id, k.y, k.x, k.mag FROM k LEFT JOIN far USING (raster_id, y, x, s) WHERE round(k.mag, 9) >= round(coalesce(far, 0), 9))
+"""
+
+
+@register("nms", grad_sql(raster.SCHARR) + NMS + "SELECT raster_id, y, x, round(mag, 4) + 0.0 AS mag FROM nms")
 def nms(spark, sf):
     return raster.thin(raster.gradients(pixels(spark, sf), raster.SCHARR, RASTER_H, RASTER_W)).select(*raster.PIXEL, "mag")
 
 
 @register(
     "cell_orientation_hist",
-    _grad_sql(raster.SCHARR)
+    grad_sql(raster.SCHARR)
     + """SELECT raster_id, CAST(y // 8 * 4 + x // 12 AS INTEGER) AS cell, CAST(least(floor(round((atan2(gy, gx) + pi()) / (2 * pi()), 9) * 8), 7) AS INTEGER) AS bin,
 round(sum(mag), 4) + 0.0 AS value FROM grad GROUP BY ALL""",
 )
@@ -444,14 +445,14 @@ def colours(spark, sf):
     return pixels(spark, sf).select(*raster.PIXEL, *[v.alias(n) for v, n in zip(rgb, "rgb", strict=True)])
 
 
-_COLOURS = """, col AS (SELECT raster_id, y, x, CAST((y * 5 + x * 3 + CAST(strength * 50 AS INT) * 2) % 256 AS DOUBLE) AS r, CAST((y * 7 + x * 11 + CAST(strength * 50 AS INT)) % 256 AS DOUBLE) AS g,
+COLOURS = """, col AS (SELECT raster_id, y, x, CAST((y * 5 + x * 3 + CAST(strength * 50 AS INT) * 2) % 256 AS DOUBLE) AS r, CAST((y * 7 + x * 11 + CAST(strength * 50 AS INT)) % 256 AS DOUBLE) AS g,
   CAST((y * 2 + x * 13 + CAST(strength * 50 AS INT) * 4) % 256 AS DOUBLE) AS b FROM pix)
 """
 
 
 @register(
     "saliency_mask",
-    _COLOURS
+    COLOURS
     + """, a AS (SELECT *, sqrt((r - avg(r) OVER w) ** 2 + (g - avg(g) OVER w) ** 2 + (b - avg(b) OVER w) ** 2) AS away FROM col WINDOW w AS (PARTITION BY raster_id)),
 s AS (SELECT *, round(0.5 * exp(-((x - 24.0) ** 2 + (y - 16.0) ** 2) / (2 * (32 / 3.0) * (32 / 3.0))) + 0.5 * away / max(away) OVER (PARTITION BY raster_id), 9) AS s FROM a),
 c AS (SELECT raster_id, round(quantile_cont(s, 0.6), 9) AS cut FROM s GROUP BY 1) SELECT raster_id, y, x, CASE WHEN s > cut THEN 255 ELSE 0 END AS mask FROM s JOIN c USING (raster_id)""",
@@ -460,7 +461,7 @@ def saliency_mask(spark, sf):
     return raster.saliency(colours(spark, sf), RASTER_H, RASTER_W).select(*raster.PIXEL, "mask")
 
 
-@register("binary_mask", _COLOURS + "SELECT raster_id, y, x, CASE WHEN (r + g + b) / 3 > 128 THEN 255 ELSE 0 END AS mask FROM col")
+@register("binary_mask", COLOURS + "SELECT raster_id, y, x, CASE WHEN (r + g + b) / 3 > 128 THEN 255 ELSE 0 END AS mask FROM col")
 def binary_mask(spark, sf):
     return raster.figure_mask(colours(spark, sf)).select(*raster.PIXEL, "mask")
 
@@ -472,7 +473,7 @@ _LAYERS = ", ".join(
 
 @register(
     "figure_ground",
-    _COLOURS
+    COLOURS
     + f""", m AS (SELECT *, (r + g + b) / 3 > 128 AS fig FROM col)
 SELECT raster_id, y, x, {_LAYERS}, CASE WHEN fig THEN 255.0::DOUBLE ELSE 0.0::DOUBLE END AS figure_a, CASE WHEN fig THEN 0.0::DOUBLE ELSE 255.0::DOUBLE END AS ground_a, 255.0::DOUBLE AS overlay_a FROM m""",
 )
@@ -486,7 +487,7 @@ MEANS, DEVIATIONS = [0.485, 0.456, 0.406], [0.229, 0.224, 0.225]
 
 @register(
     "normalised_channels",
-    _COLOURS + "SELECT raster_id, y, x, " + ", ".join(f"round(({c} / 255.0 - {m}) / {v}, 4) + 0.0 AS {c}" for c, m, v in zip("rgb", MEANS, DEVIATIONS, strict=True)) + " FROM col",
+    COLOURS + "SELECT raster_id, y, x, " + ", ".join(f"round(({c} / 255.0 - {m}) / {v}, 4) + 0.0 AS {c}" for c, m, v in zip("rgb", MEANS, DEVIATIONS, strict=True)) + " FROM col",
 )
 def normalised_channels(spark, sf):
     return raster.normalised_channels(colours(spark, sf), MEANS, DEVIATIONS)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_queries, raster_queries
+from . import line_queries, photo_queries, raster_queries
 
-MODULES = [line_queries, raster_queries]
+MODULES = [line_queries, raster_queries, photo_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

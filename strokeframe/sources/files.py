@@ -49,6 +49,12 @@ def first_existing(wanted: DataFrame, files: DataFrame, extensions: tuple[str, .
     return joined.withColumn("photo", F.coalesce("b.photo", "same")).drop("stem", "b", "same")
 
 
+def drawings_by_name(listing: DataFrame, drawings: DataFrame) -> DataFrame:
+    """The rows of ``listing`` (filename, ...) with those of ``drawings`` (filename, ...) of the same file; a name
+    without a drawing stays, with nulls."""
+    return listing.join(drawings, "filename", "left")
+
+
 def read_sequence(spark: SparkSession, path: str, sized: bool = False) -> DataFrame:
     """A headerless listing with ``step`` from 0; blank lines are skipped. ``sized`` has a tile_size column."""
     lines = spark.read.schema(SEQUENCE_SIZED if sized else SEQUENCE).option("wholeFile", False).csv(path)

@@ -158,9 +158,9 @@ def shape_contours(tag: str, get) -> list[np.ndarray]:
     return path_contours(get("d") or "") if tag == "path" else []
 
 
-def parse(content: bytes, svg_spec: bool = False) -> tuple[list[np.ndarray], int, int]:
+def parse(content: bytes, svg_spec: bool = False, size_as: tuple[int, int] | None = None) -> tuple[list[np.ndarray], int, int]:
     """(contours, width, height): of all shapes, with the transforms of their groups, outer first. The size is
-    that of the last viewBox, else what the coordinates need."""
+    ``size_as``, else that of the last viewBox, else what the coordinates need."""
     found: list[np.ndarray] = []
     size: list[float] = []
 
@@ -176,12 +176,14 @@ def parse(content: bytes, svg_spec: bool = False) -> tuple[list[np.ndarray], int
             walk(child, m)
 
     walk(ET.fromstring(content), np.eye(3))
+    if size_as is not None:
+        size = list(size_as)
     if not size:
         size = [math.ceil(max((float(c[:, k].max()) for c in found), default=0.0)) for k in (0, 1)]
     return found, round(size[0]), round(size[1])
 
 
-def parse_files(files: DataFrame, svg_spec: bool = False) -> DataFrame:
+def parse_files(files: DataFrame, svg_spec: bool = False, size_as: tuple[int, int] | None = None) -> DataFrame:
     """Segment rows (SCHEMA) of files (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +194,7 @@ def parse_files(files: DataFrame, svg_spec: bool = False) -> DataFrame:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 name = path.rpartition("/")[2]
                 try:
-                    contours, w, h = parse(content, svg_spec)
+                    contours, w, h = parse(content, svg_spec, size_as)
                     for c, p in enumerate(contours):
                         rows += [(name, c, s, *p[s].tolist(), *p[s + 1].tolist(), w, h, None) for s in range(len(p) - 1)]
                 except Exception as error:  # noqa: BLE001  one bad file must not stop the others
@@ -203,10 +205,10 @@ def parse_files(files: DataFrame, svg_spec: bool = False) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def read_svg(spark: SparkSession, folder: str, svg_spec: bool = False) -> DataFrame:
-    """Every .svg file of a folder."""
+def read_svg(spark: SparkSession, folder: str, svg_spec: bool = False, size_as: tuple[int, int] | None = None) -> DataFrame:
+    """Every .svg file of a folder; ``size_as`` (width, height) stands for the sizes that the files give."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[sS][vV][gG]").load(folder)
-    return parse_files(files, svg_spec)
+    return parse_files(files, svg_spec, size_as)
 
 
 def svg_text(segments: DataFrame, width: int, height: int) -> DataFrame:
