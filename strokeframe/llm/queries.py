@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strokeframe.tables import read_table
 
-from . import decontaminate, fingerprint, lang_id, lm, near_dup, quality, sentencepiece_codec, sharding, toxicity, url_filter
+from . import decontaminate, fingerprint, lang_id, lm, merkle, near_dup, quality, sentencepiece_codec, sharding, toxicity, url_filter
 from .training import labelled_texts, remainder
 
 #: The rules that op3 applies: host, path, verdict.
@@ -114,6 +114,13 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), 4, 80)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents by language, with rows that are tampered with where 7 divides the crc32."""
+    docs = read_table(spark, sf_dir, "documents")
+    tampers = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    return merkle.verify_documents(docs, F.coalesce(tampers, F.lit(False)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -126,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_near_dup": op9_near_dup,
         "op10_toxicity": op10_toxicity,
+        "op11_merkle": op11_merkle,
     }
 
 
@@ -189,6 +197,49 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM c JOIN s USING (doc_id)
 """
 
+_OP11 = r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS crc),
+d AS (
+  SELECT doc_id, lang, n_chars, hex(encode(CAST(doc_id AS VARCHAR))) AS x,
+    coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail FROM documents),
+c AS (
+  SELECT *, xor(list_reduce(range(0, len(x) // 2), lambda a, i:
+      xor(a >> 8, crc[(xor(a, CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)) & 255) + 1]), 4294967295), 4294967295) % 7 = 0 AS tampered FROM d, t),
+leaf AS (
+  SELECT doc_id, lang, sha256(head || coalesce(len(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS h,
+    CASE WHEN tampered AND n_chars IS NOT NULL THEN sha256(head || len(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) || tail) END AS th FROM c),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS slot FROM leaf),
+lists AS (SELECT lang, list(h ORDER BY slot) AS hs FROM placed GROUP BY lang),
+levels AS (
+  SELECT lang, 0 AS lvl, hs FROM lists
+  UNION ALL
+  SELECT lang, lvl + 1, list_transform(range(0, len(hs), 2), lambda i: sha256(hs[i + 1] || coalesce(hs[i + 2], ''))) FROM levels WHERE len(hs) > 1),
+subroots AS (SELECT lang, hs[1] AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS place FROM levels WHERE len(hs) = 1),
+tops AS (
+  SELECT 0 AS lvl, list(subroot ORDER BY place) AS hs FROM subroots
+  UNION ALL
+  SELECT lvl + 1, list_transform(range(0, len(hs), 2), lambda i: sha256(hs[i + 1] || coalesce(hs[i + 2], ''))) FROM tops WHERE len(hs) > 1),
+siblings AS (
+  SELECT p.lang, p.slot, v.lvl, (p.slot >> v.lvl) & 1 AS on_right, coalesce(v.hs[xor(p.slot >> v.lvl, 1) + 1], '') AS s
+  FROM placed p JOIN levels v ON p.lang IS NOT DISTINCT FROM v.lang WHERE len(v.hs) > 1
+  UNION ALL
+  SELECT p.lang, p.slot, 1000 + v.lvl, (r.place >> v.lvl) & 1, coalesce(v.hs[xor(r.place >> v.lvl, 1) + 1], '')
+  FROM placed p JOIN subroots r ON p.lang IS NOT DISTINCT FROM r.lang, tops v WHERE len(v.hs) > 1),
+path AS (SELECT lang, slot, list({'on_right': on_right, 's': s} ORDER BY lvl) AS p FROM siblings GROUP BY lang, slot),
+fold AS (
+  SELECT p.lang, p.slot, 0 AS k, coalesce(th, h) AS node, coalesce(p, []) AS p FROM placed p LEFT JOIN path q ON p.lang IS NOT DISTINCT FROM q.lang AND p.slot = q.slot
+  UNION ALL
+  SELECT lang, slot, k + 1, CASE WHEN p[k + 1].on_right = 1 THEN sha256(p[k + 1].s || node) ELSE sha256(node || p[k + 1].s) END, p FROM fold WHERE k < len(p))
+SELECT p.doc_id, p.h AS leaf, r.subroot, root, sha256(array_to_string(list_transform(f.p, lambda e: e.s), '')) AS proof_sha256,
+  f.node AS folded_root, f.node = root AS verified
+FROM placed p JOIN subroots r ON p.lang IS NOT DISTINCT FROM r.lang
+  JOIN fold f ON p.lang IS NOT DISTINCT FROM f.lang AND p.slot = f.slot AND f.k = len(f.p), (SELECT hs[1] AS root FROM tops WHERE len(hs) = 1)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _OP3, "op6_decontamination": _OP6, "op8_sharding": _OP8}
+    return {"op3_url_filter": _OP3, "op6_decontamination": _OP6, "op8_sharding": _OP8, "op11_merkle": _OP11}
