@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strokeframe.tables import read_table
 
-from . import decontaminate, fingerprint, lang_id, lm, merkle, near_dup, quality, sentencepiece_codec, sharding, toxicity, url_filter
+from . import cross_polytope, decontaminate, fingerprint, hard_negatives, lang_id, lm, merkle, near_dup, quality, sentencepiece_codec, sharding, toxicity, url_filter
 from .training import labelled_texts, remainder
 
 #: The rules that op3 applies: host, path, verdict.
@@ -121,6 +121,18 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(docs, F.coalesce(tampers, F.lit(False)))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th embedding; every 7th has its label moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mine(rows, "vec_id % 50 = 0")
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th embedding, among all embeddings."""
+    return cross_polytope.nearest(read_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -134,6 +146,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dup": op9_near_dup,
         "op10_toxicity": op10_toxicity,
         "op11_merkle": op11_merkle,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_neighbours": op13_neighbours,
     }
 
 
@@ -240,6 +254,24 @@ FROM placed p JOIN subroots r ON p.lang IS NOT DISTINCT FROM r.lang
   JOIN fold f ON p.lang IS NOT DISTINCT FROM f.lang AND p.slot = f.slot AND f.k = len(f.p), (SELECT hs[1] AS root FROM tops WHERE len(hs) = 1)
 """
 
+_OP12 = r"""
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT ar, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY ar ORDER BY score DESC, id) AS k
+  FROM s WHERE same QUALIFY k <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.ar, k ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.ar = s.ar AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _OP3, "op6_decontamination": _OP6, "op8_sharding": _OP8, "op11_merkle": _OP11}
+    return {"op3_url_filter": _OP3, "op6_decontamination": _OP6, "op8_sharding": _OP8, "op11_merkle": _OP11, "op12_hard_negatives": _OP12}
