@@ -82,12 +82,13 @@ def _round(nodes: DataFrame, levels: int) -> DataFrame:
             .withColumn("node", F.when(first & ~right & grows, parent).otherwise(F.col("node")))
         )
     path = F.filter(F.array(*[F.col(f"_path{level}") for level in range(levels)]), lambda s: s.isNotNull())
-    return out.select("group", "slot", "n", "node", path.alias("path"))
+    return out.select(*nodes.columns, path.alias("path"))
 
 
 def climb(leaves: DataFrame, most: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Of ``leaves`` (group, slot, n, node), with up to ``most`` to a group: (group, slot, path) of every leaf, and
+    """Of ``leaves`` (group, slot, n, node and others), with up to ``most`` to a group: the leaves with ``path``, and
     (group, root)."""
+    others = [c for c in leaves.columns if c not in ("n", "node")]
     rounds, nodes = [], leaves
     while True:
         levels = min(LEVELS, max(1, (most - 1).bit_length()))
@@ -99,11 +100,11 @@ def climb(leaves: DataFrame, most: int, name: str) -> tuple[DataFrame, DataFrame
         most = -(-most >> levels) if most > 0 else 0
         if most <= 1:
             break
-    paths = rounds[-1][0].select("group", "slot", "path")
+    whole = rounds[-1][0]
     for done, levels in rounds[-2::-1]:
-        above = paths.select("group", F.col("slot").alias("_block"), F.col("path").alias("_above"))
-        paths = done.withColumn("_block", F.shiftright("slot", levels)).join(above, ["group", "_block"]).select("group", "slot", F.concat("path", "_above").alias("path"))
-    return paths, nodes.select("group", F.col("node").alias("root"))
+        above = whole.select("group", F.col("slot").alias("_block"), F.col("path").alias("_above"))
+        whole = done.withColumn("_block", F.shiftright("slot", levels)).join(above, ["group", "_block"]).withColumn("path", F.concat("path", "_above"))
+    return whole.select(*others, "path"), nodes.select("group", F.col("node").alias("root"))
 
 
 def fold(leaf: Column, path: Column) -> Column:
@@ -117,27 +118,27 @@ def fold(leaf: Column, path: Column) -> Column:
 
 
 def manifest(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """(``order``, leaf, subroot, root, proof, tampered_leaf, path) for each of ``rows``, which has columns ``group``, ``order``,
-    ``leaf`` and ``tampered_leaf`` (hex digests).
+    """(``order``, leaf, subroot, root, proof_sha256, tampered_leaf, path) for each of ``rows``, which has columns ``group``,
+    ``order``, ``leaf`` and ``tampered_leaf`` (hex digests; the last may be null).
 
     Groups are ordered by value, null first; leaves by ``order``, null first, then by ``leaf``. Equal rows are leaves
     of their own. ``proof`` is the digest of the siblings alone, from the leaf to the root. No rows give no rows.
     """
     n = rows.count()
     given = rows.select(F.col(group).alias("_g"), F.col(order).alias("_o"), "leaf", "tampered_leaf")
-    placed = written(numbered(given, ["_g", "_o", "leaf"], max(1, -(-n // RANGE_ROWS))), "merkle-places")
-    sizes = placed.groupBy("_g").agg(F.min("place").alias("_first"), F.count(F.lit(1)).alias("n"))
+    placed = numbered(given, ["_g", "_o", "leaf"], max(1, -(-n // RANGE_ROWS)))
+    sizes = written(placed.groupBy("_g").agg(F.min("place").alias("_first"), F.count(F.lit(1)).alias("n")), "merkle-sizes")
     count, most = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
     groups = written(numbered(sizes, ["_g"], max(1, -(-count // RANGE_ROWS))).withColumnRenamed("place", "group"), "merkle-groups")
     # so few groups as languages are broadcast by Spark, which knows their written size; many are joined
     joined = placed.join(groups.withColumnRenamed("_g", "_h"), F.col("_g").eqNullSafe(F.col("_h")))
-    leaves = written(joined.select("_o", "leaf", "tampered_leaf", "group", (F.col("place") - F.col("_first")).alias("slot"), "n"), "merkle-leaves")
-    paths, subroots = climb(leaves.select("group", "slot", "n", F.col("leaf").alias("node")), most or 0, "merkle-nodes")
+    leaves = joined.select("_o", "leaf", "tampered_leaf", "group", (F.col("place") - F.col("_first")).alias("slot"), "n", F.col("leaf").alias("node"))
+    paths, subroots = climb(leaves, most or 0, "merkle-nodes")
     tops = subroots.select(F.lit(0).cast("bigint").alias("group"), F.col("group").alias("slot"), F.lit(count).cast("bigint").alias("n"), F.col("root").alias("node"))
     above, root = climb(tops, count, "merkle-roots")
     ends = above.join(F.broadcast(root), "group").select(F.col("slot").alias("group"), F.col("path").alias("_above"), "root")
     ends = written(ends.join(subroots.withColumnRenamed("root", "subroot"), "group"), "merkle-ends")
-    whole = leaves.join(paths, ["group", "slot"]).join(ends, "group").withColumn("path", F.concat("path", "_above"))
+    whole = paths.join(ends, "group").withColumn("path", F.concat("path", "_above"))
     proof = F.sha2(F.array_join(F.transform("path", lambda s: F.substring(s, 2, 64)), "").cast("binary"), 256)
     return whole.select(F.col("_o").alias(order), "leaf", "subroot", "root", proof.alias("proof_sha256"), "tampered_leaf", "path")
 
@@ -157,6 +158,7 @@ def verify_documents(docs: DataFrame, tampers: Column) -> DataFrame:
     """
     more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("decimal(20,0)")
     leaf = document_leaf()
-    rows = docs.select(*_FIELDS).select("doc_id", "lang", leaf.alias("leaf"), F.when(tampers & F.col("n_chars").isNotNull(), document_leaf(more)).otherwise(leaf).alias("tampered_leaf"))
-    made = manifest(written(rows, "merkle-hashes"), "lang", "doc_id").withColumn("folded_root", fold(F.col("tampered_leaf"), F.col("path")))
+    rows = docs.select(*_FIELDS).select("doc_id", "lang", leaf.alias("leaf"), F.when(tampers & F.col("n_chars").isNotNull(), document_leaf(more)).alias("tampered_leaf"))
+    made = manifest(written(rows, "merkle-hashes"), "lang", "doc_id")
+    made = made.withColumn("folded_root", fold(F.coalesce("tampered_leaf", "leaf"), F.col("path")))
     return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
