@@ -148,7 +148,7 @@ def _compare(width: int, k: int):
         ids, off = ranges(stored.column("ids"))
         keys, names = stored.column("key").combine_chunks(), asked.column("query").combine_chunks()
         out = []
-        for i in range(0, len(q), 256):
+        for i in range(0, max(len(q), 1), 256):
             at, row, score = exact_top(q[i : i + 256], x, ids[off[:-1]], k) if len(x) else (np.zeros(0, np.int64),) * 3
             # a class stands for its smallest ids
             many = off[row + 1] - off[row]
