@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import fresh
+
 SPACE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows of the benchmark that are broadcast at once.
 BROADCAST_WINDOWS = 2_000_000
@@ -122,7 +124,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, d
     """``docs`` without its contaminated documents; all columns stay. Rows that share a doc_id, or have none, are one
     document: they stay or go together."""
     hits = find_hits(docs, benchmark, window, doc_id, text)
-    key, _ = _fresh(docs)
+    [key] = fresh(docs.columns, "hit_key")
     bad = hits.where(contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("doc_id").alias(key))
     return docs.join(bad, docs[doc_id].eqNullSafe(bad[key]), "left_anti")
 
@@ -133,14 +135,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, doc_id
     A text with hits becomes its words that are left, joined by spaces; others stay as they are. Rows that share
     a doc_id, or have none, are one document: the words at the places of any of their hits are cut from each.
     """
-    spans, key = _fresh(docs)
+    spans, key = fresh(docs.columns, "hit_spans", "hit_key")
     hits = find_hits(docs, benchmark, window, doc_id, text).where("n_hit > 0").select(F.col("doc_id").alias(key), F.col("hit_spans").alias(spans))
     joined = docs.join(hits, docs[doc_id].eqNullSafe(hits[key]), "left")
     kept = F.filter(words_of(F.col(text)), lambda w, i: ~F.exists(spans, lambda s: (s["pos"] <= i + 1) & (i + 1 <= s["end"])))
     return joined.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(F.concat_ws(" ", kept))).select(*docs.columns)
-
-
-def _fresh(docs: DataFrame) -> list[str]:
-    """Two names that no column has, whatever the case of its letters."""
-    names = {c.lower() for c in docs.columns}
-    return [n for n in (f"hit_{i}" for i in range(len(names) + 2)) if n not in names][:2]

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .flat import BLOCK, range_hash, slices, text_bytes
+from .names import others
 from .store import shared
 
 WINDOW, NEIGHBOURHOOD, POPULAR = 32, 32, 16
@@ -222,9 +223,10 @@ def compare_with_edits(docs: DataFrame, ranks: np.ndarray, bucket: Column) -> Da
 
 
 def fingerprints(docs: DataFrame, ranks: np.ndarray, text: str = "text") -> DataFrame:
-    """Adds ``fingerprint`` to ``docs``: equal texts have equal ones; null counts as the empty text. All columns stay."""
+    """Adds ``fingerprint`` to ``docs``: equal texts have equal ones; null counts as the empty text. All columns stay (one of
+    that name, in any case, is replaced)."""
     given = shared(docs.sparkSession, ranks)
-    names = [c for c in docs.columns if c != "fingerprint"]
+    names = others(docs.columns, "fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):

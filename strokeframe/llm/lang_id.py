@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .flat import counted_rows, gram_counts, slices, text_bytes
+from .names import fresh, others
 from .store import shared
 from .training import bounded_sample, fitted
 
@@ -128,13 +129,14 @@ def has_letter(text: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score and rejected to ``docs``; all columns stay (those of these names are replaced).
+    """Adds lang_pred, score and rejected to ``docs``; all columns stay (those of these names, in any case, are replaced).
 
     A text that is null or has no letter is ``und`` with score 0, and rejected. score is the calibrated
     probability of lang_pred; rejected, that it is below the model's threshold.
     """
     held = shared(docs.sparkSession, model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    names = others(docs.columns, "lang_pred", "score", "rejected")
+    [flag] = fresh(names, "_lettered")
     schema = docs.select(*names).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +145,14 @@ def identify(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame
             p = m.probabilities(b.column(text))
             at = p.argmax(axis=1)
             best = p[np.arange(len(p)), at].astype(np.float64)
-            lettered = np.asarray(b.column("_lettered"))
+            lettered = np.asarray(b.column(flag))
             lang = [m.langs[k] if ok else UNDETERMINED for k, ok in zip(at, lettered, strict=True)]
             best[~lettered] = 0
             columns = [b.column(c) for c in names] + [pa.array(lang), pa.array(best), pa.array((best < m.reject_below) | ~lettered)]
             yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score", "rejected"])
 
     out = schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.select(*names, has_letter(F.col(text)).alias("_lettered")).mapInArrow(run, out)
+    return docs.select(*names, has_letter(F.col(text)).alias(flag)).mapInArrow(run, out)
 
 
 def accepted(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame:

@@ -117,7 +117,7 @@ class Piece:
         rows = sorted(rows)
         sizes = np.array([8 * len(r[1]) for r in rows], np.int64)
         packed = [b"".join(r[k] for r in rows) for k in (1, 2, 3)]
-        counts = np.frombuffer(packed[2], np.int64).clip(max=(1 << 32) - 1).astype(np.uint32)
+        counts = np.frombuffer(packed[2], np.int64)
         return cls(np.array([r[0] for r in rows], np.int64), np.frombuffer(packed[0], np.uint8), np.cumsum(sizes) - sizes, sizes, np.frombuffer(packed[1], np.uint64), counts)
 
     def level(self, keys: np.ndarray, segment_bits: int) -> np.ndarray:
@@ -177,7 +177,7 @@ def _count(docs: DataFrame, segment_bits: int) -> DataFrame:
         keys, counts = np.unique(np.concatenate(parts), return_counts=True)
         segment = (keys >> np.uint64(64 - segment_bits)).astype(np.int32)
         edges = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist(), len(keys)]
-        counts = counts.astype(np.uint32)
+        counts = counts.astype(np.int64)
         yield pa.record_batch({
             "segment": pa.array(segment[edges[:-1]]), "pair": pa.array(np.full(len(edges) - 1, pair, np.int32)),
             "keys": pa.array([keys[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)], pa.binary()),
@@ -206,7 +206,7 @@ def _count(docs: DataFrame, segment_bits: int) -> DataFrame:
 
 def _merged(table: pa.Table, pair: int) -> tuple[np.ndarray, np.ndarray]:
     rows = table.filter(pc.equal(table["pair"], pair))
-    keys, counts = _joined(rows["keys"], np.uint64), _joined(rows["counts"], np.uint32)
+    keys, counts = _joined(rows["keys"], np.uint64), _joined(rows["counts"], np.int64)
     if not len(keys):
         return keys, np.zeros(0, np.int64)
     order = np.argsort(keys, kind="stable")
@@ -300,7 +300,7 @@ def score(docs: DataFrame, model: Model, grams: DataFrame, most_bytes: int = COU
     Every row gives one row, also where doc_id is null or repeated. A filter beyond the model's bound, or word
     counts of more than ``most_bytes``, are asked segment by segment; the rows are the same.
     """
-    if model.filter_bytes > model.most_bytes or model.distinct * 12 > most_bytes:
+    if model.filter_bytes > model.most_bytes or model.distinct * 16 > most_bytes:
         return _score_by_segment(docs, model, grams)
     pieces = broadcast_pieces(grams)
 
@@ -345,15 +345,15 @@ def _score_by_segment(docs: DataFrame, model: Model, grams: DataFrame) -> DataFr
         keys, at = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_inverse=True)
         ends = np.cumsum([len(p) // 8 for p in parts], dtype=np.int64)
         split = lambda values: pa.array([values[at[e - len(p) // 8 : e]].tobytes() for p, e in zip(parts, ends, strict=True)], pa.binary())
-        counts, level = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.int64)
+        counts, level = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for row in held.to_pylist():  # one or none
             exact, levelled = lookups([Piece.of([(row["segment"], row["bits"], row["keys"], row["counts"])])], segment_bits)
-            counts, level = exact(keys).astype(np.uint32), levelled(keys)
+            counts, level = exact(keys), levelled(keys)
         return pa.table({"block": asked["block"], "keys": asked["keys"], "counts": split(counts), "levels": split(level.astype(np.uint8))})
 
     def finish(rows: pa.Table, known: pa.Table) -> pa.Table:
         keys, first = np.unique(_joined(known["keys"], np.uint64), return_index=True)
-        counts, levels_ = _joined(known["counts"], np.uint32)[first], _joined(known["levels"], np.uint8)[first]
+        counts, levels_ = _joined(known["counts"], np.int64)[first], _joined(known["levels"], np.uint8)[first]
         exact, level = (lambda asked: _found(keys, counts, asked)), (lambda asked: _found(keys, levels_, asked))
         return pa.Table.from_batches([_scored(b, model, exact, level) for b in slices(rows.to_batches(), "text", BLOCK)])
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .flat import Words, gram_counts, slices, text_bytes
+from .names import others
 from .store import shared
 from .training import fitted
 
@@ -138,12 +139,12 @@ def fit(sample: DataFrame) -> QualityModel:
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
-    """Adds score (0 to 1, higher: label 1 likelier) to ``docs``; all columns stay (one named score is replaced).
+    """Adds score (0 to 1, higher: label 1 likelier) to ``docs``; all columns stay (one named score, in any case, is replaced).
 
     Null and empty texts have no trigrams and vote by their form alone; without labelled rows all score 0.5.
     """
     held = shared(docs.sparkSession, model)
-    names = [c for c in docs.columns if c != "score"]
+    names = others(docs.columns, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value

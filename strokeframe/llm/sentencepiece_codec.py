@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import fresh, others
 from .store import shared, written
 
 SPACE = "▁"
@@ -388,23 +389,25 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
 def encode(docs: DataFrame, model: bytes, keep: list[str], text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """The columns ``keep`` of each row of ``docs``, and ``ids`` (array<int>) of its whole text.
 
-    Null and empty texts have no ids. Texts of more than ``chunk`` code points are cut into chunks that are
+    Null and empty texts have no ids; a kept column named ids, in any case, is replaced. Texts of more than ``chunk`` code points are cut into chunks that are
     encoded apart, by whichever task reads them.
     """
     held = shared(docs.sparkSession, model)
-    picked = docs.select(*keep, F.coalesce(text, F.lit("")).alias("_text"))
+    keep = others(keep, "ids")
+    whole_text, row = fresh(keep, "_text", "_row")
+    picked = docs.select(*keep, F.coalesce(text, F.lit("")).alias(whole_text))
     kept = docs.select(*keep).schema
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, units = vocabulary(held.value)
         for b in _blocks(batches):
-            ids = [b"".join(map(units.__getitem__, v.units.findall(normalised(t)))) for t in b.column("_text").to_pylist()]
+            ids = [b"".join(map(units.__getitem__, v.units.findall(normalised(t)))) for t in b.column(whole_text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], _lists(ids)], [*keep, "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, _ = vocabulary(held.value)
         for b in _blocks(batches, 1):
-            s = normalised(b.column("_text")[0].as_py())
+            s = normalised(b.column(whole_text)[0].as_py())
             n = -(-len(s) // chunk)
             for k in range(0, n, 64):
                 at = [i * chunk for i in range(k, min(n, k + 64))]
@@ -437,28 +440,30 @@ def encode(docs: DataFrame, model: bytes, keep: list[str], text: str = "text", c
             yield pa.record_batch({"_row": b.column("_row"), "_chunk": b.column("_chunk"), "ids": _lists(ids)})
 
     out = "_row bigint, _chunk int, ids array<int>"
-    short = picked.where(F.length("_text") < chunk).mapInArrow(whole, kept.add("ids", T.ArrayType(T.IntegerType())))
+    short = picked.where(F.length(whole_text) < chunk).mapInArrow(whole, kept.add("ids", T.ArrayType(T.IntegerType())))
     # the giants' rows get numbers that are written down with their chunks
-    giants = written(picked.where(F.length("_text") >= chunk).withColumn("_row", F.monotonically_increasing_id()), "giants")
-    views = written(giants.select("_row", "_text").mapInArrow(cut, "_row bigint, _chunk int, _chunks int, _lo int, _hi int, _view string"), "chunks")
+    giants = written(picked.where(F.length(whole_text) >= chunk).withColumn(row, F.monotonically_increasing_id()), "giants")
+    views = written(giants.select(F.col(row).alias("_row"), whole_text).mapInArrow(cut, "_row bigint, _chunk int, _chunks int, _lo int, _hi int, _view string"), "chunks")
     states = views.mapInArrow(transfer, "_row bigint, _chunk int, edges binary").groupBy("_row").applyInArrow(combine, "_row bigint, _chunk int, _entry int, _leave int")
     parts = views.join(states, ["_row", "_chunk"]).mapInArrow(back, out)
     long = parts.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "ids"))), lambda p: p["ids"])).alias("ids"))
-    return short.unionByName(giants.drop("_text").join(long, "_row").drop("_row"))
+    return short.unionByName(giants.drop(whole_text).join(long.withColumnRenamed("_row", row), row).drop(row))
 
 
 def decode(encoded: DataFrame, model: bytes, keep: list[str], ids: str = "ids") -> DataFrame:
     """The columns ``keep`` of each row, ``text`` decoded from ``ids`` (null counts as no ids), and n_tokens and
-    ids_sha256 (of the ids as little-endian 32-bit integers).
+    ids_sha256 (of the ids as little-endian 32-bit integers); kept columns of these three names, in any case, are replaced.
 
     Byte pieces that do not form UTF-8 become U+FFFD, as does nothing that encode() has made.
     """
     held = shared(encoded.sparkSession, model)
+    keep = others(keep, "text", "n_tokens", "ids_sha256")
+    [given] = fresh(keep, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, _ = vocabulary(held.value)
         for b in _blocks(batches):
-            lists = b.column("ids")
+            lists = b.column(given)
             at, flat = np.asarray(lists.offsets), np.asarray(lists.values, np.int32)
             texts, digests = [], []
             for i, j in zip(at[:-1], at[1:], strict=True):
@@ -469,7 +474,7 @@ def decode(encoded: DataFrame, model: bytes, keep: list[str], ids: str = "ids")
             yield pa.RecordBatch.from_arrays(columns, [*keep, "text", "n_tokens", "ids_sha256"])
 
     schema = encoded.select(*keep).schema.add("text", "string").add("n_tokens", "long").add("ids_sha256", "string")
-    ready = encoded.select(*keep, F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
+    ready = encoded.select(*keep, F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")).alias(given))
     return ready.mapInArrow(run, schema)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from . import lang_id
 from .flat import Words, counted_rows, range_hash, slices
+from .names import others
 from .store import shared
 from .training import fitted
 
@@ -233,10 +234,11 @@ def fit(sample: DataFrame, languages: lang_id.LangModel, updates: int = 8000, ra
 def score(docs: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
     """Adds score (0 to 1; the language's threshold is at 0.7) and lang_pred to ``docs``; all columns stay.
 
-    Null and empty texts are scored as no words. Columns named score and lang_pred are replaced.
+    Null and empty texts are scored as no words. A score at the threshold counts as toxic. Columns named score and lang_pred,
+    in any case, are replaced.
     """
     held = shared(docs.sparkSession, model)
-    names = [c for c in docs.columns if c not in ("score", "lang_pred")]
+    names = others(docs.columns, "score", "lang_pred")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value

@@ -201,4 +201,5 @@ def test_codes_are_the_nearest_signed_axes():
     assert h.axes == 8 and np.allclose((units**2).sum(axis=1), 1) and np.allclose(h.units(x, False) @ units[0], x @ x[0] / np.linalg.norm(x, axis=1) / 2)
     code = h.codes(units, h.signs())
     for t in range(cross_polytope.TABLES):
-        assert (h.values(units, h.signs()[t]).argmax(axis=1) == code[:, t]).all()
+        value = h.values(units, h.signs()[t])
+        assert (value[np.arange(50), code[:, t]] >= value.max(axis=1) - 1e-12).all()  # two axes may be as near
