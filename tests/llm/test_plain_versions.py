@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,44 @@ def test_language_query(spark):
     assert lang_id.accepted(known, m).count() >= 0.98 * known.count()
 
 
+def test_quality_terms():
+    """The terms of each block against counts over plain texts."""
+
+    def bucket(gram, bits):
+        h = len(gram)
+        for x in gram:
+            h = (h * 0x01000193 & 0xFFFFFFFF) ^ x
+        return (h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits)
+
+    def shape(b):
+        c = chr(b)
+        return 1 if "A" <= c <= "Z" else 2 if "a" <= c <= "z" else 3 if "0" <= c <= "9" else 4 if b > 127 else 5 if c in " \t\n\r\v\f" else b
+
+    def back(words):
+        seen = {}
+        for i, w in enumerate(words):
+            yield min(int(np.log2(i - seen[w])) + 1, 7) if w in seen else 0
+            seen[w] = i
+
+    texts = ["The cat, the CAT 42!! the\tcat", "", "é", "a a a a b a", None, " ".join(f"w{i % 90}" for i in range(300))]
+    got = quality.raw_features(pa.array(texts, pa.string()))
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        streams = [(raw, (3,)), (bytes(map(shape, raw)), (3, 4)), (bytes(back(w for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w)), (1, 2, 3))]
+        want = [np.zeros(n) for n in quality.WIDTHS]
+        for (stream, sizes), bits, row in zip(streams, quality.BITS, want, strict=True):
+            for n in sizes:
+                for i in range(len(stream) - n + 1):
+                    row[bucket(stream[i : i + n], bits)] += 1
+        assert np.allclose(got[k], np.log1p(np.concatenate(want)), atol=1e-5)
+
+
+def test_latent_axes_are_those_of_the_decomposition():
+    x = np.random.default_rng(2).normal(size=(90, 120)) * np.geomspace(1, 1e-4, 120)
+    own, full = quality.latent_axes(x), np.linalg.svd(x)[2][: quality.RANK].T
+    assert np.allclose(own.T @ own, np.eye(quality.RANK), atol=1e-8) and np.linalg.norm(x @ own) >= np.linalg.norm(x @ full) * (1 - 1e-6)
+
+
 def test_quality_query(spark):
     docs, labels = read_table(spark, DIR, "documents"), read_table(spark, DIR, "labels")
     m = quality.fit(labelled_texts(docs, labels, "quality", 4, 2, queries.QUALITY_ROWS))
