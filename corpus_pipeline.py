@@ -6,7 +6,7 @@
 4. decontamination: documents with benchmark passages go
 5. sentencepiece: the rest is encoded, and decoded again as a check
 
-Null and empty texts: quality judges them by their form, and language rejects them. A null doc_id is a document of
+Null and empty texts: quality rejects them, as they score 0.5. A null doc_id is a document of
 its own for near_dup, which keeps it, while decontamination takes all rows without doc_id, or with the same, as one.
 Repeated rows: quality and language judge each; near_dup keeps all rows of the doc_id that stays. Texts of any length
 are taken whole. Ties: of equal documents the one with the least doc_id stays. Columns beyond those of documents,
