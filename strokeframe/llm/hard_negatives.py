@@ -211,8 +211,11 @@ def mine(rows: DataFrame, asks: str, positives: int = 5, negatives: int = 3, low
     wants = real.where(F.expr(asks.replace("vec_id", "id")))
     name = class_key(F.col("label"), F.col("vector")).alias("key")
     anchors = written(wants.select("label", "vector").distinct().select(name, "label", "vector"), "negatives-anchors")
-    leaves = written(pack(stored, width, stored.count()), "negatives-leaves")
-    last = leaves.agg(F.max("part")).first()[0]
+    n = stored.count()
+    packed = written(pack(stored, width, n), "negatives-leaves")
+    # neighbouring partitions search together, so that a part has about GROUP_ROWS rows however many partitions there are
+    parts, last = max(1, -(-n // GROUP_ROWS)), packed.agg(F.max("part")).first()[0] or 0
+    leaves = packed.withColumn("part", F.floor(F.col("part") * F.lit(parts) / F.lit(last + 1)).cast("int"))
     having = leaves.select("part", F.explode("labels").alias("label")).distinct().groupBy("label").agg(F.collect_list("part").alias("parts"))
 
     def each(tree_of: pa.Table, asking: pa.Table) -> Iterator[tuple[Tree, int, np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -246,7 +249,7 @@ def mine(rows: DataFrame, asks: str, positives: int = 5, negatives: int = 3, low
     best = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= positives + 1)
     best = written(best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "score", "id", "own"))).alias("found")), "negatives-positives")
     scores = F.array_distinct(F.filter(F.transform("found", lambda x: x["score"]), lambda s: s >= 0))  # no window fits below 0
-    every = F.sequence(F.lit(0), F.lit(last or 0))
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
     wanted = anchors.join(best.select("key", scores.alias("scores")), "key").where(F.size("scores") > 0).withColumn("parts", every)
     far = _in_groups(leaves, wanted, hard, "key string, positive bigint, score bigint, id bigint")
     first = W.partitionBy("key", "positive").orderBy(F.col("score").desc(), "id")
