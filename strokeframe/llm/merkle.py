@@ -59,9 +59,10 @@ def _round(nodes: DataFrame, levels: int) -> DataFrame:
     An entry of ``path`` is ``<`` or ``>`` and the sibling on the left or right, ``=`` where a run has one node, or
     null where the group has its root already.
     """
-    block = W.partitionBy("group", F.shiftright("slot", levels)).orderBy("slot")
+    # a column of its own, so that one shuffle serves all levels
+    out = nodes.withColumn("_block", F.shiftright("slot", levels))
+    block = W.partitionBy("group", "_block").orderBy("slot")
     running = block.rowsBetween(W.unboundedPreceding, 0)
-    out = nodes
     for level in range(levels):
         step = 1 << level
         first = F.col("slot").bitwiseAND(step - 1) == 0  # the row stands for a node of this level
