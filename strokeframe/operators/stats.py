@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .geometry import CONTOUR, contour_lengths
 
+#: Lines of a map that are smoothed together.
+STRIP = 64
+
 
 def weighted_histogram(seg: DataFrame, bin_: Column, weight: Column, lengths: DataFrame) -> DataFrame:
     """(drawing_id, contour_id, bin, value, norm_value): ``weight`` summed by contour and bin; norm_value is per
@@ -128,6 +135,63 @@ def density(pixels: DataFrame, value: str, order: str) -> DataFrame:
     return pixels.groupBy("drawing_id", "y", "x").agg(F.max_by(value, order).alias("value"))
 
 
+def gaussian(sigma: float) -> list[float]:
+    """The weights of a smoothing kernel for floats, four deviations on either side; they add up to 1."""
+    n = int(8 * sigma + 1 + 0.5) | 1
+    raw = [math.exp(-((k - n // 2) ** 2) / (2 * sigma * sigma)) for k in range(n)]
+    return [x / sum(raw) for x in raw]
+
+
+def _mirrored(q: np.ndarray, n: int) -> np.ndarray:
+    """The places 0 to n - 1 that stand for places beyond the sides, mirrored about the outermost ones."""
+    turn = q % max(2 * n - 2, 1)
+    return np.where(turn < n, turn, 2 * n - 2 - turn)
+
+
+def blurred(painted: DataFrame, columns: list[str], sigma: float, h: int, w: int) -> DataFrame:
+    """(drawing_id, y, x, *columns): the maps ``columns`` (0 where no pixel is painted) smoothed by a Gaussian of ``sigma`` pixels,
+    mirrored at the sides about the outermost pixel; places out of reach have no row. ``sigma`` 0 gives the maps as they are.
+
+    The kernel is separable: strips of STRIP columns are smoothed downwards, then strips of rows across, a shuffle for each. A
+    task holds one strip.
+    """
+    out = painted.select("drawing_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), *[F.col(c).cast("double").alias(c) for c in columns])
+    if sigma <= 0:
+        return out
+    for along, across, n in (("y", "x", h), ("x", "y", w)):
+        strips = out.withColumn("_strip", F.floor(F.col(across) / STRIP)).groupBy("drawing_id", "_strip")
+        out = strips.applyInArrow(_smooth(along, across, n, columns, gaussian(sigma)), out.schema)
+    return out
+
+
+def _smooth(along: str, across: str, n: int, columns: list[str], weights: list[float]) -> Callable[[pa.Table], pa.Table]:
+    taken = [_mirrored(np.arange(n) + k, n) for k in range(-(len(weights) // 2), len(weights) // 2 + 1)]
+
+    def smooth(table: pa.Table) -> pa.Table:
+        p, q = table.column(along).to_numpy(), table.column(across).to_numpy()
+        first = q.min()
+        there = np.zeros((n, q.max() - first + 1), bool)
+        there[p, q - first] = True
+        at, beside = np.nonzero(np.logical_or.reduce([there[t] for t in taken]))
+        made = {"drawing_id": pa.array(np.full(len(at), table.column("drawing_id")[0].as_py())), along: pa.array(at), across: pa.array(beside + first)}
+        for c in columns:
+            dense = np.zeros(there.shape)
+            dense[p, q - first] = table.column(c).to_numpy()
+            made[c] = pa.array(sum(g * dense[t] for g, t in zip(weights, taken, strict=True))[at, beside])
+        return pa.table({c: made[c] for c in ("drawing_id", "y", "x", *columns)})
+
+    return smooth
+
+
+def orientation_density(pixels: DataFrame, degrees: str, order: str, sigma: float, h: int, w: int) -> DataFrame:
+    """(drawing_id, y, x, value): the orientation painted last on each pixel, as atan2(cos, sin) in degrees of the angle
+    modulo 180, its sine and cosine smoothed apart."""
+    angle = F.radians(F.pmod(F.col(degrees), F.lit(180.0)))
+    last = pixels.groupBy("drawing_id", "y", "x").agg(F.max_by(F.struct(F.sin(angle).alias("s"), F.cos(angle).alias("c")), order).alias("v"))
+    maps = blurred(last.select("drawing_id", "y", "x", "v.s", "v.c"), ["s", "c"], sigma, h, w)
+    return maps.select("drawing_id", "y", "x", F.degrees(F.atan2("c", "s")).alias("value"))
+
+
 def normalised_scores(scores: DataFrame, score: str = "score") -> DataFrame:
     """Adds ``level``: the score between the least (0) and the greatest (1) of its drawing, 0 where all are equal."""
     w = W.partitionBy("drawing_id")

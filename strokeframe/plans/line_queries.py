@@ -11,7 +11,7 @@ from strokeframe.operators import geometry as geo
 from strokeframe.operators import junctions as jun
 from strokeframe.operators import medial, split, stats
 
-from .fixtures import HEIGHT, SQL, WIDTH, branches, segments
+from .fixtures import HEIGHT, RASTER_H, RASTER_W, SQL, WIDTH, branches, raw_pixels, segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -470,6 +470,24 @@ def density_map(spark, sf):
     )
 
 
+_TAPS = ", ".join(f"({k}, {g!r}::DOUBLE)" for k, g in zip(range(-8, 9), stats.gaussian(2), strict=True))
+
+
+@register(
+    "density_blur",
+    f""", taps(k, g) AS (VALUES {_TAPS}),
+down AS (SELECT raster_id, p AS y, x, sum(strength * g) AS v FROM raw_pix, range(0, {RASTER_H}) r(p), taps
+  WHERE CASE WHEN (p + k + {4 * RASTER_H - 4}) % {2 * RASTER_H - 2} < {RASTER_H} THEN (p + k + {4 * RASTER_H - 4}) % {2 * RASTER_H - 2} ELSE {2 * RASTER_H - 2} - (p + k + {4 * RASTER_H - 4}) % {2 * RASTER_H - 2} END = y GROUP BY ALL),
+across AS (SELECT raster_id, y, p AS x, sum(v * g) AS v FROM down, range(0, {RASTER_W}) r(p), taps
+  WHERE CASE WHEN (p + k + {4 * RASTER_W - 4}) % {2 * RASTER_W - 2} < {RASTER_W} THEN (p + k + {4 * RASTER_W - 4}) % {2 * RASTER_W - 2} ELSE {2 * RASTER_W - 2} - (p + k + {4 * RASTER_W - 4}) % {2 * RASTER_W - 2} END = x GROUP BY ALL)
+SELECT raster_id, y, x, round(v, 4) + 0.0 AS value FROM across""",
+)
+def density_blur(spark, sf):
+    """Maps of the pixels' strengths smoothed by a Gaussian of two pixels."""
+    painted = raw_pixels(spark, sf).select(F.col("raster_id").alias("drawing_id"), "y", "x", F.col("strength").alias("value"))
+    return stats.blurred(painted, ["value"], 2, RASTER_H, RASTER_W).withColumnRenamed("drawing_id", "raster_id")
+
+
 _POINT = "drawing_id, contour_id, pt"
 
 
@@ -491,6 +509,37 @@ def branch_scores(spark, sf):
     return found.select("drawing_id", "contour_id", "pt", "separation", "parallelism")
 
 
+_RATIO = """{c} AS (SELECT *, sum(sqrt(dx * dx + dy * dy)) OVER w AS flat, sum(sqrt(dx * dx + dy * dy + {third} * {third})) OVER w AS full_
+  FROM {source} WINDOW w AS (PARTITION BY contour_id ORDER BY pt ROWS UNBOUNDED PRECEDING)),
+{p} AS (SELECT a.contour_id, a.pt, sum(b.flat) / sum(b.full_) AS v FROM {c} a JOIN {c} b ON a.contour_id = b.contour_id AND abs(b.pt - a.pt) <= least(5, a.pt - 1, a.n - a.pt - 1)
+  WHERE a.pt > 0 AND a.pt < a.n - 1 GROUP BY ALL)"""
+
+
+@register(
+    "branch_taper_mirror",
+    f""", d0 AS (SELECT *, count(*) OVER (PARTITION BY contour_id) AS n, avg(dr) OVER (PARTITION BY contour_id ORDER BY pt ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS sdr FROM deriv),
+d1 AS (SELECT *, coalesce(lead(sdr) OVER w - sdr, sdr - lag(sdr) OVER w, 0) AS ddr0 FROM d0 WINDOW w AS (PARTITION BY contour_id ORDER BY pt)),
+d2 AS (SELECT *, avg(ddr0) OVER (PARTITION BY contour_id ORDER BY pt ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS ddr FROM d1),
+{_RATIO.format(c="tc", p="tp", third="ddr", source="d2")}, {_RATIO.format(c="pc", p="pp", third="dr", source="d2")},
+m0 AS (SELECT a.contour_id, a.pt, count(*) AS k, sum(b.x - a.x) AS sx, sum(b.y - a.y) AS sy, sum((b.x - a.x) ** 2) AS sxx, sum((b.y - a.y) ** 2) AS syy, sum((b.x - a.x) * (b.y - a.y)) AS sxy
+  FROM d2 a JOIN d2 b ON a.contour_id = b.contour_id AND abs(b.pt - a.pt) <= greatest(1, least(5, a.pt - 1, a.n - a.pt - 1)) WHERE a.pt > 0 AND a.pt < a.n - 1 GROUP BY ALL),
+m1 AS (SELECT contour_id, pt, sxx - sx * sx / k AS a, syy - sy * sy / k AS b, sxy - sx * sy / k AS c FROM m0),
+m AS (SELECT contour_id, pt, CASE WHEN a + b > 1e-9 THEN (a + b + sqrt((a - b) ** 2 + 4 * c * c)) / 2 / (a + b) ELSE 0.0 END AS v FROM m1),
+raw AS (SELECT d2.*, coalesce(tp.v, 0.0) AS taper0, coalesce(pp.v, 0.0) AS par0, coalesce(m.v, 0.0) AS mirror0 FROM d2
+  LEFT JOIN tp USING (contour_id, pt) LEFT JOIN pp USING (contour_id, pt) LEFT JOIN m USING (contour_id, pt))
+SELECT {_POINT}, """
+    + ", ".join(f"round(pow(avg({c}0) OVER w, 10), 4) + 0.0 AS {n}" for c, n in (("taper", "taper"), ("par", "parallelism"), ("mirror", "mirror")))
+    + " FROM raw WINDOW w AS (PARTITION BY contour_id ORDER BY pt ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)",
+)
+def branch_taper_mirror(spark, sf):
+    """Taper, parallelism and mirror symmetry of branches, smoothed and to the tenth power."""
+    points = medial.branch_derivatives(branches(spark, sf))
+    names = ["taper", "parallelism", "mirror"]
+    for name in names:
+        points = medial.sharpened(medial.SCORES[name](points), name)
+    return points.select("drawing_id", "contour_id", "pt", *names)
+
+
 @register(
     "contour_stats",
     "".join(

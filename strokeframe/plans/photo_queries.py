@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strokeframe.operators import distance, medial, photo, raster, scan, stats
+from strokeframe.operators import distance, medial, photo, raster, scan, skeleton, stats
 
 from . import line_queries
-from .fixtures import HEIGHT, RASTER_H, RASTER_W, SQL, WIDTH, branches, pixels, segments
+from .fixtures import HEIGHT, RASTER_H, RASTER_W, SQL, WIDTH, branches, pixels, raw_pixels, segments
 from .raster_queries import COLOURS, NMS, colours, grad_sql, rasters
 
 QUERIES: dict[str, line_queries.Query] = {}
@@ -190,6 +190,88 @@ def medial_axis(spark, sf):
     return medial.medial_axis(pixels(spark, sf), RASTER_H, RASTER_W, least=2)
 
 
+# -- thin lines, branches, borders --------------------------------------------
+
+_AROUND = """, offs(k, dy, dx) AS (VALUES (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, -1), (4, 0, 1), (5, 1, -1), (6, 1, 0), (7, 1, 1)),
+ip AS MATERIALIZED (SELECT CAST(raster_id AS BIGINT) AS r, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x FROM pix),
+around AS MATERIALIZED (SELECT p.r, p.y, p.x, CAST(sum(CASE WHEN q.r IS NULL THEN 0 ELSE 1 << k END) AS BIGINT) AS m
+  FROM ip p CROSS JOIN offs LEFT JOIN ip q ON q.r = p.r AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY ALL)"""
+#: A walk goes on while it meets no lower number than it began with: only a ring's lowest comes back to itself.
+_WALK = """, walk AS (SELECT r, id AS start, id AS cur, 0 AS k, {free} AS free FROM link l
+  UNION ALL SELECT w.r, w.start, l.nxt, w.k + 1, w.free FROM walk w JOIN link l ON l.r = w.r AND l.id = w.cur WHERE l.nxt IS NOT NULL AND (w.free OR l.nxt > w.start)),
+ring AS (SELECT w.r, w.start FROM walk w JOIN link l ON l.r = w.r AND l.id = w.cur WHERE NOT w.free AND l.nxt = w.start)"""
+
+
+def _step(dy: str, dx: str) -> str:
+    return f"((({dy}) + 1) * 3 + ({dx}) + 1 - CASE WHEN (({dy}) + 1) * 3 + ({dx}) + 1 > 4 THEN 1 ELSE 0 END)"
+
+
+def _recursive(sql: str) -> str:
+    return SQL.replace("WITH points", "WITH RECURSIVE points", 1) + sql
+
+
+@register("borders")
+def borders(spark, sf):
+    return skeleton.borders(pixels(spark, sf), RASTER_H, RASTER_W)
+
+
+ORACLE["borders"] = _recursive(
+    _AROUND
+    + f""", sides(s, oy, ox, fy, fx) AS (VALUES (0, -1, 0, 0, 1), (1, 0, 1, 1, 0), (2, 1, 0, 0, -1), (3, 0, -1, -1, 0)),
+link AS MATERIALIZED (SELECT r, (y * 50 + x) * 4 + s AS id,
+  CASE WHEN (m >> {_step("oy + fy", "ox + fx")}) & 1 = 1 THEN ((y + oy + fy) * 50 + x + ox + fx) * 4 + (s + 3) % 4
+    WHEN (m >> {_step("fy", "fx")}) & 1 = 1 THEN ((y + fy) * 50 + x + fx) * 4 + s ELSE (y * 50 + x) * 4 + (s + 1) % 4 END AS nxt
+  FROM around, sides WHERE (m >> {_step("oy", "ox")}) & 1 = 0)"""
+    + _WALK.format(free="false")
+    + """
+SELECT w.r AS raster_id, w.start AS border, w.k AS pt, w.cur // 4 // 50 AS y, w.cur // 4 % 50 AS x, w.start % 4 <> 0 AS hole FROM walk w JOIN ring USING (r, start)"""
+)
+
+
+@register("trace_lines")
+def trace_lines(spark, sf):
+    """The branches of all edge pixels."""
+    return skeleton.trace(pixels(spark, sf), RASTER_H, RASTER_W)
+
+
+ORACLE["trace_lines"] = _recursive(
+    _AROUND
+    + f""", slim AS MATERIALIZED (SELECT r, y, x, sum(CASE WHEN (m >> k) & 1 = 1 AND (dy = 0 OR dx = 0 OR ((m >> {_step("dy", "0")}) & 1 = 0 AND (m >> {_step("0", "dx")}) & 1 = 0)) THEN 1 << k ELSE 0 END)::BIGINT AS m
+  FROM around, offs GROUP BY ALL),
+tail AS (SELECT r, y, x, k, (y * 50 + x) * 8 + k AS id, y + dy AS hy, x + dx AS hx, bit_count(m) AS n FROM slim, offs WHERE (m >> k) & 1 = 1),
+link AS MATERIALIZED (SELECT t.r, t.id, t.n, CASE WHEN bit_count(h.m) = 2 THEN (h.y * 50 + h.x) * 8 + bit_count((h.m - (1 << (7 - t.k))) - 1) END AS nxt,
+  (t.hy * 50 + t.hx) * 8 + 7 - t.k AS back, t.hy * 50 + t.hx AS head FROM tail t JOIN slim h ON h.r = t.r AND h.y = t.hy AND h.x = t.hx)"""
+    + _WALK.format(free="l.n <> 2")
+    + """
+, done AS (SELECT w.r, w.start, w.k, l.head, l.back FROM walk w JOIN link l ON l.r = w.r AND l.id = w.cur WHERE w.free AND l.nxt IS NULL),
+kept AS (SELECT * FROM done WHERE start < back),
+other AS (SELECT a.r, a.start, b.start AS twin FROM ring a JOIN link l ON l.r = a.r AND l.id = a.start JOIN walk w ON w.r = l.r AND w.cur = l.back JOIN ring b ON b.r = w.r AND b.start = w.start)
+SELECT w.r AS raster_id, w.start AS branch, w.k AS pt, w.cur // 8 // 50 AS y, w.cur // 8 % 50 AS x FROM walk w JOIN kept USING (r, start)
+UNION ALL SELECT r, start, k + 1, head // 50, head % 50 FROM kept
+UNION ALL SELECT w.r, w.start, w.k, w.cur // 8 // 50, w.cur // 8 % 50 FROM walk w JOIN other USING (r, start) WHERE start < twin
+UNION ALL SELECT r, (y * 50 + x) * 8, 0, y, x FROM slim WHERE m = 0"""
+)
+
+
+@register("vectorize_contours")
+def vectorize_contours(spark, sf):
+    """The borders of all raw pixels of a tenth of full strength or more, as polylines."""
+    return skeleton.vectorize(raw_pixels(spark, sf), RASTER_H, RASTER_W)
+
+
+@register("skeleton_axis")
+def skeleton_axis(spark, sf):
+    """The medial axes thinned to one pixel."""
+    return medial.skeleton_axis(pixels(spark, sf), RASTER_H, RASTER_W, least=2)
+
+
+@register("axis_branches")
+def axis_branches(spark, sf):
+    """The branches of the thinned medial axes, with their parallelism."""
+    points = skeleton.branch_points(skeleton_axis(spark, sf), RASTER_H, RASTER_W)
+    return medial.branch_score(points, "parallelism").select("drawing_id", "contour_id", "pt", "x", "y", "r", "parallelism")
+
+
 def _tangents(spark, sf):
     scored = medial.separation(medial.branch_derivatives(branches(spark, sf)))
     return medial.tangent_points(scored.withColumn("score", F.col("separation")))
