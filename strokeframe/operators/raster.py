@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from strokeframe.tables import written
+
+from .links import roots
+
 PIXEL = ["raster_id", "y", "x"]
 NEIGHBOURS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
 #: Fixed values of the published kernels: horizontal derivatives; the vertical ones are their transposes.
 SOBEL = [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]
 SCHARR = [[-3, 0, 3], [-10, 0, 10], [-3, 0, 3]]
+#: Sides of the square blocks that a large raster is worked on in, in pixels.
+BLOCK = 512
 
 
 def edges(pix: DataFrame, threshold: float) -> DataFrame:
@@ -156,9 +162,18 @@ def lines_to_pixels(seg: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return seg.withColumn("k", F.explode(F.sequence(F.lit(0), n))).select("drawing_id", at(y1, y2).alias("y"), at(x1, x2).alias("x"), *(keep or [])).distinct()
 
 
-def components(pix: DataFrame, h: int, w: int) -> DataFrame:
-    """Adds ``label``: the least y * w + x of the pixel's 8-connected component. A raster is labelled in one task, by
-    links of touching pixels to the lower of their labels, which are then followed to their ends."""
+def block_of(y: Column, x: Column, w: int, side: int) -> Column:
+    """The number of the square block of a raster ``w`` pixels wide that holds a pixel."""
+    return F.floor(y / side) * (-(-w // side)) + F.floor(x / side)
+
+
+def components(pix: DataFrame, h: int, w: int, side: int = BLOCK) -> DataFrame:
+    """Adds ``label``: the least y * w + x of the pixel's 8-connected component.
+
+    A block of a raster is labelled in one task, by links of touching pixels to the lower of their labels, which are then
+    followed to their ends. Labels that touch across the sides of blocks are links of a graph, whose classes give the least.
+    """
+    block = block_of(F.col("y"), F.col("x"), w, side).alias("_block")
     schema = T.StructType([*pix.schema.fields, T.StructField("label", T.LongType())])
 
     def label(pdf):
@@ -180,12 +195,24 @@ def components(pix: DataFrame, h: int, w: int) -> DataFrame:
         first = known[least[own]]
         return pdf.assign(label=first // (w + 2) * w + first % (w + 2))
 
-    return pix.groupBy("raster_id").applyInPandas(label, schema)
+    labelled = pix.select("*", block).groupBy("raster_id", "_block").applyInPandas(lambda pdf: label(pdf.drop(columns="_block")), schema)
+    if h <= side and w <= side:
+        return labelled
+    labelled = written(labelled, "components")
+    rim = [F.pmod(F.col(c), F.lit(side)).isin(0, side - 1) for c in "yx"]
+    ends = labelled.where(rim[0] | rim[1]).select(*PIXEL, "label").distinct()
+    beyond = F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in NEIGHBOURS])
+    asked = ends.select("raster_id", block, F.col("label").alias("a"), F.explode(beyond).alias("t")).where(block_of(F.col("t.y"), F.col("t.x"), w, side) != F.col("_block"))
+    touching = asked.select("raster_id", "t.y", "t.x", "a").join(ends, PIXEL).select("raster_id", "a", F.col("label").alias("b"))
+    ends = roots(touching, ["raster_id"]).withColumnRenamed("node", "label")
+    return labelled.join(ends, ["raster_id", "label"], "left").withColumn("label", F.coalesce("root", "label")).select(*schema.names)
 
 
-def large_components(pix: DataFrame, h: int, w: int, least: int = 30) -> DataFrame:
+def large_components(pix: DataFrame, h: int, w: int, least: int = 30, side: int = BLOCK) -> DataFrame:
     """Pixels of components of at least ``least`` pixels."""
-    labelled = components(pix, h, w)
+    labelled = components(pix, h, w, side)
+    if h <= side and w <= side:  # a component is in one block, and is not labelled twice
+        return labelled.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("raster_id", "label"))).where(F.col("n") >= least).drop("label", "n")
     big = labelled.groupBy("raster_id", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return labelled.join(big, ["raster_id", "label"], "left_semi").drop("label")
 

@@ -84,7 +84,7 @@ def duplicate_contours(seg: DataFrame, within: float = 1.0, cell: float = 16.0)
     both = close.join(back, ["drawing_id", "a", "b"], "left_semi")
     la = lengths.select("drawing_id", F.col("contour_id").alias("a"), F.col("clen").alias("la"))
     lb = lengths.select("drawing_id", F.col("contour_id").alias("b"), F.col("clen").alias("lb"))
-    worse = (F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") > F.col("b")))
+    worse = (F.round("la", 9) < F.round("lb", 9)) | ((F.round("la", 9) == F.round("lb", 9)) & (F.col("a") > F.col("b")))
     return both.join(la, ["drawing_id", "a"]).join(lb, ["drawing_id", "b"]).where(worse).select("drawing_id", F.col("a").alias("contour_id")).distinct()
 
 

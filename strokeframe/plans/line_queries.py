@@ -191,9 +191,20 @@ def color_index_orientation(spark, sf):
     return geo.orientation_color(featured(spark, sf)).select(*geo.SEGMENT, "color")
 
 
-@register("drop_zero_length", f"SELECT {ID} FROM seg JOIN cont USING (drawing_id, contour_id) WHERE clen > 0")
+#: Every 11th contour shrunk to its first points, segment by segment.
+_SHRUNK = """, shrunk AS (SELECT drawing_id, contour_id, seg_id, x1, y1, CASE WHEN contour_id % 11 = 0 THEN x1 ELSE x2 END AS x2, CASE WHEN contour_id % 11 = 0 THEN y1 ELSE y2 END AS y2 FROM seg)
+"""
+
+
+@register(
+    "drop_zero_length",
+    _SHRUNK + f"SELECT {ID} FROM shrunk SEMI JOIN (SELECT drawing_id, contour_id FROM shrunk GROUP BY ALL HAVING sum(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) > 0) USING (drawing_id, contour_id)",
+)
 def drop_zero_length(spark, sf):
-    return geo.drop_zero_length(segments(spark, sf))[0].select(*geo.SEGMENT)
+    """Contours without length are dropped; every 11th is made one."""
+    none = F.col("contour_id") % 11 == 0
+    shrunk = segments(spark, sf).withColumns({f"{c}2": F.when(none, F.col(f"{c}1")).otherwise(F.col(f"{c}2")) for c in "xy"})
+    return geo.drop_zero_length(shrunk)[0].select(*geo.SEGMENT)
 
 
 @register(
@@ -242,7 +253,7 @@ jp AS (SELECT q.drawing_id, q.contour_id AS c1, q.seg_id AS s1, r.contour_id AS
 jd AS (SELECT *, ux * vy - uy * vx AS d FROM jp),
 ja AS (SELECT *, ((rx1 - qx1) * vy - (ry1 - qy1) * vx) / d AS a, ((rx1 - qx1) * uy - (ry1 - qy1) * ux) / d AS b,
   least(0.3, 1.0 / greatest(abs(ux), abs(uy))) AS ta, least(0.3, 1.0 / greatest(abs(vx), abs(vy))) AS tb FROM jd WHERE d <> 0),
-junc AS (SELECT drawing_id, c1, s1, c2, s2,
+junc AS MATERIALIZED (SELECT drawing_id, c1, s1, c2, s2,
   CASE WHEN abs(a) < 1e-4 THEN qx1 WHEN abs(a - 1) < 1e-4 THEN qx2 WHEN abs(b) < 1e-4 THEN rx1 WHEN abs(b - 1) < 1e-4 THEN rx2 ELSE qx1 + a * ux END AS x,
   CASE WHEN abs(a) < 1e-4 THEN qy1 WHEN abs(a - 1) < 1e-4 THEN qy2 WHEN abs(b) < 1e-4 THEN ry1 WHEN abs(b - 1) < 1e-4 THEN ry2 ELSE qy1 + a * uy END AS y
   FROM ja WHERE a BETWEEN -ta AND 1 + ta AND b BETWEEN -tb AND 1 + tb)
@@ -263,7 +274,7 @@ def junction_positions(spark, sf):
 @register(
     "junction_merge_pairs",
     _junction_sql("seg")
-    + """, o(d) AS (VALUES (-1), (0), (1)), jc AS (SELECT *, floor(x / 2) AS gx, floor(y / 2) AS gy FROM junc),
+    + """, o(d) AS (VALUES (-1), (0), (1)), jc AS MATERIALIZED (SELECT *, CAST(floor(x / 2) AS BIGINT) AS gx, CAST(floor(y / 2) AS BIGINT) AS gy FROM junc),
 nb AS (SELECT * REPLACE (gx + a.d AS gx, gy + b.d AS gy) FROM jc, o a, o b)
 SELECT i.drawing_id, i.c1 AS i_c1, i.s1 AS i_s1, i.c2 AS i_c2, i.s2 AS i_s2, j.c1 AS j_c1, j.s1 AS j_s1, j.c2 AS j_c2, j.s2 AS j_s2
 FROM jc i JOIN nb j ON i.drawing_id = j.drawing_id AND i.gx = j.gx AND i.gy = j.gy
@@ -273,6 +284,29 @@ def junction_merge_pairs(spark, sf):
     return jun.merge_pairs(jun.detect(segments(spark, sf)))
 
 
+@register("junction_types_merged")
+def junction_types_merged(spark, sf):
+    """The types of the merged junctions, the contours' counts of them, and the drawings' averages, told by drawing."""
+    seg = segments(spark, sf)
+    lengths, found = geo.contour_lengths(seg), jun.compute(seg)
+    return jun.type_counts(found).join(jun.average(jun.type_counts(found), lengths), "drawing_id")
+
+
+@register("split_junctions_merged")
+def split_junctions_merged(spark, sf):
+    """Contours split by the number of merged junctions."""
+    seg = segments(spark, sf)
+    return split.split_by_properties(jun.criterion(jun.compute(seg), geo.contour_lengths(seg)), {"junctions": 1.0}).select("drawing_id", "contour_id", "rank", "share", "bottom", "top")
+
+
+@register("junction_middles")
+def junction_middles(spark, sf):
+    """Pieces of contours between merged junctions, cut at a quarter and three quarters, told by contour and part."""
+    seg = segments(spark, sf)
+    pieces = geo.with_length(jun.middles(seg, jun.compute(seg)))
+    return pieces.groupBy("drawing_id", "contour_id", "part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("len"), 2).alias("total"))
+
+
 @register("junction_classes")
 def junction_classes(spark, sf):
     return jun.merge(jun.detect(segments(spark, sf)))
@@ -373,14 +407,21 @@ def split_hist_weights(spark, sf):
 
 @register(
     "dup_contours",
-    """, v AS (SELECT DISTINCT drawing_id, contour_id, x, y FROM (SELECT drawing_id, contour_id, x1 AS x, y1 AS y FROM seg UNION ALL SELECT drawing_id, contour_id, x2, y2 FROM seg)),
+    """, dseg AS MATERIALIZED (SELECT drawing_id, contour_id, x1, y1, x2, y2 FROM seg UNION ALL
+  SELECT drawing_id, contour_id + 10000000, x1 + 0.5, y1 + 0.25, x2 + CASE WHEN contour_id % 2 = 0 THEN 0.5 ELSE 0.75 END, y2 + 0.25 FROM seg WHERE contour_id % 13 = 0),
+dcont AS (SELECT drawing_id, contour_id, sum(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) AS clen FROM dseg GROUP BY ALL),
+v AS (SELECT DISTINCT drawing_id, contour_id, x, y FROM (SELECT drawing_id, contour_id, x1 AS x, y1 AS y FROM dseg UNION ALL SELECT drawing_id, contour_id, x2, y2 FROM dseg)),
 n AS (SELECT a.drawing_id, a.contour_id AS a, b.contour_id AS b, a.x, a.y, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM v a JOIN v b ON a.drawing_id = b.drawing_id AND a.contour_id <> b.contour_id GROUP BY ALL),
 m AS (SELECT drawing_id, a, b, max(d) AS d FROM n GROUP BY ALL)
 SELECT DISTINCT m.drawing_id, m.a AS contour_id FROM m JOIN m k ON m.drawing_id = k.drawing_id AND m.a = k.b AND m.b = k.a AND m.d < 1 AND k.d < 1
-JOIN cont p ON p.contour_id = m.a JOIN cont q ON q.contour_id = m.b WHERE p.clen < q.clen OR (p.clen = q.clen AND m.a > m.b)""",
+JOIN dcont p ON p.contour_id = m.a JOIN dcont q ON q.contour_id = m.b WHERE round(p.clen, 9) < round(q.clen, 9) OR (round(p.clen, 9) = round(q.clen, 9) AND m.a > m.b)""",
 )
 def dup_contours(spark, sf):
-    return split.duplicate_contours(segments(spark, sf))
+    """Contours that lie on others are dropped; every 13th has a copy beside it, of which half are a little longer or shorter."""
+    seg = segments(spark, sf)
+    longer = F.when(F.col("contour_id") % 2 == 0, 0.5).otherwise(0.75)
+    beside = seg.where("contour_id % 13 = 0").withColumns({"x1": F.col("x1") + 0.5, "y1": F.col("y1") + 0.25, "x2": F.col("x2") + longer, "y2": F.col("y2") + 0.25})
+    return split.duplicate_contours(seg.unionByName(beside.withColumn("contour_id", F.col("contour_id") + 10_000_000)))
 
 
 @register("segment_at_junctions")

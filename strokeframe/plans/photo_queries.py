@@ -94,13 +94,22 @@ def sobel_photo(spark, sf):
     return photo.sobel_edges(colours(spark, sf), RASTER_H, RASTER_W)
 
 
-@register(
-    "canny_edges",
-    _GREY + ", g255 AS (SELECT raster_id, y, x, strength * 255 AS strength FROM gry)\n" + grad_sql(raster.SOBEL, "g255", mag="abs(gx) + abs(gy)") + NMS + "SELECT raster_id, y, x FROM nms WHERE mag > 300",
-)
+@register("canny_edges")
 def canny_edges(spark, sf):
+    """Edges over 200 that are linked with one over 300."""
     bright = photo.grey(colours(spark, sf)).withColumn("strength", F.col("strength") * 255)
-    return photo.canny_edges(bright, RASTER_H, RASTER_W)
+    return photo.canny_edges(bright, RASTER_H, RASTER_W, 200, 300)
+
+
+ORACLE["canny_edges"] = (
+    (SQL + _GREY).replace("WITH points", "WITH RECURSIVE points", 1)
+    + ", g255 AS (SELECT raster_id, y, x, strength * 255 AS strength FROM gry)\n"
+    + grad_sql(raster.SOBEL, "g255", mag="abs(gx) + abs(gy)")
+    + NMS.rstrip()
+    + """, weak AS MATERIALIZED (SELECT raster_id, y, x, mag FROM nms WHERE mag > 200), o(d) AS (VALUES (-1), (0), (1)),
+held AS (SELECT raster_id, y, x FROM weak WHERE mag > 300 UNION SELECT w.raster_id, w.y, w.x FROM held h, o a, o b, weak w WHERE w.raster_id = h.raster_id AND w.y = h.y + a.d AND w.x = h.x + b.d)
+SELECT * FROM held"""
+)
 
 
 # -- tiles held against whole images ------------------------------------------

@@ -57,10 +57,10 @@ _TP = ", tp AS (SELECT grid.*, p.y - ty AS py, p.x - tx AS px, strength FROM gri
 
 @register(
     "tile_density_filter",
-    _GRID.format(s=4) + _TP + "SELECT raster_id, ty, tx, ts, count(*) AS n, round(sum(strength), 4) + 0.0 AS weight FROM tp WHERE strength > 0.6 GROUP BY ALL HAVING count(*) >= 0.1 * 576",
+    _GRID.format(s=4) + _TP + "SELECT raster_id, ty, tx, ts, count(*) AS n, round(sum(strength), 4) + 0.0 AS weight FROM tp WHERE strength > 0.6 GROUP BY ALL HAVING count(*) >= 0.25 * 576",
 )
 def tile_density_filter(spark, sf):
-    return raster.dense_tiles(pixels(spark, sf), tiles(spark, sf), 0.6, 0.1)
+    return raster.dense_tiles(pixels(spark, sf), tiles(spark, sf), 0.6, 0.25)
 
 
 def grad_sql(kernel, source: str = "pix", h: int = RASTER_H, w: int = RASTER_W, mag: str = "sqrt(gx * gx + gy * gy)") -> str:
@@ -442,11 +442,11 @@ def crop_plan(spark, sf):
 def colours(spark, sf):
     q = F.round(F.col("strength") * 50).cast("int")
     rgb = [((F.col("y") * a + F.col("x") * b + q * c) % 256).cast("double") for a, b, c in ((5, 3, 2), (7, 11, 1), (2, 13, 4))]
-    return pixels(spark, sf).select(*raster.PIXEL, *[v.alias(n) for v, n in zip(rgb, "rgb", strict=True)])
+    return raw_pixels(spark, sf).select(*raster.PIXEL, *[v.alias(n) for v, n in zip(rgb, "rgb", strict=True)])
 
 
 COLOURS = """, col AS (SELECT raster_id, y, x, CAST((y * 5 + x * 3 + CAST(strength * 50 AS INT) * 2) % 256 AS DOUBLE) AS r, CAST((y * 7 + x * 11 + CAST(strength * 50 AS INT)) % 256 AS DOUBLE) AS g,
-  CAST((y * 2 + x * 13 + CAST(strength * 50 AS INT) * 4) % 256 AS DOUBLE) AS b FROM pix)
+  CAST((y * 2 + x * 13 + CAST(strength * 50 AS INT) * 4) % 256 AS DOUBLE) AS b FROM raw_pix)
 """
 
 

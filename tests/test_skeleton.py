@@ -200,3 +200,16 @@ def test_polygons(spark):
 def test_simplified():
     square = np.array([(0, 0), (0, 5), (0, 10), (5, 10.4), (10, 10), (10, 0), (5, -3)], float)
     assert [tuple(p) for p in skeleton.simplified(square, 1.0)] == [(0, 0), (0, 10), (10, 10), (10, 0), (5, -3)]
+
+
+@pytest.mark.parametrize("side", [8, 64])
+def test_components_in_blocks(spark, side):
+    got = raster.components(frame(spark, SHAPES), H, W, side).collect()
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.raster_id, r.label].add((r.y, r.x))
+    for k, m in SHAPES.items():
+        mine = {label: p for (r, label), p in by.items() if r == k}
+        assert len(mine) == pieces(m, AROUND) and all(label == min(y * W + x for y, x in p) for label, p in mine.items())
+    large = raster.large_components(frame(spark, SHAPES), H, W, 5, side)
+    assert {(r.raster_id, r.y, r.x) for r in large.collect()} == {(k, y, x) for (k, _), p in by.items() if len(p) >= 5 for y, x in p}
