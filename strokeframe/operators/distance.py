@@ -124,8 +124,23 @@ def distance_map(points: np.ndarray, size: int) -> np.ndarray:
     return np.sqrt(squared_distances(points, size, size))
 
 
-def tile_pair_costs(tiles: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(i, j, yi, xi, yj, xj, cost) for all tiles of the rasters of each pair (i, j).
+def first_in_order(forth: np.ndarray, cost: np.ndarray) -> int:
+    """The place that a scan in order ends at which leaves out what is no nearer one way than the least cost so far: not always
+    the least cost, as the other way may be much nearer."""
+    least, k, found = np.maximum(np.round(forth, 9), np.round(cost, 9)), 0, 0
+    best = np.inf
+    while k < len(least):
+        ahead = np.flatnonzero(least[k:] < best)
+        if not len(ahead):
+            break
+        found = k + int(ahead[0])
+        best, k = round(float(cost[found]), 9), found + 1
+    return found
+
+
+def tile_pair_costs(tiles: DataFrame, pairs: DataFrame, size: int, early_exit: bool = False) -> DataFrame:
+    """(i, j, yi, xi, yj, xj, cost) for all tiles of the rasters of each pair (i, j); with ``early_exit`` the one pair of tiles that
+    first_in_order() ends at, in the order of the grid.
 
     tiles: (raster_id, ty, tx, ts, y, x, strength) pixel rows of tiles of ``size``. Distance maps are made once for
     each raster; a pair then is two matrix products over its tiles.
@@ -156,8 +171,12 @@ def tile_pair_costs(tiles: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
             for r in b.to_pylist():
                 wi, di, wj, dj = (np.frombuffer(r[c]).reshape(r["n_" + c[-1]], -1) for c in ("w_i", "d_i", "w_j", "d_j"))
                 pi, pj = (np.frombuffer(r[f"at_{k}"], np.int32).reshape(-1, 2) for k in "ij")
-                cost = (wi @ dj.T + (wj @ di.T).T) / 2
+                forth = wi @ dj.T
+                cost = (forth + (wj @ di.T).T) / 2
                 i, j = (x.reshape(-1) for x in np.indices(cost.shape))
+                if early_exit:
+                    k = first_in_order(forth.reshape(-1), cost.reshape(-1))
+                    i, j, cost = i[k : k + 1], j[k : k + 1], cost.reshape(-1)[k : k + 1]
                 n = len(i)
                 columns = [np.full(n, r["i"]), np.full(n, r["j"]), pi[i, 0], pi[i, 1], pj[j, 0], pj[j, 1], cost.reshape(-1)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", "yi", "xi", "yj", "xj", "cost"])

@@ -112,6 +112,24 @@ SELECT * FROM held"""
 )
 
 
+def _shares(n: int, to: int) -> str:
+    return ", ".join(f"({t}, {k}, {v!r}::DOUBLE)" for t, row in enumerate(photo.sinc_weights(n, to).tolist()) for k, v in enumerate(row) if v)
+
+
+@register(
+    "resampled",
+    COLOURS
+    + f""", vy(t, k, g) AS (VALUES {_shares(RASTER_H, 20)}), vx(t, k, g) AS (VALUES {_shares(RASTER_W, 60)}),
+sd AS MATERIALIZED (SELECT raster_id, t AS y, x, sum(r * vy.g) AS r, sum(col.g * vy.g) AS g, sum(b * vy.g) AS b FROM (SELECT raster_id, y, x, r, g, b FROM col) col JOIN vy ON k = y GROUP BY ALL),
+sx AS (SELECT raster_id, y, t AS x, sum(r * vx.g) AS r, sum(sd.g * vx.g) AS g, sum(b * vx.g) AS b FROM sd JOIN vx ON k = x GROUP BY ALL)
+SELECT p.raster_id, CAST(a.y AS BIGINT) AS y, CAST(c.x AS BIGINT) AS x, round(coalesce(r, 0), 4) + 0.0 AS r, round(coalesce(g, 0), 4) + 0.0 AS g, round(coalesce(b, 0), 4) + 0.0 AS b
+FROM (SELECT DISTINCT raster_id FROM pix) p, range(0, 20) a(y), range(0, 60) c(x) LEFT JOIN sx ON sx.raster_id = p.raster_id AND sx.y = a.y AND sx.x = c.x""",
+)
+def resampled(spark, sf):
+    """Photographs brought from 32 x 48 to 20 x 60."""
+    return photo.resampled(colours(spark, sf).join(rasters(spark, sf).select("raster_id"), "raster_id"), rasters(spark, sf), ["r", "g", "b"], 20, 60)
+
+
 # -- tiles held against whole images ------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strokeframe.operators import distance, raster, search, sequence
+from strokeframe.operators import distance, inverted, raster, search, sequence
 from strokeframe.tables import read_table
 
 from . import line_queries
@@ -222,6 +222,14 @@ def best_tile_pair(spark, sf):
     return search.best_tile_pair(pair_costs(spark, sf)).select("i", "j", "cost")
 
 
+@register("ordered_tile_pair", digits=3)
+def ordered_tile_pair(spark, sf):
+    """Of each raster and the next, the pair of tiles that a scan in grid order with early exits ends at."""
+    ids = rasters(spark, sf).select("raster_id")
+    pairs = ids.select(F.col("raster_id").alias("i"), (F.col("raster_id") + 1).alias("j"))
+    return distance.tile_pair_costs(raster.tile_pixels(pixels(spark, sf), tiles(spark, sf)), pairs, 24, True)
+
+
 @register(
     "best_any_pos",
     _COSTS
@@ -305,6 +313,20 @@ def knn(spark, sf):
     return distance.knn(descriptors(spark, sf), 15)
 
 
+@register("knn_hundredth", _KNN + "SELECT i, j, round(d, 4) + 0.0 AS d, CAST(rank AS INTEGER) AS rank FROM k WHERE i % 100 = 0")
+def knn_hundredth(spark, sf):
+    """The nearest of all vectors to every hundredth, exactly, in blocks."""
+    vectors = descriptors(spark, sf)
+    return inverted.exact(vectors, vectors.where("image_idx % 100 = 0"), 15)
+
+
+@register("knn_index")
+def knn_index(spark, sf):
+    """The nearest found of all vectors to each, by an inverted file."""
+    vectors = descriptors(spark, sf)
+    return inverted.Index.build(vectors, 15).search(vectors, 15)
+
+
 @register("knn_shortlist", _KNN + "SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM k")
 def knn_shortlist(spark, sf):
     return distance.shortlist(distance.knn(descriptors(spark, sf), 15))
