@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strokeframe.operators import distance, medial, photo, raster, scan, skeleton, stats
+from strokeframe.operators import distance, medial, photo, raster, scan, sequence, skeleton, stats
 
 from . import line_queries
 from .fixtures import HEIGHT, RASTER_H, RASTER_W, SQL, WIDTH, branches, pixels, raw_pixels, segments
@@ -166,6 +166,12 @@ def refined_tiles(spark, sf):
     return scan.refined_tiles(path, pixels(spark, sf), RASTER_H, RASTER_W, [0.5, 0.75, 1.0], 2, 4)
 
 
+@register("photo_sequence")
+def photo_sequence(spark, sf):
+    """From the colours of all rasters to sequences of ten, with tiles of two sizes placed finely."""
+    return sequence.photo_sequence(colours(spark, sf), _collections(spark, sf, 10), RASTER_H, RASTER_W, [0.5, 0.75], 6, 4, RASTER_H, 0.2, 3, 2, 4)
+
+
 # -- medial axes --------------------------------------------------------------
 
 _FIELD = """, ras AS (SELECT DISTINCT raster_id FROM pix), cell AS (SELECT raster_id, y, x FROM ras, range(0, 32) a(y), range(0, 48) b(x)),
