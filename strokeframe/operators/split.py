@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strokeframe.tables import written
+
 from .geometry import CONTOUR, SEGMENT, with_length
 
 
@@ -19,6 +21,10 @@ def criteria(seg: DataFrame) -> DataFrame:
     )
 
 
+#: Segments whose contours are merged in one task, about.
+TOGETHER = 4096
+
+
 def cumulative_split(contours: DataFrame, score: Column, fraction: float = 0.5) -> DataFrame:
     """Adds ``bottom`` and ``top``: whether the contour is in the first ``fraction`` of the drawing's length in the
     order of ``score``, and in the last. ``length`` is the contour's; ties go by contour_id."""
@@ -90,7 +96,7 @@ def duplicate_contours(seg: DataFrame, within: float = 1.0, cell: float = 16.0)
 
 def merge_straight_runs(seg: DataFrame, threshold: float = 1.0) -> DataFrame:
     """(drawing_id, contour_id, seg_id, x1, y1, x2, y2): from each segment on, the longest run whose inner points
-    lie within ``threshold`` of its chord on average becomes one segment. A drawing is worked on in one task."""
+    lie within ``threshold`` of its chord on average becomes one segment. Contours are dealt to tasks of about TOGETHER segments."""
 
     def runs(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -111,5 +117,14 @@ def merge_straight_runs(seg: DataFrame, threshold: float = 1.0) -> DataFrame:
         return pd.DataFrame(out, columns=[*SEGMENT, "x1", "y1", "x2", "y2"])
 
     schema = "drawing_id bigint, contour_id bigint, seg_id bigint, x1 double, y1 double, x2 double, y2 double"
-    return seg.select(*SEGMENT, "x1", "y1", "x2", "y2").groupBy("drawing_id").applyInPandas(runs, schema)
+    tasks = seg.groupBy("drawing_id").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("tasks"))
+    return seg.select(*SEGMENT, "x1", "y1", "x2", "y2").join(tasks, "drawing_id").withColumn(
+        "task", F.pmod(F.xxhash64("contour_id"), F.col("tasks"))
+    ).groupBy("drawing_id", "task").applyInPandas(runs, schema)
+
+
 
+def merge_lines(seg: DataFrame, threshold: float = 1.0, within: float = 1.0) -> DataFrame:
+    """(drawing_id, contour_id, seg_id, x1, y1, x2, y2): straight runs merged, then contours that lie on others dropped."""
+    merged = written(merge_straight_runs(seg, threshold), "merged-lines")
+    return merged.join(duplicate_contours(merged, within), CONTOUR, "left_anti").select(*merged.columns)

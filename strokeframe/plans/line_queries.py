@@ -424,7 +424,17 @@ def dup_contours(spark, sf):
     return split.duplicate_contours(seg.unionByName(beside.withColumn("contour_id", F.col("contour_id") + 10_000_000)))
 
 
-@register("segment_at_junctions")
+@register(
+    "segment_at_junctions",
+    _junction_sql("seg")
+    + """, met AS (SELECT DISTINCT drawing_id, contour_id, seg_id, x, y FROM (SELECT drawing_id, c1 AS contour_id, s1 AS seg_id, x, y FROM junc UNION ALL SELECT drawing_id, c2, s2, x, y FROM junc)),
+cuts AS (SELECT a.drawing_id, a.contour_id, a.seg_id, list({'x': x, 'y': y} ORDER BY sqrt((x - x1) ** 2 + (y - y1) ** 2), x, y) AS cuts FROM met a JOIN seg USING (drawing_id, contour_id, seg_id) GROUP BY ALL),
+way AS (SELECT drawing_id, contour_id, seg_id, list_concat([{'x': x1, 'y': y1}], coalesce(cuts, []), [{'x': x2, 'y': y2}]) AS p FROM seg LEFT JOIN cuts USING (drawing_id, contour_id, seg_id)),
+part AS (SELECT drawing_id, contour_id, seg_id, k, p[k + 1] AS a, p[k + 2] AS b FROM (SELECT *, unnest(range(0, len(p) - 1)) AS k FROM way)),
+kept AS (SELECT * FROM part WHERE a.x <> b.x OR a.y <> b.y)
+SELECT drawing_id, contour_id, CAST(sum(CASE WHEN k > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY drawing_id, contour_id ORDER BY seg_id, k) AS BIGINT) AS piece, seg_id,
+  round(a.x, 4) + 0.0 AS x1, round(a.y, 4) + 0.0 AS y1, round(b.x, 4) + 0.0 AS x2, round(b.y, 4) + 0.0 AS y2 FROM kept""",
+)
 def segment_at_junctions(spark, sf):
     seg = segments(spark, sf)
     found = jun.detect(seg)
@@ -432,6 +442,12 @@ def segment_at_junctions(spark, sf):
     return split.split_at_junctions(seg, at[0].unionByName(at[1]))
 
 
+@register("merge_lines")
+def merge_lines(spark, sf):
+    """Straight runs merged, and contours that then lie on others dropped."""
+    return split.merge_lines(segments(spark, sf), 20.0, 12.0)
+
+
 @register("merge_line_segments")
 def merge_line_segments(spark, sf):
     return split.merge_straight_runs(segments(spark, sf), 20.0)

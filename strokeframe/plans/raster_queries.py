@@ -105,9 +105,17 @@ def cell_orientation_hist(spark, sf):
     return raster.cell_histogram(raster.gradients(pixels(spark, sf), raster.SCHARR, RASTER_H, RASTER_W), RASTER_H, RASTER_W)
 
 
-@register("edge_descriptor")
+@register(
+    "edge_descriptor",
+    grad_sql(raster.SCHARR)
+    + """, h AS (SELECT raster_id, CAST((y // 8 * 4 + x // 12) * 8 + least(floor(round((atan2(gy, gx) + pi()) / (2 * pi()), 9) * 8), 7) AS INTEGER) AS k, sum(mag) AS v FROM grad GROUP BY ALL),
+f AS (SELECT r.raster_id, r.k, coalesce(v, 0.0) AS v FROM (SELECT raster_id, CAST(k AS INTEGER) AS k FROM (SELECT DISTINCT raster_id FROM h), range(0, 128) a(k)) r LEFT JOIN h USING (raster_id, k)),
+n AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY raster_id)) AS n FROM f)
+SELECT raster_id, list(round(CASE WHEN n > 0 THEN v / n ELSE v END, 4) + 0.0 ORDER BY k) AS vec FROM n GROUP BY ALL""",
+)
 def edge_descriptor(spark, sf):
-    return raster.edge_descriptor(cell_orientation_hist(spark, sf))
+    found = raster.edge_descriptor(cell_orientation_hist(spark, sf))
+    return found.withColumn("vec", F.transform("vec", lambda v: F.round(v, 4) + F.lit(0.0)))
 
 
 @register(
@@ -520,6 +528,15 @@ def edge_threshold(spark, sf):
     return raster.edges(raw_pixels(spark, sf), 0.6)
 
 
+#: Every pixel that is the least of those about it spreads over what touches; the least that reaches a pixel is its label.
+_COMPONENTS = """, o(d) AS (VALUES (-1), (0), (1)), ip AS MATERIALIZED (SELECT raster_id, y, x, strength, y * 48 + x AS id FROM pix),
+touch AS MATERIALIZED (SELECT p.raster_id, p.id, q.id AS beside FROM ip p CROSS JOIN o a CROSS JOIN o b JOIN ip q ON q.raster_id = p.raster_id AND q.y = p.y + a.d AND q.x = p.x + b.d),
+reach AS (SELECT raster_id, id AS root, id FROM touch GROUP BY ALL HAVING min(beside) = id
+  UNION SELECT r.raster_id, r.root, t.beside FROM reach r JOIN touch t ON t.raster_id = r.raster_id AND t.id = r.id),
+labelled AS MATERIALIZED (SELECT ip.raster_id, y, x, strength, min(root) AS label FROM ip JOIN reach USING (raster_id, id) GROUP BY ALL)
+"""
+
+
 @register("components")
 def components(spark, sf):
     return raster.components(pixels(spark, sf), RASTER_H, RASTER_W)
@@ -530,6 +547,11 @@ def large_components(spark, sf):
     return raster.large_components(pixels(spark, sf), RASTER_H, RASTER_W, 8)
 
 
+_RECURSIVE = SQL.replace("WITH points", "WITH RECURSIVE points", 1) + _COMPONENTS
+ORACLE["components"] = _RECURSIVE + "SELECT raster_id, y, x, round(strength, 4) + 0.0 AS strength, CAST(label AS BIGINT) AS label FROM labelled"
+ORACLE["large_components"] = _RECURSIVE + "SELECT raster_id, y, x, round(strength, 4) + 0.0 AS strength FROM labelled SEMI JOIN (SELECT raster_id, label FROM labelled GROUP BY ALL HAVING count(*) >= 8) USING (raster_id, label)"
+
+
 @register(
     "raster_line",
     """, l AS (SELECT drawing_id, CAST(trunc(x1) AS INT) AS a, CAST(trunc(y1) AS INT) AS b, CAST(trunc(x2) AS INT) AS c, CAST(trunc(y2) AS INT) AS d FROM seg),
