@@ -11,6 +11,8 @@ from strokeframe.operators import geometry as geo
 from strokeframe.operators import junctions as jun
 from strokeframe.operators import medial, split, stats
 
+from strokeframe.tables import written
+
 from .fixtures import HEIGHT, RASTER_H, RASTER_W, SQL, WIDTH, branches, raw_pixels, segments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -288,7 +290,7 @@ def junction_merge_pairs(spark, sf):
 def junction_types_merged(spark, sf):
     """The types of the merged junctions, the contours' counts of them, and the drawings' averages, told by drawing."""
     seg = segments(spark, sf)
-    lengths, found = geo.contour_lengths(seg), jun.compute(seg)
+    lengths, found = geo.contour_lengths(seg), written(jun.compute(seg), "typed")
     return jun.type_counts(found).join(jun.average(jun.type_counts(found), lengths), "drawing_id")
 
 

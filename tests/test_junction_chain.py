@@ -76,6 +76,18 @@ def test_chain(spark):
     assert {k: round(v, 6) for k, v in parts.items()} == {(c, p, n): s for c in (1, 2) for p in (0, 1) for n, s in (("head", 12.5), ("middle", 25.0), ("tail", 12.5))}
 
 
+def test_lines_are_merged_and_cleared(spark):
+    """A bent contour, its straight parts in pieces, and a shorter copy beside it."""
+    bend = [(0.0, 0.0), (10.0, 0.2), (20.0, 0.0), (20.0, 10.0), (20.2, 20.0), (20.0, 30.0)]
+    rows = [(1, c, k, *a, *b) for c, by in ((1, 0.0), (2, 0.3)) for k, (a, b) in enumerate((tuple(v + by for v in p), tuple(v + by * (c == 1 or k < 4) for v in q)) for k, (p, q) in enumerate(zip(bend, bend[1:], strict=False)))]
+    rows = [(d, c, s, *map(float, r)) for d, c, s, *r in rows] + [(1, 3, 0, 50.0, 50.0, 60.0, 60.0)]
+    got = split.merge_lines(spark.createDataFrame(rows, SEG), 0.5, 1.0).collect()
+    left = {c: sorted((r.seg_id, r.x1, r.y1, r.x2, r.y2) for r in got if r.contour_id == c) for c in {r.contour_id for r in got}}
+    assert len(left) == 2 and left[3] == [(0, 50.0, 50.0, 60.0, 60.0)]
+    [kept] = [v for c, v in left.items() if c != 3]
+    assert len(kept) == 2
+
+
 def test_roots(spark):
     rng = np.random.default_rng(0)
     links = [(k, int(a), int(b)) for k in range(2) for a, b in rng.integers(0, 300, (200, 2))] + [(5, i, i + 1) for i in range(60)] + [(6, 0, i) for i in range(60)]
