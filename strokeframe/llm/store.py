@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,23 +11,14 @@ from weakref import WeakKeyDictionary
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+from strokeframe.tables import shared_folder
+
 #: Where each table of written() lies.
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 #: Paths and broadcasts made in each open scope().
 _scopes: list[tuple[list[str], list[Broadcast]]] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a folder of our own on one machine, and a ValueError on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="strokeframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: a lost executor costs one task, not the lineage.
     With ``keep`` it outlasts the scope."""
