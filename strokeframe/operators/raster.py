@@ -1,11 +1,15 @@
 """Sparse rasters as rows (raster_id, y, x, strength): stencils, thresholds, boundaries, tiles.
 
-Stencils scatter: a pixel sends its weighted strength to the neighbours it touches, and a group sums them;
-one shuffle by pixel, no self-join. A pixel without a row has strength 0.
+Stencils are worked on in square blocks, with the pixels about them: one shuffle of the pixels, no self-join. A pixel without a
+row has strength 0.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,14 +33,61 @@ def edges(pix: DataFrame, threshold: float) -> DataFrame:
     return pix.where(F.col("strength") >= threshold)
 
 
-def scatter(pix: DataFrame, kernels: dict[str, list[list[float]]], h: int, w: int) -> DataFrame:
-    """(raster_id, y, x, one column for each kernel): 3x3 correlations with zero padding, where not all are empty."""
-    targets = F.array(*[
-        F.struct((F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), *[F.lit(float(k[dy + 1][dx + 1])).alias(n) for n, k in kernels.items()])
-        for dy in (-1, 0, 1) for dx in (-1, 0, 1)
-    ])
-    sent = pix.select("raster_id", "strength", F.explode(targets).alias("t")).where((F.col("t.y") >= 0) & (F.col("t.y") < h) & (F.col("t.x") >= 0) & (F.col("t.x") < w))
-    return sent.groupBy("raster_id", F.col("t.y").alias("y"), F.col("t.x").alias("x")).agg(*[F.sum(F.col("strength") * F.col(f"t.{n}")).alias(n) for n in kernels])
+def block_of(y: Column, x: Column, w: int, side: int) -> Column:
+    """The number of the square block of a raster ``w`` pixels wide that holds a pixel."""
+    return F.floor(y / side) * (-(-w // side)) + F.floor(x / side)
+
+
+def with_halo(pix: DataFrame, h: int, w: int, side: int, halo: int = 1) -> DataFrame:
+    """Rows of ``pix`` with ``block``, and once more for each other block that they are no farther than ``halo`` from."""
+    if h <= side and w <= side:
+        return pix.withColumn("block", F.lit(0).cast("bigint"))
+    across, down = -(-w // side), -(-h // side)
+    near = [F.array_distinct(F.array(*[F.least(F.greatest(F.floor((F.col(c) + k) / side), F.lit(0)), F.lit(n - 1)) for k in (-halo, 0, halo)])) for c, n in (("y", down), ("x", across))]
+    blocks = F.flatten(F.transform(near[0], lambda y: F.transform(near[1], lambda x: y * across + x)))
+    return pix.withColumn("block", F.explode(blocks))
+
+
+def in_blocks(pix: DataFrame, columns: list[str], schema: str, h: int, w: int, side: int, kernel: Callable) -> DataFrame:
+    """``kernel`` over each block of a raster with a halo of one pixel, in one task: it gets the mask of pixels and the dense
+    arrays of ``columns`` (0 where there is none), two wider than the block, and gives the mask and the columns of the
+    inner places that are rows of the result (raster_id, y, x, ...)."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    across = -(-w // side)
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        top, left = block // across * side, block % across * side
+        high, wide = min(side, h - top), min(side, w - left)
+        y, x = (table.column(c).to_numpy() - o + 1 for c, o in (("y", top), ("x", left)))
+        inside = (y >= 0) & (y < high + 2) & (x >= 0) & (x < wide + 2)
+        there = np.zeros((high + 2, wide + 2), bool)
+        there[y[inside], x[inside]] = True
+        dense = []
+        for c in columns:
+            layer = np.zeros(there.shape)
+            layer[y[inside], x[inside]] = table.column(c).to_numpy()[inside]
+            dense.append(layer)
+        kept, made = kernel(there, *dense)
+        at, beside = np.nonzero(kept)
+        arrays = [pa.array(np.full(len(at), table.column("raster_id")[0].as_py())), pa.array(at + top), pa.array(beside + left), *[pa.array(m[kept]) for m in made]]
+        return pa.Table.from_arrays(arrays, names)
+
+    rows = pix.select(*[F.col(c).cast("bigint").alias(c) for c in PIXEL], *[F.col(c).cast("double").alias(c) for c in columns])
+    return with_halo(rows, h, w, side).groupBy("raster_id", "block").applyInArrow(run, schema)
+
+
+def scatter(pix: DataFrame, kernels: dict[str, list[list[float]]], h: int, w: int, side: int = BLOCK) -> DataFrame:
+    """(raster_id, y, x, one column for each kernel): 3x3 correlations with zero padding, where not all are empty. A block of a
+    raster, with the pixels about it, is a task."""
+
+    def kernel(there: np.ndarray, strength: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        high, wide = there.shape[0] - 2, there.shape[1] - 2
+        shifted = [(a, b, strength[a : a + high, b : b + wide]) for a in range(3) for b in range(3)]
+        reached = np.logical_or.reduce([there[a : a + high, b : b + wide] for a in range(3) for b in range(3)])
+        return reached, [sum(float(k[a][b]) * part for a, b, part in shifted if k[a][b]) for k in kernels.values()]
+
+    return in_blocks(pix, ["strength"], ", ".join(["raster_id bigint", "y bigint", "x bigint", *[f"{n} double" for n in kernels]]), h, w, side, kernel)
 
 
 def gradients(pix: DataFrame, kernel: list[list[float]], h: int, w: int) -> DataFrame:
@@ -59,20 +110,21 @@ def normalised_strength(g: DataFrame, value: str = "mag") -> DataFrame:
     return g.withColumn("norm", F.when(top > 0, F.col(value) / top).otherwise(F.lit(0.0)))
 
 
-def thin(g: DataFrame) -> DataFrame:
+def thin(g: DataFrame, h: int, w: int, side: int = BLOCK) -> DataFrame:
     """Non-maximum suppression of (raster_id, y, x, gx, gy, mag): rows at least as strong as both neighbours along
-    the gradient's sector (0, 45, 90, 135 degrees). A pixel is told its neighbours' magnitudes in one shuffle."""
-    angle = F.round(F.pmod(F.degrees(F.atan2("gy", "gx")), F.lit(180.0)), 9)
-    sector = F.when((angle >= 22.5) & (angle < 67.5), 1).when((angle >= 67.5) & (angle < 112.5), 2).when((angle >= 112.5) & (angle < 157.5), 3).otherwise(0)
-    steps = {0: (0, 1), 1: (1, -1), 2: (1, 0), 3: (1, 1)}
-    told = F.array(*[
-        F.struct((F.col("y") + s * dy).alias("y"), (F.col("x") + s * dx).alias("x"), F.lit(k).alias("k")) for k, (dy, dx) in steps.items() for s in (-1, 1)
-    ])
-    message = g.select("raster_id", "mag", F.explode(told).alias("t")).select("raster_id", "t.y", "t.x", "t.k", F.col("mag").alias("near"))
-    own = g.select(*PIXEL, sector.alias("k"), F.lit(None).cast("double").alias("near"), F.struct("gx", "gy", "mag").alias("own"))
-    every = own.unionByName(message.withColumn("own", F.lit(None).cast(own.schema["own"].dataType)))
-    best = every.groupBy(*PIXEL, "k").agg(F.max("near").alias("near"), F.max("own").alias("own"))
-    return best.where(F.col("own").isNotNull() & (F.round(F.col("own.mag"), 9) >= F.round(F.coalesce("near", F.lit(0.0)), 9))).select(*PIXEL, "own.*")
+    the gradient's sector (0, 45, 90, 135 degrees). A block of a raster, with the pixels about it, is a task."""
+
+    def kernel(there: np.ndarray, gx: np.ndarray, gy: np.ndarray, mag: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        high, wide = there.shape[0] - 2, there.shape[1] - 2
+        gx, gy, own = (v[1:-1, 1:-1] for v in (gx, gy, mag))
+        angle = np.round(np.degrees(np.arctan2(gy, gx)) % 180, 9)
+        sector = np.select([(angle >= 22.5) & (angle < 67.5), (angle >= 67.5) & (angle < 112.5), (angle >= 112.5) & (angle < 157.5)], [1, 2, 3], 0)
+        rounded = np.round(mag, 9)
+        beside = [np.maximum(rounded[1 + dy : 1 + dy + high, 1 + dx : 1 + dx + wide], rounded[1 - dy : 1 - dy + high, 1 - dx : 1 - dx + wide]) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]
+        kept = there[1:-1, 1:-1] & (np.round(own, 9) >= np.choose(sector, beside))
+        return kept, [gx, gy, own]
+
+    return in_blocks(g, ["gx", "gy", "mag"], "raster_id bigint, y bigint, x bigint, gx double, gy double, mag double", h, w, side, kernel)
 
 
 def outer_boundary(pix: DataFrame, h: int, w: int) -> DataFrame:
@@ -162,11 +214,6 @@ def lines_to_pixels(seg: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return seg.withColumn("k", F.explode(F.sequence(F.lit(0), n))).select("drawing_id", at(y1, y2).alias("y"), at(x1, x2).alias("x"), *(keep or [])).distinct()
 
 
-def block_of(y: Column, x: Column, w: int, side: int) -> Column:
-    """The number of the square block of a raster ``w`` pixels wide that holds a pixel."""
-    return F.floor(y / side) * (-(-w // side)) + F.floor(x / side)
-
-
 def components(pix: DataFrame, h: int, w: int, side: int = BLOCK) -> DataFrame:
     """Adds ``label``: the least y * w + x of the pixel's 8-connected component.
 
@@ -177,8 +224,6 @@ def components(pix: DataFrame, h: int, w: int, side: int = BLOCK) -> DataFrame:
     schema = T.StructType([*pix.schema.fields, T.StructField("label", T.LongType())])
 
     def label(pdf):
-        import numpy as np
-
         ys, xs = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
         known, own = np.unique(ys * (w + 2) + xs, return_inverse=True)  # two columns more, so that rows do not touch
         touching = []

@@ -92,7 +92,7 @@ nms AS MATERIALIZED (SELECT k.raster_id, k.y, k.x, k.mag FROM k LEFT JOIN far US
 
 @register("nms", grad_sql(raster.SCHARR) + NMS + "SELECT raster_id, y, x, round(mag, 4) + 0.0 AS mag FROM nms")
 def nms(spark, sf):
-    return raster.thin(raster.gradients(pixels(spark, sf), raster.SCHARR, RASTER_H, RASTER_W)).select(*raster.PIXEL, "mag")
+    return raster.thin(raster.gradients(pixels(spark, sf), raster.SCHARR, RASTER_H, RASTER_W), RASTER_H, RASTER_W).select(*raster.PIXEL, "mag")
 
 
 @register(

@@ -213,3 +213,34 @@ def test_components_in_blocks(spark, side):
         assert len(mine) == pieces(m, AROUND) and all(label == min(y * W + x for y, x in p) for label, p in mine.items())
     large = raster.large_components(frame(spark, SHAPES), H, W, 5, side)
     assert {(r.raster_id, r.y, r.x) for r in large.collect()} == {(k, y, x) for (k, _), p in by.items() if len(p) >= 5 for y, x in p}
+
+
+@pytest.mark.parametrize("side", [8, 64])
+def test_stencils_in_blocks(spark, side):
+    """Gradients and thinning against plain loops."""
+    rng = np.random.default_rng(9)
+    dense = {k: np.where(m, rng.integers(1, 9, m.shape), 0.0) for k, m in SHAPES.items()}
+    rows = [(k, int(y), int(x), float(v[y, x])) for k, v in dense.items() for y, x in np.argwhere(v)]
+    pix = spark.createDataFrame(rows, "raster_id int, y int, x int, strength double")
+    flipped = [list(r) for r in zip(*raster.SOBEL, strict=True)]
+    g = raster.scatter(pix, {"gx": raster.SOBEL, "gy": flipped}, H, W, side).withColumn("mag", F.abs("gx") + F.abs("gy"))
+    got = {(r.raster_id, r.y, r.x): (r.gx, r.gy, r.mag) for r in g.collect()}
+    want = {}
+    for k, v in dense.items():
+        p = np.pad(v, 1)
+        for y in range(H):
+            for x in range(W):
+                part = p[y : y + 3, x : x + 3]
+                if part.any():
+                    gx, gy = (part * raster.SOBEL).sum(), (part * flipped).sum()
+                    want[k, y, x] = (gx, gy, abs(gx) + abs(gy))
+    assert got == want
+    kept = {(r.raster_id, r.y, r.x) for r in raster.thin(g, H, W, side).collect()}
+    steps = {0: (0, 1), 1: (1, -1), 2: (1, 0), 3: (1, 1)}
+    plain = set()
+    for (k, y, x), (gx, gy, mag) in want.items():
+        a = round(float(np.degrees(np.arctan2(gy, gx))) % 180, 9)
+        dy, dx = steps[1 if 22.5 <= a < 67.5 else 2 if 67.5 <= a < 112.5 else 3 if 112.5 <= a < 157.5 else 0]
+        if all(mag >= want.get((k, y + s * dy, x + s * dx), (0, 0, 0))[2] for s in (-1, 1)):
+            plain.add((k, y, x))
+    assert kept == plain
