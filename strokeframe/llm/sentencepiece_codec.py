@@ -268,11 +268,35 @@ class Chunk:
 
     def __init__(self, v: Vocabulary, units: Units, s: str, lo: int, hi: int, first: bool, final: bool):
         self.v, self.units, self.s, self.lo, self.hi, self.first, self.final = v, units, s, lo, hi, first, final
-        # a unit that begins inside the view begins at a safe cut; where the view begins is none
-        starts = [m.start() for m in v.units.finditer(s)]
-        self.cuts = [q for q in starts if lo <= q <= hi and (q > 0 or first)]
-        if final and hi == len(s):
-            self.cuts.append(hi)
+
+    def _cut(self, start: int) -> int | None:
+        """The first safe cut of the chunk from ``start`` on. A unit begins at a safe cut, whatever place before it the units are
+        looked for from; where the view begins is none."""
+        at = max(start, self.lo)
+        for m in self.v.units.finditer(self.s, max(at - 1, 0)):
+            q = m.start()
+            if q >= self.hi:
+                return None
+            if q >= at and (q > 0 or self.first):
+                return q
+        return None
+
+    def _last_cut(self) -> int | None:
+        """The last safe cut of the chunk, sought from its end."""
+        reach = 256
+        while True:
+            begin, found = max(self.hi - reach, 0), None
+            for m in self.v.units.finditer(self.s, begin):
+                q = m.start()
+                if q >= self.hi:
+                    break
+                if q > begin or (q == 0 and self.first):
+                    found = q
+            if found is not None and found >= self.lo:
+                return found
+            if begin < self.lo or begin == 0:
+                return None
+            reach *= 8
 
     def states(self, at: int) -> list[int]:
         """The tokens that may lie across boundary ``at`` (begin before it, end at it or after): how far they
@@ -298,11 +322,11 @@ class Chunk:
     def matrix(self) -> Matrix:
         """(entry, exit) -> 0 for each pair of states that a path joins; all others are minus infinity."""
         out: Matrix = {}
-        inner = [q for q in self.cuts if q < self.hi]
-        tail = self._exits(self.v.paths(self.s, inner[-1], None, self.hi)) if inner else []
+        last = self._last_cut()
+        tail = [] if last is None else self._exits(self.v.paths(self.s, last, None, self.hi))
         for state in [START] if self.first else self.states(self.lo):
             start, before = self._entry(state)
-            cut = next((q for q in inner if q >= start), None)
+            cut = self._cut(start)
             if cut is None:  # no safe cut: a path through the whole chunk
                 exits = self._exits(self.v.paths(self.s, start, before, self.hi))
                 if start >= self.hi:  # the token reaches over the whole chunk
@@ -321,12 +345,12 @@ class Chunk:
         if start >= self.hi:
             return b""
         i, end, token = self._token(self.hi, leave)
-        inner = [q for q in self.cuts if start <= q < self.hi]
-        if not inner:
+        cut, last = self._cut(start), self._last_cut()
+        if cut is None:
             return v.packed([*v.trace(v.paths(s, start, before, i), start, i), token])
-        head = v.packed(v.trace(v.paths(s, start, before, inner[0]), start, inner[0])) if inner[0] > start else b""
-        middle = b"".join(map(self.units.__getitem__, v.units.findall(s, inner[0], inner[-1])))
-        return head + middle + v.packed([*v.trace(v.paths(s, inner[-1], None, i), inner[-1], i), token])
+        head = v.packed(v.trace(v.paths(s, start, before, cut), start, cut)) if cut > start else b""
+        middle = b"".join(map(self.units.__getitem__, v.units.findall(s, cut, last)))
+        return head + middle + v.packed([*v.trace(v.paths(s, last, None, i), last, i), token])
 
 
 def compose(a: Matrix, b: Matrix) -> Matrix:
