@@ -119,6 +119,65 @@ def squared_distances(points: np.ndarray, h: int, w: int) -> np.ndarray:
     return out
 
 
+def tile_maps(on: np.ndarray) -> np.ndarray:
+    """squared_distances() of each of n grids (n, h, w), told by their masks, of which each has a pixel."""
+    n, h, w = on.shape
+    rows, far = np.arange(h, dtype=np.int32)[:, None], 2 * (h + w)
+    above = np.maximum.accumulate(np.where(on, rows, -far), axis=1)
+    below = np.minimum.accumulate(np.where(on, rows, far + h)[:, ::-1], axis=1)[:, ::-1]
+    column = np.minimum(rows - above, below - rows).astype(np.int32) ** 2
+    out = column.copy()
+    for k in range(1, w):
+        if k * k >= out.max(initial=0):
+            break
+        np.minimum(out[:, :, k:], column[:, :, :-k] + k * k, out=out[:, :, k:])
+        np.minimum(out[:, :, :-k], column[:, :, k:] + k * k, out=out[:, :, :-k])
+    return out
+
+
+#: Places of the rasters that are laid out together, about.
+PLACES = 1 << 17
+
+
+def tiles_beside(pix: DataFrame, h: int, w: int, size: int, stride: int, places: int = PLACES) -> DataFrame:
+    """(raster_id, ty, tx, cost, h): the tiles of ``size`` every ``stride`` pixels of each raster (raster_id, y, x, strength) against
+    the next raster's at the same place: chamfer()'s and hausdorff()'s of their pixels. Tiles that are empty in either are left out.
+
+    A task lays out a run of rasters, and the one after it; all rasters' tiles at one place are worked out together.
+    """
+    run = max(1, places // (h * w))
+    spots = [(y, x) for y in range(0, max(h - size, 0) + 1, stride) for x in range(0, max(w - size, 0) + 1, stride)]
+    names = ["raster_id", "ty", "tx", "cost", "h"]
+
+    def measure(table: pa.Table) -> pa.Table:
+        ids, own = np.unique(table.column("raster_id").to_numpy(), return_inverse=True)
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        there, strength = np.zeros((len(ids), h, w), bool), np.zeros((len(ids), h, w))
+        there[own, y, x] = True
+        strength[own, y, x] = table.column("strength").to_numpy()
+        parts = [[np.zeros(0, np.int64), *[np.zeros(0, np.int32)] * 2, *[np.zeros(0)] * 2]]
+        for ty, tx in spots:
+            a, weight = (v[:, ty : ty + size, tx : tx + size] for v in (there, strength))
+            filled = np.flatnonzero(a.any(axis=(1, 2)))
+            a, weight = a[filled], weight[filled]
+            first = np.flatnonzero(ids[filled][1:] == ids[filled][:-1] + 1)
+            if len(first):
+                d, whole = np.sqrt(tile_maps(a)), weight.sum(axis=(1, 2))
+                ways = [(d[q] * a[p], weight[p], whole[p]) for p, q in ((first, first + 1), (first + 1, first))]
+                forth, back = ((near * share).sum(axis=(1, 2)) / total for near, share, total in ways)
+                most = np.maximum(*[near.max(axis=(1, 2)) for near, _, _ in ways])
+                parts.append([ids[filled][first], np.full(len(first), ty, np.int32), np.full(len(first), tx, np.int32), (forth + back) / 2, most])
+        return pa.table([np.concatenate(c) for c in zip(*parts, strict=True)], names)
+
+    low, high = F.floor(F.col("raster_id") / run), F.floor((F.col("raster_id") - 1) / run)
+    inside = F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1) & F.col("strength").isNotNull()
+    rows = pix.where(inside).select(*[F.col(c).cast("bigint").alias(c) for c in ("raster_id", "y", "x")], F.col("strength").cast("double").alias("strength"))
+    # a stated number of partitions, as the work is not in the bytes by which adaptive plans join partitions
+    parts = int(pix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.where("raster_id IS NOT NULL").withColumn("run", F.explode(F.array_distinct(F.array(high, low)))).repartition(parts, "run")
+    return dealt.groupBy("run").applyInArrow(measure, "raster_id bigint, ty int, tx int, cost double, h double")
+
+
 def distance_map(points: np.ndarray, size: int) -> np.ndarray:
     """Exact distances of a size x size grid to the nearest of ``points`` (y, x)."""
     return np.sqrt(squared_distances(points, size, size))
