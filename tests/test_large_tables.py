@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from strokeframe.operators import distance
+from strokeframe.operators import distance, geometry, junctions
 
 
 def random_pixels(rasters, h=12, w=15, seed=1):
@@ -48,3 +48,43 @@ def test_tiles_beside(spark, places):
                     expected[k, ty, tx] = both_ways(a, b)
     assert expected and found.keys() == expected.keys()
     assert all(found[k] == pytest.approx(expected[k]) for k in expected)
+
+
+NAMES = "drawing_id bigint, contour_id bigint, seg_id bigint, x1 double, y1 double, x2 double, y2 double"
+
+
+def random_drawings(spark, sizes, seed=3, side=60):
+    """Contours of one to six segments with whole places, ``sizes`` of them in each drawing, and some that touch."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for drawing, contours in sizes.items():
+        for c in range(contours):
+            p = rng.integers(0, side, (int(rng.integers(2, 8)), 2)).astype(float)
+            rows += [(drawing, drawing * 100 + c, k, *p[k].tolist(), *p[k + 1].tolist()) for k in range(len(p) - 1)]
+    return spark.createDataFrame(rows, NAMES)
+
+
+def rows_of(df, digits=9):
+    flat = lambda v: tuple(flat(x) for x in v) if isinstance(v, (list, tuple)) else round(v, digits) + 0.0 if isinstance(v, float) else v
+    return sorted((flat(r) for r in df.select(*sorted(df.columns)).collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def seg(spark):
+    return random_drawings(spark, {1: 12, 2: 1, 5: 30, 9: 20}).cache()
+
+
+def old_typed(seg):
+    return junctions.angles_and_types(junctions.as_junctions(junctions.detect_in_cells(seg)), seg)
+
+
+@pytest.mark.parametrize("together", [2048, 60, 0])
+def test_meetings_of_whole_drawings(spark, seg, together):
+    """In one task, by the operators on tables, and some drawings each way."""
+    assert rows_of(junctions.detect(seg, together=together)) == rows_of(junctions.detect_in_cells(seg))
+    old = old_typed(seg)
+    found = junctions.typed_meetings(seg, together)
+    assert rows_of(found) == rows_of(old.select(*found.columns)) and found.count()
+    assert rows_of(junctions.meeting_types(seg, together)) == rows_of(junctions.type_counts(old))
+    assert rows_of(junctions.meeting_angles(seg, together=together)) == rows_of(junctions.angle_histogram(old))
+    assert rows_of(junctions.meeting_contours(seg, together), 6) == rows_of(junctions.contour_type_counts(old, geometry.contour_lengths(seg)), 6)
