@@ -88,3 +88,27 @@ def test_meetings_of_whole_drawings(spark, seg, together):
     assert rows_of(junctions.meeting_types(seg, together)) == rows_of(junctions.type_counts(old))
     assert rows_of(junctions.meeting_angles(seg, together=together)) == rows_of(junctions.angle_histogram(old))
     assert rows_of(junctions.meeting_contours(seg, together), 6) == rows_of(junctions.contour_type_counts(old, geometry.contour_lengths(seg)), 6)
+
+
+@pytest.mark.parametrize("held", [1, 1 << 22])
+def test_tile_pairs_that_are_picked(spark, monkeypatch, held):
+    monkeypatch.setattr(distance, "HELD", held)
+    made = random_pixels([0, 1, 2, 3, 70], seed=5)
+    tiles = [(k, ty, tx, 8) for k in made for ty in (0, 4) for tx in (0, 3, 7)]
+    pairs = [(0, 1), (0, 3), (1, 2), (2, 70), (3, 70), (3, 99)]
+    told = lambda pick: [tuple(r) for r in distance.tile_pair_costs(pixel_rows(spark, made), spark.createDataFrame(tiles, "raster_id bigint, ty int, tx int, ts int"), spark.createDataFrame(pairs, "i bigint, j bigint"), 8, pick).collect()]
+    expected = {}
+    for i, j in pairs:
+        for _, yi, xi, _ in (t for t in tiles if t[0] == i):
+            for _, yj, xj, _ in (t for t in tiles if t[0] == j):
+                a, b = tile_of(made[i], yi, xi, 8), tile_of(made[j], yj, xj, 8)
+                if a and b:
+                    expected[i, j, yi, xi, yj, xj] = round(both_ways(a, b)[0], 9)
+    assert {r[:6]: round(r[6], 9) for r in told("all")} == pytest.approx(expected)
+    best, arrival = {}, {}
+    for k in sorted(expected):
+        for found, key in ((best, k[:2]), (arrival, k[:4])):
+            if key not in found or expected[k] < expected[found[key]]:
+                found[key] = k
+    assert {r[:6] for r in told("best")} == set(best.values())
+    assert {r[:6] for r in told("arrival")} == set(arrival.values())
