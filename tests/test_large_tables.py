@@ -112,3 +112,13 @@ def test_tile_pairs_that_are_picked(spark, monkeypatch, held):
                 found[key] = k
     assert {r[:6] for r in told("best")} == set(best.values())
     assert {r[:6] for r in told("arrival")} == set(arrival.values())
+
+
+@pytest.mark.parametrize("together", [2048, 60])
+def test_merged_meetings_of_whole_drawings(spark, seg, together):
+    cells = junctions.detect_in_cells(seg)
+    assert rows_of(junctions.meeting_pairs(seg, together=together)) == rows_of(junctions.merge_pairs(cells))
+    old = junctions.merge(cells)
+    assert rows_of(junctions.merged_meetings(seg, together=together), 6) == rows_of(old, 6)
+    assert any(len(r.members) > 4 for r in old.collect())
+    assert rows_of(junctions.compute(seg, together=together), 5) == rows_of(junctions.angles_and_types(old, seg), 5)
