@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .geometry import CONTOUR, contour_lengths
+from . import drawings
+from .geometry import CONTOUR, contour_lengths, with_length
+from .raster import lines_to_pixels
 
 #: Lines of a map that are smoothed together.
 STRIP = 64
@@ -135,6 +137,27 @@ def density(pixels: DataFrame, value: str, order: str) -> DataFrame:
     return pixels.groupBy("drawing_id", "y", "x").agg(F.max_by(value, order).alias("value"))
 
 
+def density_rows(seg: DataFrame, together: int = drawings.MOST, sizes: DataFrame | None = None) -> DataFrame:
+    """(drawing_id, y, n, value, moment): the map of the length of the segment painted last on each pixel, in the order of contours and
+    segments, told by row: the number of pixels, the sum, and the sum by x. A drawing of up to ``together`` segments is one task;
+    ``sizes`` as of drawings.larger()."""
+
+    def told(d: drawings.Drawing) -> Iterator[pa.RecordBatch]:
+        own, y, x = drawings.painted(d)
+        y, x, at = drawings.last_painted(y, x)
+        value = d.len[own[at]]
+        starts = np.flatnonzero(np.append(True, y[1:] != y[:-1])) if len(y) else np.zeros(0, np.int64)
+        sums = [np.add.reduceat(v, starts) if len(y) else v for v in (np.ones_like(x), value, value * x)]
+        yield drawings.batch({"drawing_id": np.full(len(starts), d.id), "y": y[starts].astype(np.int32), "n": sums[0], "value": sums[1], "moment": sums[2]})
+
+    small, large = drawings.whole(seg, told, "drawing_id bigint, y int, n bigint, value double, moment double", together), drawings.larger(seg, together, sizes)
+    if large is not None:
+        ordered = with_length(large).withColumn("o", F.struct("contour_id", "seg_id"))
+        rows = density(lines_to_pixels(ordered, ["o", "len"]), "len", "o").groupBy("drawing_id", "y")
+        small = small.unionByName(rows.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"), F.sum(F.col("value") * F.col("x")).alias("moment")))
+    return small.select("drawing_id", "y", "n", F.round("value", 2).alias("value"), F.round("moment", 0).alias("moment"))
+
+
 def gaussian(sigma: float) -> list[float]:
     """The weights of a smoothing kernel for floats, four deviations on either side; they add up to 1."""
     n = int(8 * sigma + 1 + 0.5) | 1

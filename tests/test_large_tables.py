@@ -1,9 +1,11 @@
 """Queries that were rewritten for larger tables: their operators against plain versions, in blocks of any size."""
 
+import math
+
 import numpy as np
 import pytest
 
-from strokeframe.operators import distance, geometry, junctions
+from strokeframe.operators import distance, drawings, geometry, junctions, raster, stats
 
 
 def random_pixels(rasters, h=12, w=15, seed=1):
@@ -122,3 +124,21 @@ def test_merged_meetings_of_whole_drawings(spark, seg, together):
     assert rows_of(junctions.merged_meetings(seg, together=together), 6) == rows_of(old, 6)
     assert any(len(r.members) > 4 for r in old.collect())
     assert rows_of(junctions.compute(seg, together=together), 5) == rows_of(junctions.angles_and_types(old, seg), 5)
+
+
+@pytest.mark.parametrize(("together", "laid"), [(2048, 1 << 24), (2048, 0), (60, 1 << 24)])
+def test_painted_drawings(spark, seg, monkeypatch, together, laid):
+    monkeypatch.setattr(drawings, "LAID", laid)
+    last, count = {}, {}
+    for r in sorted(seg.collect(), key=lambda r: (r.drawing_id, r.contour_id, r.seg_id)):
+        n = int(max(abs(r.x2 - r.x1), abs(r.y2 - r.y1)))
+        for k in range(n + 1):
+            at = [math.floor(a + (b - a) * k / max(n, 1) + 0.5) for a, b in ((r.y1, r.y2), (r.x1, r.x2))]
+            last[r.drawing_id, *at] = math.hypot(r.x2 - r.x1, r.y2 - r.y1)
+    for (d, y, x), v in last.items():
+        a = count.setdefault((d, y), [0, 0, 0, 0.0, 0.0])
+        count[d, y] = [a[0] + 1, a[1] + x, a[2] + x * x, a[3] + v, a[4] + v * x]
+    assert {(r.drawing_id, r.y): [r.n, r.sx, r.sxx] for r in raster.painted_rows(seg, together).collect()} == {k: v[:3] for k, v in count.items()}
+    found = {(r.drawing_id, r.y): (r.n, r.value, r.moment) for r in stats.density_rows(seg, together).collect()}
+    assert found.keys() == count.keys()
+    assert all(found[k][0] == v[0] and abs(found[k][1] - v[3]) < 0.006 and abs(found[k][2] - v[4]) < 0.51 for k, v in count.items())
